@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from trialspark.llm import quality
+from trialspark.llm import minhash, quality
 
 QUERIES = {
     "op1_repetition_quality": quality.query,
+    "op5_circulant_minhash": minhash.query,
 }
 ORACLE: dict[str, str] = {}
