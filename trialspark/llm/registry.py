@@ -1,9 +1,11 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from trialspark.llm import minhash, quality
+from trialspark.llm import bpe, minhash, quality, tokenfile
 
 QUERIES = {
     "op1_repetition_quality": quality.query,
     "op5_circulant_minhash": minhash.query,
+    "op6_bpe_words": bpe.query,
+    "op7_token_files": tokenfile.query,
 }
 ORACLE: dict[str, str] = {}
