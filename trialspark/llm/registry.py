@@ -1,10 +1,11 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from trialspark.llm import bpe, minhash, quality, tokenfile, toxicity
+from trialspark.llm import bpe, minhash, pii, quality, tokenfile, toxicity
 
 QUERIES = {
     "op1_repetition_quality": quality.query,
     "op5_circulant_minhash": minhash.query,
+    "op4_bootstrapped_pii": pii.query,
     "op6_bpe_words": bpe.query,
     "op7_token_files": tokenfile.query,
     "op9_folded_lexicon_toxicity": toxicity.query,
