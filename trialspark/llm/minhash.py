@@ -4,8 +4,10 @@ A document's set holds its distinct five-word shingles. One permutation (the mix
 slots) places each shingle; a second one, PI, shifted circularly by k, gives signature coordinate k. Read along the shifts,
 a shingle's coordinates are one contiguous stretch of PI, so a signature is the minimum of such stretches.
 
-Candidates come from bands of the signature. In a bucket only star edges to a pivot are tested, never all pairs; when
-verified links leave a bucket with several components, further pivots are tried and the rest is compared block by block.
+Candidates come from bands of the signature. Pairs are never listed within a bucket: first each member is held against one
+pivot of its bucket, then what stays apart is held together block by block, of which only a spanning forest of likely links is
+kept. The forests' trees are families; a family's texts are compared exactly, again block by block, and only the links that
+join something become rows. So rows stay in proportion to documents, however large a group is.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ K = BANDS * ROWS
 UNIVERSE = 1 << 20
 #: Members of a block when what is left of a bucket is compared block by block.
 BLOCK = 256
-#: Of K coordinates, so many agree at least in any pair at the threshold, but for about one in ten million.
-LEAST_AGREE = 68
+#: Of K coordinates, so many agree at least in a pair at the threshold, but for about one pair in a hundred thousand.
+LEAST_AGREE = 75
 _PI = np.random.Generator(np.random.PCG64(5)).permutation(UNIVERSE).astype(np.uint32)
 _STRETCHES = np.lib.stride_tricks.sliding_window_view(np.concatenate((_PI, _PI[: K - 1])), K)
 
@@ -76,113 +78,126 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.array([np.sum(s, dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                 pa.array(np.array([np.sum(mix(s ^ STEP[41]), dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                 pa.ListArray.from_arrays(np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32), pa.array(bands.ravel().view(np.int64))),
-                pa.array([s.tobytes() for s in signatures], pa.binary()),
+                pa.array([s.astype(np.uint8).tobytes() for s in signatures], pa.binary()),
             ],
             ["doc_id", "n_shingles", "key1", "key2", "bands", "signature"],
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in text_batches(batches):
-        sets = shingle_sets(texts)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+def _fits(a: str, b: str) -> F.Column:
+    """Sets of these sizes can be similar enough."""
+    return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
 
 
-def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        keep = np.zeros(len(pdf), bool)
-        for i, (a, b) in enumerate(zip(pdf["of_u"], pdf["of_v"], strict=True)):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = np.concatenate((a, b))
-            both.sort(kind="stable")
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep[i] = 100 * common >= PERCENT * (len(a) + len(b) - common)
-        yield pdf.loc[keep, ["u", "v"]]
-
-
-def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v), a written table, whose full sets are similar enough."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(_sets, "id long, shingles binary"), "sets")
-    one = sets.select(F.col("id").alias("v"), F.col("shingles").alias("of_v"))
-    other = sets.select(F.col("id").alias("u"), F.col("shingles").alias("of_u"))
-    return materialise(pairs.join(one, "v").join(other, "u").select("u", "v", "of_u", "of_v").mapInPandas(_confirmed, "u long, v long"), "links")
+class Forest:
+    """Labels that merge; of two, the smaller root stays."""
 
+    def __init__(self, labels: np.ndarray) -> None:
+        self.root = np.unique(labels, return_inverse=True)[1]
 
-def _fits(a: str, b: str) -> F.Column:
-    """Sets of these sizes can be similar enough."""
-    return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
+    def join(self, i: int, j: int) -> None:
+        a, b = sorted((self.root[i], self.root[j]))
+        self.root[self.root == b] = a
 
 
-def _stars(members: DataFrame, salt: int) -> DataFrame:
-    """In each bucket of members(bucket, id, n, label), one pivot against all members with other labels."""
-    order = F.struct(F.xxhash64("id", F.lit(salt)).alias("h"), "id", "n", "label") if salt else F.struct("id", "n", "label")
-    pivots = members.groupBy("bucket").agg(F.min(order).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    pivots = pivots.where("lo <> hi").select("bucket", F.col("p.id").alias("v"), F.col("p.n").alias("m"), F.col("p.label").alias("w"))
-    return members.join(pivots, "bucket").where((F.col("label") != F.col("w")) & _fits("n", "m")).select(F.col("id").alias("u"), "v").distinct()
+def _alike(sig: np.ndarray, i: int, others: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of others, those whose sizes and signatures (one byte of each coordinate) go with i's."""
+    others = others[(100 * n[others] >= PERCENT * n[i]) & (100 * n[i] >= PERCENT * n[others])]
+    return others[(sig[others] == sig[i]).sum(axis=1) >= LEAST_AGREE]
 
 
-def _in_blocks(members: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs with different labels in one bucket whose signatures agree enough: block against block, so that a task holds two
-    blocks of a bucket and only pairs that are likely links become rows."""
-    buckets = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = members.join(buckets.select("bucket", "size", blocks.alias("blocks")), "bucket").join(signatures, "id")
-    mine = F.pmod(F.xxhash64("id", F.lit(77)), F.col("blocks")).cast("int")
-    m = m.withColumn("block", mine)
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("bucket", "id", "label", "n", "signature", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+def _against_pivots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        if len(pdf):
+            a, b = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), K) for c in ("of_u", "of_v"))
+            pdf = pdf[(a == b).sum(axis=1) >= LEAST_AGREE]
+        yield pdf[["u", "v"]]
 
-    def likely(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        ids, label, n = (pdf[c].to_numpy() for c in ("id", "label", "n"))
-        sig = np.stack([np.frombuffer(x, np.uint32) for x in pdf["signature"]])
-        left, right = (np.flatnonzero(pdf["block"] == x) for x in (lo, hi))
-        found = []
-        for i in left:
-            near = right[(label[right] != label[i]) & (100 * n[right] >= PERCENT * n[i]) & (100 * n[i] >= PERCENT * n[right])]
-            near = near[(sig[near] == sig[i]).sum(axis=1) >= LEAST_AGREE]
-            found += [(max(ids[i], ids[j]), min(ids[i], ids[j])) for j in near]
-        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
-    return m.groupBy("bucket", "lo", "hi").applyInPandas(likely, "u long, v long").distinct()
+def _pivot_links(members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Likely links between the members of each bucket and its smallest one."""
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("p")).select("bucket", F.col("p.id").alias("v"), F.col("p.n").alias("m"))
+    pairs = members.join(pivots, "bucket").where((F.col("id") != F.col("v")) & _fits("n", "m")).select(F.col("id").alias("u"), "v").distinct()
+    one, other = (signatures.select(F.col("id").alias(x), F.col("signature").alias(f"of_{x}")) for x in "uv")
+    return pairs.join(one, "u").join(other, "v").select("u", "v", "of_u", "of_v").mapInPandas(_against_pivots, "u long, v long")
+
+
+def _dealt_in_blocks(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+    """Rows of each group dealt to blocks, each row sent to all pairs of blocks that its own is part of: lo and hi."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    m = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id", F.lit(77)), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return m.select(group, "id", *columns, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+
+def _likely(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the likely links between two blocks of a bucket, over what is not yet of one family."""
+    ids, n = pdf["id"].to_numpy(), pdf["n"].to_numpy()
+    sig = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), K)
+    left, right = (np.flatnonzero(pdf["block"] == pdf[x].iloc[0]) for x in ("lo", "hi"))
+    forest, found = Forest(pdf["label"].to_numpy()), []
+    for i in left:
+        for j in _alike(sig, i, right[forest.root[right] != forest.root[i]], n):
+            if forest.root[i] != forest.root[j]:
+                forest.join(i, j)
+                found.append((ids[i], ids[j]))
+    return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+
+def _confirmed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Between two blocks of a family: links confirmed on the full sets, as many as join something."""
+    ids = pdf["id"].to_numpy()
+    sets = shingle_sets([x.encode() for x in pdf["text"]])
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    sig = np.stack([signature(s) for s in sets]).astype(np.uint8)
+    left, right = (np.flatnonzero(pdf["block"] == pdf[x].iloc[0]) for x in ("lo", "hi"))
+    forest, found = Forest(ids), []
+    for i in left:
+        for j in _alike(sig, i, right[forest.root[right] != forest.root[i]], n):
+            if forest.root[i] != forest.root[j]:
+                both = np.concatenate((sets[i], sets[j]))
+                both.sort(kind="stable")
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * common >= PERCENT * (len(both) - common):
+                    forest.join(i, j)
+                    found.append((ids[i], ids[j]))
+    return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id, n_links, component_id, kept for each row of docs (doc_id, text).
 
     Equal sets form a class, named by its smallest doc_id; classes are linked where 100 * intersection >= 75 * union on the
-    full sets. n_links counts confirmed links of the class that were needed to join components (not all pairs).
+    full sets. n_links counts the class's confirmed links that joined something; not all of its links are tried.
     component_id is the smallest doc_id reachable through classes and links; kept is doc_id = component_id.
     A null or empty text, or one without words, has n_shingles 0 and is linked with nothing. A null doc_id is linked with
     nothing: class_id and component_id are null and kept is true. Rows that repeat a doc_id are one document: their texts'
     links count together, and each row is returned. Other columns are ignored. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
     schema = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, signature binary"
     sketches = materialise(docs.select("doc_id", "text").mapInArrow(_sketch, schema), "sketches")
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     classes = materialise(classes, "classes")
+    signatures = classes.select("id", "signature")
     members = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialise(members.join(shared, "bucket").select("bucket", "id", "n"), "members")
-
+    members = materialise(members.join(shared, "bucket").select("bucket", "id", "n", "size"), "members")
+
+    likely = materialise(_pivot_links(members, signatures), "likely")
+    trees = connected_components(likely)
+    apart = members.where("size > 2").join(trees, members["id"] == trees["node"], "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("label"))
+    mixed = apart.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    apart = apart.join(mixed, "bucket", "left_semi").join(signatures, "id")
+    more = materialise(_dealt_in_blocks(apart, "bucket", "n", "label", "signature").groupBy("bucket", "lo", "hi").applyInPandas(_likely, "u long, v long"), "more")
+    families = connected_components(likely.union(more)) if more.take(1) else trees
+
+    texts = docs.select("doc_id", "text").join(families, docs["doc_id"] == families["node"]).select(F.col("doc_id").alias("id"), "component", "text").where("text is not null")
+    texts = _dealt_in_blocks(materialise(texts, "texts"), "component", "text")
+    links = materialise(texts.groupBy("component", "lo", "hi").applyInPandas(_confirmed, "u long, v long"), "links")
     copies = filled.join(classes.select("key1", "key2", "n_shingles", "id"), ["key1", "key2", "n_shingles"])
     copies = materialise(copies.select("doc_id", "n_shingles", F.col("id").alias("class_id")), "copies")
-    links = spark.createDataFrame([], "u long, v long")
-    labels = None
-    for salt in (0, 1, None):
-        now = members.withColumn("label", F.col("id")) if labels is None else (
-            members.join(labels, members["id"] == labels["node"], "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("label")))
-        pairs = _stars(now, salt) if salt is not None else _in_blocks(now, classes.select("id", "signature"))
-        pairs = materialise(pairs, "pairs")
-        found = _confirm(pairs, docs) if pairs.take(1) else links.limit(0)
-        links = links.union(found)
-        if labels is None or found.take(1):
-            edges = links.union(copies.select(F.col("doc_id").alias("u"), F.col("class_id").alias("v")))
-            labels = materialise(connected_components(edges), "labels")
+    labels = connected_components(links.union(copies.select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))))
     ends = links.select("u", "v").distinct()
     degree = ends.select("u").union(ends.select("v")).groupBy(F.col("u").alias("class_id")).agg(F.count("*").alias("n_links"))
     in_class = copies.join(degree, "class_id", "left").join(labels, copies["doc_id"] == labels["node"], "left")
