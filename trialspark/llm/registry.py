@@ -1,13 +1,16 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from trialspark.llm import bpe, minhash, pii, quality, tokenfile, toxicity
+from trialspark.llm import bpe, fingerprint, licenses, minhash, mixing, pii, quality, tokenfile, toxicity
 
 QUERIES = {
     "op1_repetition_quality": quality.query,
     "op5_circulant_minhash": minhash.query,
+    "op3_scaled_sketches": fingerprint.query,
+    "op8_golden_ratio_mix": mixing.query,
+    "op10_license_rules": licenses.query,
     "op4_bootstrapped_pii": pii.query,
     "op6_bpe_words": bpe.query,
     "op7_token_files": tokenfile.query,
     "op9_folded_lexicon_toxicity": toxicity.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_license_rules": licenses.SQL}
