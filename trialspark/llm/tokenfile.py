@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,30 +28,38 @@ from trialspark.shared import new_path
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Distinct words whose ids a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 300_000
-_WHITE = regex.compile("[\\x20\\x09-\\x0D]+")
-_memory: dict[tuple[str, str], dict[str, bytes]] = {}
+REMEMBERED = 600_000
+_MARKS = b".,;:!?"
+_memory: dict[tuple[str, str], dict[bytes, bytes]] = {}
 
 
 def encode(texts: list[bytes], path: str, dtype: str) -> list[bytes]:
-    """The ids of each text as integers of dtype. This vocabulary drops white space and merges inside words only, so a text's
-    ids are those of its words; a text that may hold an added token is encoded as a whole."""
+    """The ids of each text as integers of dtype. This vocabulary lower-cases, drops white space and merges inside words only, so
+    a text's ids are those of its words, and those of a word followed by punctuation marks are the word's and the marks'. A
+    text that may hold an added token is encoded as a whole."""
     t = tokenizer(path)
     known = _memory.setdefault((path, dtype), {})
     if len(known) > REMEMBERED:
         known.clear()
-    added = [x.content[:2] for x in t.get_added_tokens_decoder().values()]
-    texts_words = [_WHITE.split(x.decode("utf-8")) for x in texts]
-    new = list(set().union(*texts_words).difference(known))
+    added = [x.content[:2].encode() for x in t.get_added_tokens_decoder().values()]
+    words = [x.lower().split() for x in texts]
+    parts = []
+    for w in set().union(*words).difference(known):
+        stem = w.rstrip(_MARKS)
+        # after an ASCII letter or digit the marks begin a new piece
+        parts.append((w, stem, w[len(stem) :]) if len(stem) < len(w) and stem[-1:].isalnum() else (w, w, b""))
+    new = list({x for _, stem, marks in parts for x in (stem, marks)}.difference(known))
     for i in range(0, len(new), 20_000):
         part = new[i : i + 20_000]
-        known.update((w, np.array(x.ids, dtype).tobytes()) for w, x in zip(part, t.encode_batch(part, add_special_tokens=False), strict=True))
+        encoded = t.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
+        known.update(zip(part, [np.array(x.ids, dtype).tobytes() for x in encoded], strict=True))
+    known.update((w, known[stem] + known[marks]) for w, stem, marks in parts if marks)
     out = []
-    for text, words in zip(texts, texts_words, strict=True):
-        if any(x.encode() in text for x in added):
+    for text, own in zip(texts, words, strict=True):
+        if any(x in text for x in added):
             out.append(np.array(t.encode(text.decode("utf-8"), add_special_tokens=False).ids, dtype).tobytes())
         else:
-            out.append(b"".join(map(known.__getitem__, words)))
+            out.append(b"".join(map(known.__getitem__, own)))
     return out
 
 
