@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from trialspark.llm import bpe, fingerprint, licenses, minhash, mixing, pii, quality, tokenfile, toxicity
+from trialspark.llm import bpe, fingerprint, licenses, minhash, mixing, pii, quality, substrings, tokenfile, toxicity
 
 QUERIES = {
     "op1_repetition_quality": quality.query,
+    "op2_difference_cover_dedup": substrings.query,
     "op5_circulant_minhash": minhash.query,
     "op3_scaled_sketches": fingerprint.query,
     "op8_golden_ratio_mix": mixing.query,
