@@ -1,24 +1,59 @@
-"""The corpus pipeline: documents in, kept, de-duplicated, masked, mixed and encoded documents out."""
+"""The corpus pipeline: documents in; kept, de-duplicated, masked, mixed and encoded documents out.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next one's docs. All but the last return the columns of documents: doc_id, text, lang, source, n_chars. The
+mix may take a document twice; its rows then follow one another's path.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialspark.llm import quality
+from trialspark.llm import bpe, minhash, mixing, pii, quality
 from trialspark.shared import new_path
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.keep_good(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    return quality.keep_good(docs.select(*COLUMNS))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return minhash.drop_near_duplicates(docs.select(*COLUMNS))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by the name of its kind."""
+    return pii.mask(docs.select(*COLUMNS))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources to their target weights takes them: not, once or twice."""
+    return mixing.mixed_documents(docs.select(*COLUMNS))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and the decoded text of every row."""
+    return bpe.encode_and_decode(docs, public_tokenizers.path(bpe.VOCABULARY))
 
 
-STAGES = [("quality", quality_stage)]
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("personal_data", personal_data_stage),
+    ("mixing", mixing_stage),
+    ("encoding", encoding_stage),
+]
+#: The stages are beyond SQL (permutations, bootstrapping, merges); tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written as Parquet and read again as the next one's docs."""
+    """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = new_path(spark, name)
