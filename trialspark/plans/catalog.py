@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from trialspark.plans import selection, summaries
+from trialspark.plans.summaries import arm_comparison_report
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def arm_comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+MODULES = (summaries, selection)
+QUERIES = {k: f for m in MODULES for k, f in m.Q.items()}
+ORACLE = {k: v for m in MODULES for k, v in m.O.items()}
+__all__ = ["ORACLE", "QUERIES", "arm_comparison_report"]
