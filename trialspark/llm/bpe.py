@@ -1,13 +1,16 @@
-"""BPE encoding and decoding through a table of distinct words, each encoded and decoded once.
+"""BPE encoding and decoding through a table of distinct words, each encoded once.
 
 Texts are split into the words on which the merges work, and written as word numbers of their block (about BLOCK_BYTES of
-text). The blocks' words meet in one table of distinct words; that table is encoded, decoded through a join of its ids with
-the id-to-piece table, and joined back to the blocks, where each text's ids are laid out by position.
+text). A block's distinct words are dealt to buckets by hash, packed; each bucket of the table encodes every word once, whatever
+number of blocks it came from, and sends the ids back to the blocks. There each text's ids are laid out by position, and
+decoded by looking up every id in the id-to-piece table, which is as long as the vocabulary file.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 from trialspark.llm.textnum import text_batches
 from trialspark.shared import materialise
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 32_000_000
+#: Buckets of the table of distinct words for each shuffle partition.
+BUCKETS = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Beyond this letter the splitting library and the tokenizer know different versions of Unicode.
 AGREED = regex.compile("[^\\u0000-\\u0557]")
@@ -48,10 +53,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def pieces(path: str) -> list[tuple[int, bytes]]:
-    """Every id of the vocabulary with its bytes; as many rows as the vocabulary file has."""
+@lru_cache(maxsize=4)
+def pieces(path: str) -> np.ndarray:
+    """The bytes of every id, by id; as many as the vocabulary file has."""
     letters = byte_letters()
-    return [(i, bytes(letters[c] for c in piece)) for piece, i in tokenizer(path).get_vocab(with_added_tokens=True).items()]
+    known = tokenizer(path).get_vocab(with_added_tokens=True)
+    out = np.full(max(known.values()) + 1, b"", object)
+    for piece, i in known.items():
+        out[i] = bytes(letters[c] for c in piece)
+    return out
 
 
 def split(text: str, path: str) -> list[str]:
@@ -71,69 +81,90 @@ def split(text: str, path: str) -> list[str]:
     return words
 
 
-def _coded(path: str):  # noqa: ANN202
-    names = ["block", "doc_id", "codes", "number", "word"]
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("number", pa.int32()), ("word", pa.string())])
+CODED = "block long, doc_id long, codes binary, bucket int, words binary"
+
+
+def _coded(path: str, buckets: int):  # noqa: ANN202
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary())])
+
+    def block_rows(doc_ids: list[pa.Array], codes: list[np.ndarray], number: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        block = int.from_bytes(os.urandom(8), "little", signed=True)
+        words = list(number)
+        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+        order = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
+        final = np.empty(len(words), np.uint32)
+        final[order] = np.arange(len(words), dtype=np.uint32)
+        for i in range(0, len(codes), 1000):
+            packed = [zlib.compress(final[c].tobytes(), 1) for c in codes[i : i + 1000]]
+            n = len(packed)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(doc_ids[i : i + 1000], pa.int64()), pa.array(packed, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        full = [k for k in range(buckets) if cut[k] < cut[k + 1]]
+        packs = [zlib.compress(json.dumps([words[i] for i in order[cut[k] : cut[k + 1]]]).encode(), 1) for k in full]
+        n = len(full)
+        yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(full, pa.int32()), pa.array(packs, pa.binary())], schema=schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def fresh() -> tuple[int, defaultdict]:
+        def fresh() -> defaultdict:
             d: defaultdict = defaultdict()
             d.default_factory = d.__len__
-            return int.from_bytes(os.urandom(8), "little", signed=True), d
-
-        def vocabulary() -> Iterator[pa.RecordBatch]:
-            words = list(number)
-            for i in range(0, len(words), 20_000):
-                w = words[i : i + 20_000]
-                n = len(w)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(i, i + n), pa.int32()), pa.array(w, pa.string())], schema=schema)
+            return d
 
-        (block, number), size = fresh(), 0
+        doc_ids, codes, number, size = [], [], fresh(), 0
         for part, texts in text_batches(batches):
-            codes = []
+            doc_ids += part.column("doc_id").to_pylist()
             for text in texts:
                 words = split(text.decode("utf-8"), path)
-                codes.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)).tobytes())
-            n = len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), part.column("doc_id").cast(pa.int64()), pa.array(codes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=schema)
-            size += sum(map(len, texts))
+                codes.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+                size += len(text)
             if size >= BLOCK_BYTES:
-                yield from vocabulary()
-                (block, number), size = fresh(), 0
-        yield from vocabulary()
-
-    assert names == schema.names
-    return rows
-
-
-def _encoded(path: str):  # noqa: ANN202
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            ids = [x.ids for x in t.encode_batch(words, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+                yield from block_rows(doc_ids, codes, number)
+                doc_ids, codes, number, size = [], [], fresh(), 0
+        if codes:
+            yield from block_rows(doc_ids, codes, number)
 
     return rows
 
 
-def _laid_out(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """The texts of one block: ids and bytes of each, by position."""
-    at = words["number"].to_numpy().argsort()
-    ids = [words["ids"].iloc[i] for i in at]
-    length = np.fromiter(map(len, ids), np.int64, len(ids))
-    begin = np.concatenate(([0], np.cumsum(length)))[:-1]
-    flat = np.concatenate(ids) if len(ids) else np.zeros(0, np.int32)
-    spelt = words["spelt"].to_numpy()[at]
-    out_ids, out_text = [], []
-    for codes in docs["codes"]:
-        c = np.frombuffer(codes, np.uint32)
-        n = length[c]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(n) else 0
-        out_ids.append(flat[np.repeat(begin[c] - (ends - n), n) + np.arange(total)])
-        out_text.append(b"".join(spelt[c]).decode("utf-8", "replace"))
-    return pd.DataFrame({"doc_id": docs["doc_id"], "ids": out_ids, "decoded": out_text})
+def _bucket_encoder(path: str):  # noqa: ANN202
+    def encoded(packs: pd.DataFrame) -> pd.DataFrame:
+        """Each distinct word of one bucket is encoded once; its ids go to every block that has it."""
+        t, known, out = tokenizer(path), {}, []
+        for pack in packs["words"]:
+            words = json.loads(zlib.decompress(pack))
+            new = [w for w in words if w not in known]
+            known.update(zip(new, (np.array(x.ids, np.uint32) for x in t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            ids = [known[w] for w in words]
+            length = np.fromiter(map(len, ids), np.uint32, len(ids))
+            out.append(zlib.compress(np.concatenate(([len(ids)], length, *ids)).astype(np.uint32).tobytes(), 1))
+        return pd.DataFrame({"of_block": packs["block"], "bucket": packs["bucket"], "ids": out})
+
+    return encoded
+
+
+def _layout(path: str):  # noqa: ANN202
+    def laid_out(docs: pd.DataFrame, packs: pd.DataFrame) -> pd.DataFrame:
+        """The texts of one block: ids of each by position, and their bytes."""
+        piece = pieces(path)
+        lengths, flats = [], []
+        for pack in packs.sort_values("bucket")["ids"]:
+            a = np.frombuffer(zlib.decompress(pack), np.uint32)
+            lengths.append(a[1 : 1 + a[0]])
+            flats.append(a[1 + a[0] :])
+        length = np.concatenate([np.zeros(0, np.uint32), *lengths]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint32), *flats]).astype(np.int32)
+        begin = np.cumsum(length) - length
+        out_ids, out_text = [], []
+        for codes in docs["codes"]:
+            c = np.frombuffer(zlib.decompress(codes), np.uint32)
+            n = length[c]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(begin[c] - (ends - n), n) + np.arange(int(n.sum()))]
+            out_ids.append(ids)
+            out_text.append(b"".join(piece[ids]).decode("utf-8", "replace"))
+        return pd.DataFrame({"doc_id": docs["doc_id"], "ids": out_ids, "decoded": out_text})
+
+    return laid_out
 
 
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
@@ -142,18 +173,12 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     A null or empty text has no ids and decodes to an empty string; a null doc_id stays null; repeated rows are encoded one
     by one; other columns are ignored; an empty table gives an empty one. path must be readable on every executor.
     """
-    spark = docs.sparkSession
-    coded = materialise(docs.select("doc_id", "text").mapInArrow(_coded(path), "block long, doc_id long, codes binary, number int, word string"), "coded")
-    block_words = coded.where("word is not null").select("block", "number", "word")
-    encoded = block_words.select("word").distinct().mapInArrow(_encoded(path), "word string, ids array<int>")
-    piece = spark.createDataFrame(pieces(path), "id int, piece binary")  # as many rows as the vocabulary: a fixed size
-    spelt = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(piece), "id")
-    spelt = spelt.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "id", "piece"))).alias("p"))
-    # Pieces are joined as hexadecimal digits: Spark joins strings, and a single piece need not be a whole letter.
-    spelt = spelt.select("word", F.col("p.id").alias("ids"), F.unhex(F.array_join(F.transform("p.piece", F.hex), "")).alias("spelt"))
-    words = block_words.join(spelt, "word").select(F.col("block").alias("of_block"), "number", "ids", "spelt")
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    coded = materialise(docs.select("doc_id", "text").mapInArrow(_coded(path, buckets), CODED), "coded")
+    packs = coded.where("words is not null").select("block", "bucket", "words")
+    encoded = packs.groupBy("bucket").applyInPandas(_bucket_encoder(path), "of_block long, bucket int, ids binary")
     texts = coded.where("codes is not null").select("block", "doc_id", "codes")
-    return texts.groupBy("block").cogroup(words.groupBy("of_block")).applyInPandas(_laid_out, "doc_id long, ids array<int>, decoded string")
+    return texts.groupBy("block").cogroup(encoded.groupBy("of_block")).applyInPandas(_layout(path), "doc_id long, ids array<int>, decoded string")
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
