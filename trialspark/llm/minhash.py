@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.textnum import STEP, Batch, mix, text_batches
 from trialspark.operators.components import connected_components
+from trialspark.operators.prefilter import split_by_ids
 from trialspark.shared import materialise
 
 WORDS, PERCENT = 5, 75
@@ -192,7 +193,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = materialise(_dealt_in_blocks(apart, "bucket", "n", "label", "signature").groupBy("bucket", "lo", "hi").applyInPandas(_likely, "u long, v long"), "more")
     families = connected_components(likely.union(more)) if more.take(1) else trees
 
-    texts = docs.select("doc_id", "text").join(families, docs["doc_id"] == families["node"]).select(F.col("doc_id").alias("id"), "component", "text").where("text is not null")
+    # Only texts of families are shuffled, and by the same plan at every size.
+    named = families.select(F.col("node").alias("doc_id"), "component")
+    texts, _ = split_by_ids(docs.select("doc_id", "text").where("text is not null"), "doc_id", named.select("doc_id"))
+    texts = texts.hint("merge").join(named, "doc_id").select(F.col("doc_id").alias("id"), "component", "text")
     texts = _dealt_in_blocks(materialise(texts, "texts"), "component", "text")
     links = materialise(texts.groupBy("component", "lo", "hi").applyInPandas(_confirmed, "u long, v long"), "links")
     copies = filled.join(classes.select("key1", "key2", "n_shingles", "id"), ["key1", "key2", "n_shingles"])
@@ -208,8 +212,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs whose document stands for its group of near copies; all columns; repeated rows of it stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = materialise(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    maybe, stays = split_by_ids(docs, "doc_id", gone)
+    return maybe.hint("merge").join(gone, "doc_id", "left_anti").select(docs.columns).union(stays)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
