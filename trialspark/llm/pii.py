@@ -143,8 +143,10 @@ def with_spans(rows: DataFrame, keep: list[str]) -> DataFrame:
     hits = scanned.select("row_id", F.explode("found").alias("f")).where("not f.seed or f.instance rlike '^[0-9a-f]{24,}$'")
     hits = hits.select("row_id", F.col("f.pattern").alias("pattern"), F.struct(F.lit("id").alias("kind"), F.col("f.start").alias("start"), F.col("f.end").alias("end")).alias("span"))
     more = hits.join(confident_patterns(scanned), "pattern", "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_list("span")).alias("more"))
-    joined = scanned.join(more, "row_id", "left")
-    return joined.select(*keep, "base", F.concat("base", F.coalesce("more", F.array().cast(BASE))).alias("spans"))
+    # Rows without a possible further span stay where they are.
+    open_ = F.exists("found", lambda f: ~f["seed"] | f["instance"].rlike("^[0-9a-f]{24,}$"))
+    joined = scanned.where(open_).join(more, "row_id", "left").select(*keep, "base", F.concat("base", F.coalesce("more", F.array().cast(BASE))).alias("spans"))
+    return joined.union(scanned.where(~open_).select(*keep, "base", F.col("base").alias("spans")))
 
 
 def mask(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ Weights come from labelled rows outside the held-out fold; a document's score de
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from math import log
@@ -61,7 +62,13 @@ def _folding() -> dict[int, str | None]:
 FOLDING = _folding()
 
 
+#: Signs that stand for letters only where a letter or digit follows.
+_CLOSING = re.compile(r"[!|$@]+(?!\w)")
+
+
 def fold(text: str) -> str:
+    if any(c in text for c in "!|$@"):
+        text = _CLOSING.sub(" ", text)
     return text.translate(FOLDING)
 
 
