@@ -2,14 +2,16 @@
 
 Texts are split into the words on which the merges work, and written as word numbers of their block (about BLOCK_BYTES of
 text). A block's distinct words are dealt to buckets by hash, packed; each bucket of the table encodes every word once, whatever
-number of blocks it came from, and sends the ids back to the blocks. There each text's ids are laid out by position, and
-decoded by looking up every id in the id-to-piece table, which is as long as the vocabulary file.
+number of blocks it came from, and writes the ids for each block to the shared folder. A task that lays out texts reads the
+packs of their block from there, so that texts are never shuffled: it places the ids by position, and decodes by looking up
+every id in the id-to-piece table, which is as long as the vocabulary file.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,19 +22,29 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm.textnum import text_batches
-from trialspark.shared import materialise
+from trialspark.shared import materialise, new_path
 
 BLOCK_BYTES = 32_000_000
 #: Buckets of the table of distinct words for each shuffle partition.
 BUCKETS = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Beyond this letter the splitting library and the tokenizer know different versions of Unicode.
-AGREED = regex.compile("[^\\u0000-\\u0557]")
-WORDS = regex.compile(public_tokenizers.PATTERN)
+AGREED_END = 0x558
+AGREED = re.compile(f"[^\\u0000-{chr(AGREED_END - 1)}]")
+
+
+def _letters(kind: str) -> str:
+    return "".join(f"\\u{c:04x}" for c in range(AGREED_END) if regex.match(kind, chr(c)))
+
+
+#: public_tokenizers.PATTERN for letters below AGREED_END, with its classes written out: the plain library is the faster one.
+_L, _N, _S = map(_letters, ("\\p{L}", "\\p{N}", "\\s"))
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 @lru_cache(maxsize=4)
@@ -91,7 +103,7 @@ def _coded(path: str, buckets: int):  # noqa: ANN202
         block = int.from_bytes(os.urandom(8), "little", signed=True)
         words = list(number)
         bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
-        order = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
+        order = np.argsort(bucket, kind="stable")
         final = np.empty(len(words), np.uint32)
         final[order] = np.arange(len(words), dtype=np.uint32)
         for i in range(0, len(codes), 1000):
@@ -142,29 +154,41 @@ def _bucket_encoder(path: str):  # noqa: ANN202
     return encoded
 
 
-def _layout(path: str):  # noqa: ANN202
-    def laid_out(docs: pd.DataFrame, packs: pd.DataFrame) -> pd.DataFrame:
-        """The texts of one block: ids of each by position, and their bytes."""
-        piece = pieces(path)
-        lengths, flats = [], []
-        for pack in packs.sort_values("bucket")["ids"]:
+def _layout(path: str, packs: str):  # noqa: ANN202
+    """Ids by position and decoded text of each row, with the packs of its block, which stand in a folder of the table at packs."""
+
+    def block_ids(block: int) -> tuple[np.ndarray, np.ndarray]:
+        store, folder = fs.FileSystem.from_uri(packs)
+        table = dataset.dataset(f"{folder}/of_block={block}", filesystem=store, format="parquet").to_table(columns=["bucket", "ids"])
+        lengths, flats = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        for pack in table.sort_by("bucket").column("ids").to_pylist():
             a = np.frombuffer(zlib.decompress(pack), np.uint32)
             lengths.append(a[1 : 1 + a[0]])
             flats.append(a[1 + a[0] :])
-        length = np.concatenate([np.zeros(0, np.uint32), *lengths]).astype(np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint32), *flats]).astype(np.int32)
-        begin = np.cumsum(length) - length
-        out_ids, out_text = [], []
-        for codes in docs["codes"]:
-            c = np.frombuffer(zlib.decompress(codes), np.uint32)
-            n = length[c]
-            ends = np.cumsum(n)
-            ids = flat[np.repeat(begin[c] - (ends - n), n) + np.arange(int(n.sum()))]
-            out_ids.append(ids)
-            out_text.append(b"".join(piece[ids]).decode("utf-8", "replace"))
-        return pd.DataFrame({"doc_id": docs["doc_id"], "ids": out_ids, "decoded": out_text})
-
-    return laid_out
+        return np.concatenate(lengths).astype(np.int64), np.concatenate(flats).astype(np.int32)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, at = pieces(path), None
+        for batch in batches:
+            blocks, ids, texts, size, first = batch.column("block").to_pylist(), [], [], 0, 0
+            for i, codes in enumerate(batch.column("codes")):
+                if blocks[i] != at:
+                    at = blocks[i]
+                    length, flat = block_ids(at)
+                    begin = np.cumsum(length) - length
+                c = np.frombuffer(zlib.decompress(codes.as_py()), np.uint32)
+                n = length[c]
+                own = flat[np.repeat(begin[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                ids.append(own)
+                texts.append(b"".join(piece[own]).decode("utf-8", "replace"))
+                size += len(own)
+                if size >= 500_000 or i + 1 == len(blocks):
+                    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first : i + 1], lists, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+                    ids, texts, size, first = [], [], 0, i + 1
+
+    return rows
 
 
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
@@ -177,8 +201,9 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     coded = materialise(docs.select("doc_id", "text").mapInArrow(_coded(path, buckets), CODED), "coded")
     packs = coded.where("words is not null").select("block", "bucket", "words")
     encoded = packs.groupBy("bucket").applyInPandas(_bucket_encoder(path), "of_block long, bucket int, ids binary")
-    texts = coded.where("codes is not null").select("block", "doc_id", "codes")
-    return texts.groupBy("block").cogroup(encoded.groupBy("of_block")).applyInPandas(_layout(path), "doc_id long, ids array<int>, decoded string")
+    place = new_path(docs.sparkSession, "packs")
+    encoded.repartition("of_block").write.partitionBy("of_block").parquet(place)
+    return coded.where("codes is not null").select("block", "doc_id", "codes").mapInArrow(_layout(path, place), "doc_id long, ids array<int>, decoded string")
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
