@@ -207,3 +207,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _(s: SparkSession, d: str) -> DataFrame:
     t = trials(s, d).groupBy("task_id").agg(F.bool_or(~F.col("success_p")).alias("noop_fails"), F.collect_list(F.col("success_p") | F.col("success_r")).alias("references"))
     return t.select("task_id", (F.col("noop_fails") & F.forall("references", lambda x: x)).alias("admitted"))
+
+
+@query("a19_change_counts", W + ", k as (select case when b.path is null then 'A' when a.path is null then 'D' else 'C' end as kind from before b full join after a using (path) where b.path is null or a.path is null or b.sha256 <> a.sha256 or b.mode <> a.mode or b.uid <> a.uid) select count_if(kind = 'A') as added, count_if(kind = 'C') as changed, count_if(kind = 'D') as deleted from k")
+def _(s: SparkSession, d: str) -> DataFrame:
+    before, after, _ = manifests(s, d)
+    b, a = (x.select("path", F.struct("sha256", "mode", "uid").alias(n)) for x, n in ((before, "was"), (after, "is")))
+    j = b.join(a, "path", "full_outer")
+    changed = F.col("was").isNotNull() & F.col("is").isNotNull() & (F.col("was") != F.col("is"))
+    return j.agg(F.count_if(F.col("was").isNull()).alias("added"), F.count_if(changed).alias("changed"), F.count_if(F.col("is").isNull()).alias("deleted"))

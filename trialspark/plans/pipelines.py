@@ -249,3 +249,36 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("x5_progress", "select count(*) as done, count_if(event_type = 'error') as errors from events")
 def _(s: SparkSession, d: str) -> DataFrame:
     return drained(X.progress(replayable(s, d), F.col("event_type") == "error"), "update").agg(F.max("done").alias("done"), F.max("errors").alias("errors"))
+
+
+@query("s2_record_folder", "select s_suppkey, s_nationkey, true as named from supplier")
+def _(s: SparkSession, d: str) -> DataFrame:
+    path = new_path(s, "records")
+    table(s, d, "supplier").select("s_suppkey", "s_nationkey").write.option("maxRecordsPerFile", 1).json(path)
+    r = R.record_folder(s, path, "s_suppkey long, s_nationkey long")
+    return r.select("s_suppkey", "s_nationkey", F.col("key").startswith("part-").alias("named"))
+
+
+@query("s5_text_files", "select count(*) as files, sum(length('{\"s_suppkey\":' || s_suppkey || ',\"s_nationkey\":' || s_nationkey || '}') + 1)::bigint as chars from supplier")
+def _(s: SparkSession, d: str) -> DataFrame:
+    path = new_path(s, "texts")
+    table(s, d, "supplier").select("s_suppkey", "s_nationkey").write.option("maxRecordsPerFile", 1).json(path)
+    files = R.text_files(s, path).where("path like '%.json'")
+    return files.agg(F.count("*").alias("files"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query("f7_test_functions", "select l_orderkey, l_linenumber, 'test_' || l_partkey as function from lineitem")
+def _(s: SparkSession, d: str) -> DataFrame:
+    from trialspark.functions.columns import test_function
+
+    nodeid = F.concat(F.lit("tests/a.py::TestA::test_"), "l_partkey", F.lit("[x-"), "l_suppkey", F.lit("]"))
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", test_function(nodeid).alias("function"))
+
+
+@query("f8_f10_masks", f"with {TOKENS} select conv_id, sum(len(w))::bigint + 3 as length, coalesce(sum(len(w)) filter (role = 'assistant'), 0)::bigint as positions from t group by conv_id")
+def _(s: SparkSession, d: str) -> DataFrame:
+    from trialspark.functions.columns import joined_ids, joined_mask, supervised_positions
+
+    p = F.array(*map(F.lit, ("a", "b", "c")))
+    c = conversation(s, d).select("conv_id", joined_ids(p, F.col("tokens")).alias("ids"), joined_mask(p, F.col("mask")).alias("m"))
+    return c.select("conv_id", F.size("ids").cast("long").alias("length"), F.size(supervised_positions(F.col("m"))).cast("long").alias("positions"))
