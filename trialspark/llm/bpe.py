@@ -96,25 +96,35 @@ def split(text: str, path: str) -> list[str]:
 CODED = "block long, doc_id long, codes binary, bucket int, words binary"
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as four planes of bytes."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _coded(path: str, buckets: int):  # noqa: ANN202
     schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary())])
 
     def block_rows(doc_ids: list[pa.Array], codes: list[np.ndarray], number: dict[str, int]) -> Iterator[pa.RecordBatch]:
         block = int.from_bytes(os.urandom(8), "little", signed=True)
         words = list(number)
-        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
+        # The commonest words get the smallest numbers, so that the bytes of a text's numbers, plane by plane, pack well.
+        common = np.argsort(-np.bincount(np.concatenate(codes), minlength=len(words)), kind="stable")
         final = np.empty(len(words), np.uint32)
-        final[order] = np.arange(len(words), dtype=np.uint32)
+        final[common] = np.arange(len(words), dtype=np.uint32)
         for i in range(0, len(codes), 1000):
-            packed = [zlib.compress(final[c].tobytes(), 1) for c in codes[i : i + 1000]]
+            packed = [zlib.compress(_planes(final[c]), 1) for c in codes[i : i + 1000]]
             n = len(packed)
             yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(doc_ids[i : i + 1000], pa.int64()), pa.array(packed, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        full = [k for k in range(buckets) if cut[k] < cut[k + 1]]
-        packs = [zlib.compress(json.dumps([words[i] for i in order[cut[k] : cut[k + 1]]]).encode(), 1) for k in full]
-        n = len(full)
-        yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(full, pa.int32()), pa.array(packs, pa.binary())], schema=schema)
+        dealt = defaultdict(list)
+        for at, i in enumerate(common.tolist()):
+            dealt[zlib.crc32(words[i].encode()) % buckets].append((at, words[i]))
+        packs = [zlib.compress(json.dumps([np.diff([at for at, _ in own], prepend=0).tolist(), [w for _, w in own]]).encode(), 6) for own in dealt.values()]
+        n = len(packs)
+        yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(list(dealt), pa.int32()), pa.array(packs, pa.binary())], schema=schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fresh() -> defaultdict:
@@ -143,12 +153,12 @@ def _bucket_encoder(path: str):  # noqa: ANN202
         """Each distinct word of one bucket is encoded once; its ids go to every block that has it."""
         t, known, out = tokenizer(path), {}, []
         for pack in packs["words"]:
-            words = json.loads(zlib.decompress(pack))
+            steps, words = json.loads(zlib.decompress(pack))
             new = [w for w in words if w not in known]
             known.update(zip(new, (np.array(x.ids, np.uint32) for x in t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
             ids = [known[w] for w in words]
             length = np.fromiter(map(len, ids), np.uint32, len(ids))
-            out.append(zlib.compress(np.concatenate(([len(ids)], length, *ids)).astype(np.uint32).tobytes(), 1))
+            out.append(zlib.compress(_planes(np.concatenate(([len(ids)], steps, length, *ids))), 1))
         return pd.DataFrame({"of_block": packs["block"], "bucket": packs["bucket"], "ids": out})
 
     return encoded
@@ -157,15 +167,21 @@ def _bucket_encoder(path: str):  # noqa: ANN202
 def _layout(path: str, packs: str):  # noqa: ANN202
     """Ids by position and decoded text of each row, with the packs of its block, which stand in a folder of the table at packs."""
 
-    def block_ids(block: int) -> tuple[np.ndarray, np.ndarray]:
+    def block_ids(block: int) -> tuple[np.ndarray, ...]:
+        """Of each word number of the block: how many ids, where they begin; and all ids."""
         store, folder = fs.FileSystem.from_uri(packs)
-        table = dataset.dataset(f"{folder}/of_block={block}", filesystem=store, format="parquet").to_table(columns=["bucket", "ids"])
-        lengths, flats = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-        for pack in table.sort_by("bucket").column("ids").to_pylist():
-            a = np.frombuffer(zlib.decompress(pack), np.uint32)
-            lengths.append(a[1 : 1 + a[0]])
-            flats.append(a[1 + a[0] :])
-        return np.concatenate(lengths).astype(np.int64), np.concatenate(flats).astype(np.int32)
+        table = dataset.dataset(f"{folder}/of_block={block}", filesystem=store, format="parquet").to_table(columns=["ids"])
+        numbers, lengths, flats = ([np.zeros(0, np.uint32)] for _ in range(3))
+        for pack in table.column("ids").to_pylist():
+            a = _from_planes(zlib.decompress(pack))
+            n = a[0]
+            numbers.append(np.cumsum(a[1 : 1 + n]))
+            lengths.append(a[1 + n : 1 + 2 * n])
+            flats.append(a[1 + 2 * n :])
+        number, packed = np.concatenate(numbers).astype(np.int64), np.concatenate(lengths).astype(np.int64)
+        length, begin = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        length[number], begin[number] = packed, np.cumsum(packed) - packed
+        return length, begin, np.concatenate(flats).astype(np.int32)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, at = pieces(path), None
@@ -174,9 +190,8 @@ def _layout(path: str, packs: str):  # noqa: ANN202
             for i, codes in enumerate(batch.column("codes")):
                 if blocks[i] != at:
                     at = blocks[i]
-                    length, flat = block_ids(at)
-                    begin = np.cumsum(length) - length
-                c = np.frombuffer(zlib.decompress(codes.as_py()), np.uint32)
+                    length, begin, flat = block_ids(at)
+                c = _from_planes(zlib.decompress(codes.as_py()))
                 n = length[c]
                 own = flat[np.repeat(begin[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
                 ids.append(own)
