@@ -216,9 +216,8 @@ GRAMS = r"select distinct {key}, array_to_string(w[i:i+12], ' ') as gram from (s
 def _(s: SparkSession, d: str) -> DataFrame:
     g = J.gram_hashes(table(s, d, "documents"), "doc_id", "text", 13)
     b = J.gram_hashes(table(s, d, "benchmark"), "item_id", "text", 13).select("gram").distinct()
-    hits = g.join(b, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
-    totals = g.join(hits, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("grams"))
-    return totals.join(hits, "doc_id").select("doc_id", "grams", "shared", (F.col("shared") / F.col("grams")).alias("overlap"))
+    known = g.join(b.withColumn("known", F.lit(1)), "gram", "left").groupBy("doc_id").agg(F.count("*").alias("grams"), F.count("known").alias("shared"))
+    return known.where("shared > 0").withColumn("overlap", F.col("shared") / F.col("grams"))
 
 
 @query("w1_first_by_hash", f"select source, doc_id from (select source, doc_id, row_number() over (partition by source order by {H(chr(39) + 'w:' + chr(39) + ' || doc_id')}, doc_id) as rn from documents) where rn = 1")
