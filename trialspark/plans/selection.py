@@ -148,9 +148,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("j4_prefixed_id_join", "select count(*) as matched, (select count(*) from labels) as labels from labels join documents using (doc_id)")
 def _(s: SparkSession, d: str) -> DataFrame:
-    label = table(s, d, "labels").select(F.concat(F.lit("tmax/"), "doc_id").alias("id"))
+    label = table(s, d, "labels").select(F.concat(F.lit("pool/"), "doc_id").alias("id"))
     docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"))
-    both = label.withColumn("id", F.regexp_replace("id", "^tmax/", "")).join(docs, "id")
+    both = label.withColumn("id", F.regexp_replace("id", "^pool/", "")).join(docs, "id")
     return A.side_by_side(both.agg(F.count("*").alias("matched")), label.agg(F.count("*").alias("labels")))
 
 
