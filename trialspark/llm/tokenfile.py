@@ -27,10 +27,10 @@ from trialspark.shared import new_path
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-#: Distinct words whose ids a worker remembers; beyond it the memory is emptied and filled anew.
+#: Distinct words whose ids a worker remembers before it begins a new memory; of the last one, words that come again are kept.
 REMEMBERED = 600_000
 _MARKS = b".,;:!?"
-_memory: dict[tuple[str, str], dict[bytes, bytes]] = {}
+_memory: dict[tuple[str, str], tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 
 
 def encode(texts: list[bytes], path: str, dtype: str) -> list[bytes]:
@@ -38,13 +38,15 @@ def encode(texts: list[bytes], path: str, dtype: str) -> list[bytes]:
     a text's ids are those of its words, and those of a word followed by punctuation marks are the word's and the marks'. A
     text that may hold an added token is encoded as a whole."""
     t = tokenizer(path)
-    known = _memory.setdefault((path, dtype), {})
+    known, before = _memory.setdefault((path, dtype), ({}, {}))
     if len(known) > REMEMBERED:
-        known.clear()
+        known, before = _memory[path, dtype] = ({}, known)
     added = [x.content[:2].encode() for x in t.get_added_tokens_decoder().values()]
     words = [x.lower().split() for x in texts]
     parts = []
-    for w in set().union(*words).difference(known):
+    fresh = set().union(*words).difference(known)
+    known.update((w, before[w]) for w in fresh.intersection(before))
+    for w in fresh.difference(known):
         stem = w.rstrip(_MARKS)
         # after an ASCII letter or digit the marks begin a new piece
         parts.append((w, stem, w[len(stem) :]) if len(stem) < len(w) and stem[-1:].isalnum() else (w, w, b""))
