@@ -229,3 +229,23 @@ def test_components_equal_union_find(spark, edges):
             root[b] = a
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u int, v int")).collect()))
     assert got == {x: find(x) for x in list(root)}
+
+
+def test_the_whole_block_must_lie_in_the_prompt(spark):
+    b = "def total(rows):\n    return sum(r.price for r in rows)\n"
+    flat = "def total(rows): return sum(r.price for r in rows)"
+    blocks = spark.createDataFrame([("whole", b), ("start", b.replace("price", "cost")), ("line", flat), ("short", "def f():\n  pass")], "item string, text string")
+    blocks = blocks.where(J.is_block(F.col("text"))).select("item", J.flat(F.col("text")).alias("block"))
+    assert rows(blocks.select("item")) == [("start",), ("whole",)]
+    prompts = spark.createDataFrame([(1, f"write\n{b} now"), (2, "def total(x)"), (None, f"so {flat}"), (4, None)], "id long, text string")
+    found = J.containing(prompts.select("id", J.flat(F.col("text")).alias("text")), "id", "text", blocks, "block")
+    assert rows(found) == [(1, flat), (None, flat)]
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 4, 5, 9])
+def test_containing_is_brute_force(spark, words):
+    texts = [(i, " ".join(f"w{(i * 7 + k * k) % 11}" + "x" * (k % 3) for k in range(30)) + ("\n\tend  here" if i % 2 else "")) for i in range(12)]
+    cut = [t[j : j + 40] for _, t in texts for j in range(0, len(t) - 40, 13)] + ["\tend  here", "nowhere in them at all"]
+    literals = {" ".join(c.split(" ")[:words]).strip(" ") for c in cut} - {""}
+    found = J.containing(spark.createDataFrame(texts, "id long, text string"), "id", "text", spark.createDataFrame([(x,) for x in literals], "line string"), "line")
+    assert rows(found) == sorted(((i, x) for i, t in texts for x in literals if x in t), key=repr)

@@ -183,6 +183,16 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return c.where(F.char_length("text") >= 40).join(before, ["conv_id", "turn"]).where(F.col("prompt").contains(F.substring(J.flat(F.col("text")), 1, 4))).select("conv_id", "turn")
 
 
+FLAT = r"trim(regexp_replace({}, '[ \t\r\n]+', ' ', 'g'), ' ')"
+
+
+@query("j8_whole_block", rf"select item_id, doc_id from benchmark b join documents d on contains({FLAT.format('d.text')}, {FLAT.format('b.text')}) where length(b.text) >= 40 and regexp_matches(trim(b.text, E' \t\r\n'), '[\r\n]')")
+def _(s: SparkSession, d: str) -> DataFrame:
+    blocks = table(s, d, "benchmark").where(J.is_block(F.col("text"))).select("item_id", J.flat(F.col("text")).alias("block"))
+    docs = table(s, d, "documents").select("doc_id", J.flat(F.col("text")).alias("text"))
+    return blocks.join(J.containing(docs, "doc_id", "text", blocks, "block"), "block").select("item_id", "doc_id")
+
+
 @query("j9_label_join", "select l_orderkey, bool_or(p_size > 25) as substantive, count(*) as failures from lineitem join part on p_partkey = l_partkey where l_returnflag = 'N' group by l_orderkey")
 def _(s: SparkSession, d: str) -> DataFrame:
     nodes = table(s, d, "lineitem").where("l_returnflag = 'N'").select("l_orderkey", F.concat(F.lit("tests/t.py::p"), "l_partkey", F.lit("[x]")).alias("nodeid"))
