@@ -249,3 +249,10 @@ def test_containing_is_brute_force(spark, words):
     literals = {" ".join(c.split(" ")[:words]).strip(" ") for c in cut} - {""}
     found = J.containing(spark.createDataFrame(texts, "id long, text string"), "id", "text", spark.createDataFrame([(x,) for x in literals], "line string"), "line")
     assert rows(found) == sorted(((i, x) for i, t in texts for x in literals if x in t), key=repr)
+
+
+def test_literals_within_a_line_are_found(spark):
+    lit = "the answer is forty two"
+    texts = spark.createDataFrame([(1, f"so {lit}, he said"), (2, f"a\n  {lit} \nb"), (3, "the answer is forty"), (4, f"xx{lit}yy {lit}")], "id long, text string")
+    found = J.containing(texts, "id", "text", spark.createDataFrame([(lit,)], "line string"), "line")
+    assert rows(found) == [(1, lit), (2, lit), (4, lit)]

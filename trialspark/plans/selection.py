@@ -176,6 +176,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return lines.join(literals, "line").groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count_distinct("doc_id").alias("docs"))
 
 
+@query("j7_literal_anywhere", f"with b as (select distinct line from ({LINES.format(key='item_id', text='text', table='benchmark')})) select line, min(doc_id) as first_doc, count(distinct doc_id) as docs from b join documents d on contains(d.text, b.line) group by line")
+def _(s: SparkSession, d: str) -> DataFrame:
+    literals = J.lines_in(table(s, d, "benchmark"), "item_id", "text", 18)
+    return J.containing(table(s, d, "documents"), "doc_id", "text", literals, "line").groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count_distinct("doc_id").alias("docs"))
+
+
 @query("j8_expected_block", r"select c.conv_id, c.turn from conversations c join conversations p on p.conv_id = c.conv_id and p.turn = c.turn - 1 where length(c.text) >= 40 and contains(trim(regexp_replace(p.text, '[ \t\r\n]+', ' ', 'g'), ' '), substr(trim(regexp_replace(c.text, '[ \t\r\n]+', ' ', 'g'), ' '), 1, 4))")
 def _(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "conversations")
