@@ -256,3 +256,17 @@ def test_literals_within_a_line_are_found(spark):
     texts = spark.createDataFrame([(1, f"so {lit}, he said"), (2, f"a\n  {lit} \nb"), (3, "the answer is forty"), (4, f"xx{lit}yy {lit}")], "id long, text string")
     found = J.containing(texts, "id", "text", spark.createDataFrame([(lit,)], "line string"), "line")
     assert rows(found) == [(1, lit), (2, lit), (4, lit)]
+
+
+def test_copies_stay_in_groups_and_sides(spark, tmp_path):
+    from trialspark.plans.texts import Q
+
+    a, b = "red apples grow on old trees by the river", "nine ships left port before dawn with salt"
+    docs = spark.createDataFrame([(1, a), (4, a), (8, a), (2, b), (3, b), (5, b + " today"), (6, "alone here")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda n: Q[n](spark, str(tmp_path))
+    assert rows(run("t13_components_with_copies")) == [(1, 1), (2, 2), (3, 2), (4, 1), (5, 2), (8, 1)]
+    assert {(r["groups"], r["largest"], r["members"]) for r in run("t14_threshold_sensitivity").where("threshold = 0.5").collect()} == {(2, 3, 6)}
+    assert {(r["side"], r["pairs"]) for r in run("t15_cross_corpus_documents").collect()} == {("within_known", 1), ("across", 2), ("within_candidates", 3)}
+    assert {(r["doc_id"], r["rep"], r["members"]) for r in run("t12_exact_classes").collect()} == {(1, 1, 3), (4, 1, 3), (8, 1, 3), (2, 2, 2), (3, 2, 2), (5, 5, 1), (6, 6, 1)}
+    assert {(1, 4, 1.0), (1, 8, 1.0), (2, 3, 1.0)} <= set(rows(run("t24_character_similarity")))

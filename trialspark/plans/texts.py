@@ -113,11 +113,23 @@ r as (select doc_id, min(doc_id) over (partition by text) as rep from documents)
 pairs as (select x.doc_id as a, y.doc_id as b, sum(x.w * y.w) as cosine from vr x join vr y on x.gram = y.gram and x.doc_id < y.doc_id group by all having sum(x.w * y.w) >= 0.5)"""
 
 
-def pairs_of(s: SparkSession, d: str) -> DataFrame:
-    """Pairs of different texts; weights come from all documents, copies are then left to their first."""
+def pairs_of(s: SparkSession, d: str, threshold: float = 0.5) -> DataFrame:
+    """Pairs of different texts; weights come from all documents, copies are then left to their first (see links_of)."""
     w = X.tfidf(docs(s, d), "doc_id", "text")
     reps = X.classes_of(docs(s, d), "doc_id", "text").select(F.col("rep").alias("doc_id")).distinct()
-    return X.similar_pairs(w.join(reps, "doc_id", "left_semi"), "doc_id", 0.5)
+    return X.similar_pairs(w.join(reps, "doc_id", "left_semi"), "doc_id", threshold)
+
+
+def links_of(s: SparkSession, d: str) -> DataFrame:
+    """(a, b): every document that is not the first of its exact text, after the first; what pairs_of leaves out."""
+    return X.classes_of(docs(s, d), "doc_id", "text").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+
+
+def pairs_and_links(s: SparkSession, d: str) -> DataFrame:
+    return pairs_of(s, d).union(links_of(s, d).withColumn("cosine", F.lit(1.0)))
+
+
+COPIES = ", m as (select doc_id, min(doc_id) over (partition by text) as rep from documents where text is not null)"
 
 
 @query("t12_tfidf_pairs", TFIDF + " select a, b, round(cosine, 6) as cosine from pairs")
@@ -125,6 +137,17 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return pairs_of(s, d).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+@query("t12_exact_classes", f"with x as (select 1){COPIES} select doc_id, rep, count(*) over (partition by rep) as members from m")
+def _(s: SparkSession, d: str) -> DataFrame:
+    m = X.classes_of(docs(s, d), "doc_id", "text")
+    return m.join(m.groupBy("rep").agg(F.count("*").alias("members")), "rep").select("doc_id", "rep", "members")
+
+
+@query("t13_components_with_copies", TFIDF.replace("with t as", "with recursive t as") + COPIES + ", l as (select a, b from pairs union select rep, doc_id from m where doc_id <> rep), e as (select a, b from l union select b, a from l), c as (select a as node, a as root from e union select e.b, c.root from c join e on e.a = c.node where c.root < e.b) select node, min(root) as component from c group by node")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return connected_components(pairs_and_links(s, d).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 @query("t13_components", TFIDF.replace("with t as", "with recursive t as") + ", e as (select a, b from pairs union select b, a from pairs), c as (select a as node, a as root from e union select e.b, c.root from c join e on e.a = c.node where c.root < e.b) select node, min(root) as component from c group by node")
 def _(s: SparkSession, d: str) -> DataFrame:
     return connected_components(pairs_of(s, d).select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -134,7 +157,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _(s: SparkSession, d: str) -> DataFrame:
     from trialspark.shared import materialise
 
-    return X.groups_at(materialise(pairs_of(s, d), "pairs"), [0.5, 0.6, 0.7, 0.8])
+    return X.groups_at(materialise(pairs_and_links(s, d), "pairs"), [0.5, 0.6, 0.7, 0.8])
 
 
 @query("t15_cross_corpus_pairs", TFIDF + " select case when a % 4 = 0 and b % 4 = 0 then 'within_known' when a % 4 = 0 or b % 4 = 0 then 'across' else 'within_candidates' end as side, count(*) as pairs from pairs group by 1")
@@ -143,6 +166,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return pairs_of(s, d).groupBy(F.when(a & b, "within_known").when(a | b, "across").otherwise("within_candidates").alias("side")).agg(F.count("*").alias("pairs"))
 
 
+@query("t15_cross_corpus_documents", TFIDF.replace(">= 0.5", ">= 0.3") + COPIES + ", every as (select x.doc_id as a, y.doc_id as b from pairs join m x on x.rep = pairs.a join m y on y.rep = pairs.b union all select x.doc_id, y.doc_id from m x join m y on x.rep = y.rep and x.doc_id < y.doc_id) select case when a % 4 = 0 and b % 4 = 0 then 'within_known' when a % 4 = 0 or b % 4 = 0 then 'across' else 'within_candidates' end as side, count(*) as pairs from every group by 1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return X.pairs_by_side(pairs_of(s, d, 0.3), X.classes_of(docs(s, d), "doc_id", "text"), F.col("doc_id") % 4 == 0)
+
+
 @query("t16_without_comments", f"select page_id, sha256(trim(regexp_replace(lower(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')), '{B}', ' ', 'g'), ' ')) as digest from pages")
 def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", F.sha2(X.plain(F.col("html")), 256).alias("digest"))
@@ -197,6 +225,6 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("t24_character_similarity")
 def _(s: SparkSession, d: str) -> DataFrame:
-    p = pairs_of(s, d)
+    p = pairs_and_links(s, d)
     x, y = (docs(s, d).select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     return p.join(x, "a").join(y, "b").select("a", "b", F.round(X.character_similarity(F.col("text_a"), F.col("text_b")), 6).alias("similarity"))
