@@ -363,6 +363,48 @@ def test_licences(spark, odd, none):
     assert licenses.licences(none).count() == 0 and licenses.licences(odd).count() == odd.count()
 
 
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+GPL = """;; This program is free software: you can redistribute it and/or modify
+;; it under the terms of the GNU General Public License as published by
+;; the Free Software Foundation, either version 3 of the License, or
+;; (at your option) any later version.
+;;
+;; This program is distributed in the hope that it will be useful,
+;; but WITHOUT ANY WARRANTY; without even the implied warranty of
+;; MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+;; GNU General Public License for more details."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.\r
+"""
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    wrapped = lambda ids, n: "\n\n".join(textwrap.fill(licenses.SENTENCES[i].capitalize() + ".", n) for i in ids)
+    texts = [APACHE, GPL, UNLICENSE, wrapped((11, 12, 13), 72), "\n".join("# " + x for x in wrapped((14, 15, 16, 17), 60).split("\n")), wrapped((30,), 20)]
+    texts += ["Licensed under the Apache License, Version 2.0\n(the", "licensed under\n\nthe MIT license", "licensed under. the MIT license"]
+    r = licenses.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x["licences"] for x in r] == ["Apache-2.0", "GPL-3.0-or-later", "Unlicense", "MIT", "BSD-2-Clause-text,BSD-3-Clause", "ISC", "Apache-2.0", "", ""]
+    assert r[0]["sentence_ids"] == "5,6,7,8,9,10" and r[1]["sentence_ids"] == "18,20,21"
+
+
 def test_licence_sql(spark, sf):
     import duckdb
 

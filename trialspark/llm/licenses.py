@@ -1,6 +1,6 @@
 """Licence scans by sentence rules, in DataFrame functions alone.
 
-A text's sentences are normalised and looked up among known licence sentences; the sequence of identifiers found is then held
+A text's sentences, whole on a line or wrapped over several, are normalised and looked up among known licence sentences; the sequence of identifiers found is then held
 against rules, each an ordered list of identifiers that must follow one another, with others between them allowed.
 """
 
@@ -65,10 +65,18 @@ def rule_pattern(ids: tuple[int, ...]) -> str:
     return "," + ",([0-9]+,)*".join(map(str, ids)) + ","
 
 
-def sentences(text: str) -> Column:
-    """Normalised sentences: lines cut after . ! ? and white space (so version numbers stay whole)."""
-    cut = F.regexp_replace(F.translate(text, UPPER, LOWER), "([.!?;:])[ \\t\\r\\f\\x0B]+", "$1\n")
-    return F.transform(F.split(F.regexp_replace(cut, "[^a-z0-9\n]+", " "), "\n"), lambda s: F.trim(s))
+#: A known sentence as it stands in normalised lines: whole, from line to line, no blank line inside. A short one goes before a
+#: longer one that begins with it, so that a line which is a known sentence by itself stays one.
+FOUND = "(?<![^\n])(?:" + "|".join(x.replace(" ", "[ \n]") for x in sorted(SENTENCES.values(), key=len)) + ")(?![^\n])"
+
+
+def normalised(text: str) -> Column:
+    """Lines of lower-case letters and digits with single spaces. Signs that begin a line (comments) go; a blank line follows . ! ?
+    and white space (so version numbers stay whole), a new line ; : and white space, which may stand inside a sentence."""
+    t = F.regexp_replace(F.translate(text, UPPER, LOWER), "(^|\n)[^a-z0-9\n]+", "$1")
+    t = F.regexp_replace(t, "[.!?](?:[ \t\r\f\x0B]*\n|[ \t\r\f\x0B]+)", "\n\n")
+    t = F.regexp_replace(t, "[;:][ \t\r\f\x0B]+(?=[^ \t\r\f\x0B\n])", "\n")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9\n]+", " "), " *\n *", "\n"))
 
 
 def licences(docs: DataFrame) -> DataFrame:
@@ -80,8 +88,8 @@ def licences(docs: DataFrame) -> DataFrame:
     """
     known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    rows = docs.select("doc_id", F.when(hinted, sentences("text")).otherwise(F.array().cast("array<string>")).alias("sentences"))
-    rows = rows.select("doc_id", F.filter(F.transform("sentences", lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull()).alias("ids"))
+    rows = docs.select("doc_id", F.when(hinted, F.regexp_extract_all(normalised("text"), F.lit(FOUND), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("sentences"))
+    rows = rows.select("doc_id", F.transform("sentences", lambda s: F.try_element_at(known, F.translate(s, "\n", " "))).alias("ids"))
     rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("sentence_ids"))
     padded = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
     names = F.array(*(F.when(padded.rlike(rule_pattern(ids)), F.lit(name)) for name, ids in RULES))
