@@ -345,6 +345,18 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.score(odd, toxicity.learn(odd, labels.limit(0))).count() == odd.count()
 
 
+def test_mixed_documents_keep_null_and_repeated_ids(spark):
+    rows = [(i if i % 3 else None, f"s{i % 2}", f"text {i} " + "word " * (i % 7)) for i in range(60)]
+    rows += [(5, "s0", "other words under a known id " * k) for k in (1, 3)] + [(None, "s1", "the same row again")] * 4 + [(7, None, "no source")] + [(None, "s0", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mark = {(r["doc_id"], r["source"], r["mark"]): (r["doc_id"], r["source"], r["text"]) for r in docs.withColumn("mark", F.xxhash64("text")).collect()}
+    want = Counter()
+    for r in mixing.mix_rows(docs).where("size > 0").collect():
+        want[mark[r["doc_id"], r["source"], r["mark"]]] += int(r["taken"] / r["size"] + 0.5)
+    got = Counter(map(tuple, mixing.mixed_documents(docs).collect()))
+    assert got == +want and sum(n for r, n in got.items() if r[0] is None) > 10
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -39,15 +39,15 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the words of each row's text; a null text has none."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, mark, size: the words of each row's text; a null text has none. The mark is a hash of the text."""
+    return docs.select("doc_id", "source", F.xxhash64("text").alias("mark"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def streams(rows: DataFrame, count: int) -> DataFrame:
     """rows with start: where the row's words begin in its source's shuffled stream. Two levels of sums: no source is one task."""
-    rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit(8)))
+    rows = rows.withColumn("h", F.when(F.col("doc_id").isNull(), F.xxhash64("mark", F.lit(8))).otherwise(F.xxhash64("doc_id", F.lit(8))))
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(count // CHUNK + 1)))
-    inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
@@ -75,19 +75,14 @@ def schedule(targets: DataFrame, block: int, slots: int) -> DataFrame:
     return ranked.where(F.col("rank") < PASSES * blocks).select("slot", "sid", "rank", (F.col("rank") % blocks).alias("block"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs (doc_id, source, text).
-
-    A null text has size 0 and takes nothing; a null source is a source of its own, the last one; a null doc_id is shuffled as
-    any other; rows that repeat are taken one by one. Without any word all targets are 0. An empty table gives an empty one.
-    Equal inputs give equal results: the shuffle is a hash of doc_id and the schedule has no random part.
-    """
+def mix_rows(docs: DataFrame) -> DataFrame:
+    """What mix gives, with each row's source and mark."""
     rows = materialise(sized(docs), "sized")
     count, words = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     total = SHARE * words
     block = int(max(1, min(BLOCK, total // SLOTS)))
     targets = materialise(source_targets(rows), "targets")
-    rows = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select("doc_id", "size", "sid", "source_size", "target")
+    rows = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select("doc_id", rows["source"], "mark", "size", "sid", "source_size", "target")
     rows = materialise(streams(rows, count), "streams")
     takes = schedule(targets, block, int(-(-total // block))).groupBy("sid", "block").agg(F.count("*").alias("times"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
@@ -95,13 +90,36 @@ def mix(docs: DataFrame) -> DataFrame:
     inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     taken = parts.join(takes, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(inside * F.col("times")).alias("taken"))
     filled = rows.where("size > 0").join(taken, ["sid", "start"], "left").unionByName(rows.where("size = 0"), allowMissingColumns=True)
-    return filled.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return filled.select("doc_id", "source", "mark", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of docs (doc_id, source, text).
+
+    A null text has size 0 and takes nothing; a null source is a source of its own, the last one; a row with a null doc_id is
+    shuffled by its text; rows that repeat are taken one by one. Without any word all targets are 0. An empty table gives an empty
+    one. Equal inputs give equal results: the shuffle is a hash of doc_id and the schedule has no random part.
+    """
+    return mix_rows(docs).drop("source", "mark")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs as often as the mix takes them: the nearest whole number of times, so not, once or twice."""
-    times = mix(docs).where("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("times"))
-    return docs.join(times.where("times > 0"), "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), "times")).alias("_n")).drop("_n")
+    """The rows of docs as often as the mix takes them: the nearest whole number of times, so not, once or twice.
+
+    Each row has its own count, also where doc_id is null or stands for several texts or sources; rows that share doc_id, source
+    and text share out the counts of these rows among them.
+    """
+    key = ["doc_id", "source", "mark"]
+    times = mix_rows(docs).where("size > 0").withColumn("times", F.floor(F.col("taken") / F.col("size") + 0.5))
+    least = [F.count_if(F.col("times") >= k).alias(f"_{k}") for k in range(1, PASSES + 1)]
+    groups = materialise(times.groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.count("*").alias("_n"), *least).where("_1 > 0"), "times")
+    marked, at = docs.withColumn("_m", F.xxhash64("text")), [F.col(c) for c in ("doc_id", "source", "_m")]
+    same = at[0].eqNullSafe(F.col("_doc_id")) & at[1].eqNullSafe(F.col("_source")) & (at[2] == F.col("_mark"))
+    single = marked.join(groups.where("_n = 1"), same).withColumn("_rank", F.lit(1))
+    several = marked.join(groups.where("_n > 1"), same).withColumn("_rank", F.row_number().over(Window.partitionBy(*at).orderBy("_m")))
+    all_rows = single.unionByName(several)
+    count = sum((F.col("_rank") <= F.col(f"_{k}")).cast("int") for k in range(1, PASSES + 1))
+    return all_rows.withColumn("_times", count).where("_times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_i")).drop("_i")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
