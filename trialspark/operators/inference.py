@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialspark.functions.columns import h12, order_statistic
+from trialspark.functions.columns import order_statistic
+from trialspark.shared import materialise
+
+#: Replicates of a bootstrap, and clusters of a piece (16 MB of numbers).
+REPLICATES, PIECE = 20_000, 1 << 20
+# What the draws are made of; a SQL twin has the same.
+MULTIPLIER, STRIDE, SEED_STRIDE, OFFSET = np.uint32(73244475), 2654435761, 97531, np.uint32(1374496523)
 
 
 def wilson(k: Column, n: Column, z: float = 1.96, upper: bool = False) -> Column:
@@ -15,30 +25,77 @@ def wilson(k: Column, n: Column, z: float = 1.96, upper: bool = False) -> Column
     return F.when(n > 0, (centre + (spread if upper else -spread)) / (1 + z * z / n)).otherwise(1.0 if upper else 0.0)
 
 
-def numbered(clusters: DataFrame, order: str) -> DataFrame:
-    """clusters (one row for each, already aggregated) with j from 0 on in the given order, and their number n."""
+def _numbered(clusters: DataFrame, order: str) -> tuple[DataFrame, int]:
     spark = clusters.sparkSession
     pieces = clusters.repartitionByRange(order).withColumn("piece", F.spark_partition_id())
+    pieces = materialise(pieces, "pieces")  # range bounds are sampled anew in each execution, so the pieces are fixed first
     pieces = pieces.withColumn("at", F.row_number().over(Window.partitionBy("piece").orderBy(order)))
-    sizes = sorted(pieces.groupBy("piece").agg(F.count("*").alias("n"), F.min(order).alias("lo")).collect(), key=lambda r: r["lo"])  # one row for each partition
     bases, n = [], 0
-    for r in sizes:
+    for r in sorted(pieces.groupBy("piece").agg(F.count("*").alias("n")).collect()):  # one row for each partition; pieces ascend
         bases.append((r["piece"], n))
         n += r["n"]
     base = spark.createDataFrame(bases, "piece int, base long")
-    return pieces.join(F.broadcast(base), "piece").select(*clusters.columns, (F.col("base") + F.col("at") - 1).alias("j"), F.lit(n).cast("long").alias("n"))
+    return pieces.join(F.broadcast(base), "piece").select(*clusters.columns, (F.col("base") + F.col("at") - 1).alias("j"), F.lit(n).cast("long").alias("n")), n
+
+
+def numbered(clusters: DataFrame, order: str) -> DataFrame:
+    """clusters (one row for each, already aggregated) with j from 0 on in the given order, and their number n."""
+    return _numbered(clusters, order)[0]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of unsigned 32-bit integers that spreads every bit."""
+    for _ in range(2):
+        x = (x ^ (x >> np.uint32(16))) * MULTIPLIER
+    return x ^ (x >> np.uint32(16))
+
+
+def draws(seed: int, b: int, first: int, last: int, n: int) -> np.ndarray:
+    """Numbers below n drawn at places first to last - 1 of replicate b: whole-number arithmetic that any engine can repeat."""
+    one = _mixed(np.array([((b + 1) * STRIDE + seed * SEED_STRIDE) % 2**32], np.uint32))
+    two = _mixed(one + OFFSET)
+    h = _mixed(_mixed(one + np.arange(first, last, dtype=np.uint32)) ^ two)
+    return (h.astype(np.uint64) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def bootstrap(clusters: DataFrame, order: str, top: str, bottom: str | None, replicates: int, seed: int) -> DataFrame:
+def _partial_sums(seed: int):  # noqa: ANN202
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                low, whole, out = r.piece * PIECE, len(r.x) == r.n, []
+                for b in range(r.lo, r.hi):
+                    top = bottom = 0.0
+                    for first in range(0, r.n, PIECE):
+                        at = draws(seed, b, first, min(r.n, first + PIECE), r.n)
+                        if not whole:
+                            at = at[(at >= low) & (at < low + len(r.x))] - low
+                        top, bottom = top + float(r.x[at].sum()), bottom + float(r.y[at].sum())
+                    out.append((b, top, bottom))
+                yield pd.DataFrame(out, columns=["b", "top", "bottom"])
+
+    return rows
+
+
+def bootstrap(clusters: DataFrame, order: str, top: str, bottom: str | None, replicates: int = REPLICATES, seed: int = 7) -> DataFrame:
     """b, value for each replicate: the mean of top over n clusters drawn with replacement, or the sum of top over the sum of
-    bottom. Draw (b, j) is a hash of seed, b and j, so that any engine can repeat it. Clusters are joined on their number; what
-    is exploded is replicates times clusters, spread over all tasks."""
-    c = numbered(clusters, order)
-    draws = c.select("j", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    draws = draws.select("b", (h12(seed, F.col("b"), F.col("j")) % F.col("n")).alias("drawn"))
-    picked = draws.groupBy("b", "drawn").agg(F.count("*").alias("times")).join(c.withColumnRenamed("j", "drawn"), "drawn")
-    ratio = F.sum(F.col("times") * F.col(top)) / (F.sum("times") if bottom is None else F.sum(F.col("times") * F.col(bottom)))
-    return picked.groupBy("b").agg(ratio.alias("value"))
+    bottom; a null counts as 0. Draws are a function of seed, b and place (see draws), so that reruns agree.
+
+    Clusters lie in pieces of at most PIECE numbers. A task takes one piece and a range of replicates, draws in batches and
+    gives one row of sums for each replicate: what is shuffled is pieces times replicates, never a draw. Fewer than 2**31
+    clusters; without clusters there are no rows.
+    """
+    c, n = _numbered(clusters, order)
+    if n >= 2**31:
+        raise ValueError("more clusters than a draw can number")
+    number = F.coalesce(F.col(top).cast("double"), F.lit(0.0)).alias("x"), (F.lit(1.0) if bottom is None else F.coalesce(F.col(bottom).cast("double"), F.lit(0.0))).alias("y")
+    cells = c.select(F.floor(F.col("j") / PIECE).alias("piece"), "n", F.struct("j", *number).alias("v"))
+    pieces = cells.groupBy("piece", "n").agg(F.array_sort(F.collect_list("v")).alias("v")).select("piece", "n", F.col("v.x").alias("x"), F.col("v.y").alias("y"))
+    n_pieces = max(1, -(-n // PIECE))
+    ranges = max(1, -(-2 * c.sparkSession.sparkContext.defaultParallelism // n_pieces))
+    step = max(1, -(-replicates // ranges))
+    spans = pieces.withColumn("lo", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(step)))).withColumn("hi", F.least(F.col("lo") + step, F.lit(replicates)))
+    sums = spans.repartition(n_pieces * ranges).mapInPandas(_partial_sums(seed), "b long, top double, bottom double")
+    return sums.groupBy("b").agg((F.sum("top") / F.sum("bottom")).alias("value"))
 
 
 def intervals(values: DataFrame, **at: float) -> DataFrame:
@@ -53,3 +110,24 @@ def zero_defect_bound(n: Column, level: float = 0.05) -> Column:
 
 def triage(admissible: Column, exposures: Column, systematic: Column) -> Column:
     return F.when((admissible <= 0.25) | systematic, "drop").when((admissible >= 0.5) & (exposures == 0), "proceed").otherwise("owner")
+
+
+def variance_gate(varying: Column, mixed: Column, groups: Column) -> Column:
+    """Enough groups vary (lower Wilson bound of their share above .60) and a fifth of all are mixed."""
+    return (wilson(varying, groups) > 0.60) & (mixed >= 0.20 * groups)
+
+
+def in_range(mean: Column) -> Column:
+    """A mean that leaves room on both sides."""
+    return (mean >= 0.20) & (mean <= 0.80)
+
+
+def headroom(mean: Column, upper: Column) -> Column:
+    """In range, and the upper end of its interval below .90."""
+    return in_range(mean) & (upper < 0.90)
+
+
+def headline(**incidences: Column) -> Column:
+    """The name of the largest incidence of those at .20 or above, of equals the first; null if there is none."""
+    best = F.greatest(*incidences.values())
+    return F.when(best >= 0.20, F.coalesce(*(F.when(v == best, name) for name, v in incidences.items())))

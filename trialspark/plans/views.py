@@ -71,6 +71,29 @@ permits as (select '/home/user/' || p_brand || '/' as entry, unnest(['deleted',
   union all select '/home/user/' || p_brand || '/' || p_partkey, 'content_changed' from parts where p_partkey % 7 = 0)"""
 
 
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trials with all that a full summary asks for; arm p. The made-up fields stand in for a harness's records."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.bool_or(F.col("l_tax") > 0.06).alias("seen"), F.bool_or(F.col("l_quantity") == 1).alias("made"), F.count_if(F.col("l_quantity") > 49).alias("refused"),
+    )
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("end_reason"), (F.col("o_totalprice") / 1000).alias("seconds"))
+    more = o.join(lines, o["o_orderkey"] == lines["l_orderkey"], "left").drop("l_orderkey")
+    t = trials(spark, sf_dir).withColumnRenamed("faulted", "assigned")
+    t = t.join(more, t["row_id"] == more["o_orderkey"])
+    return t.select(
+        "row_id", "task_id", "config", "assigned", "family", "collateral", "n_calls", "tokens", "end_reason", "seconds", F.col("success_p").alias("success"), F.col("reward_p").alias("reward"),
+        (F.col("assigned") & F.coalesce("seen", F.lit(False))).alias("observed"), F.coalesce("made", F.lit(False)).alias("fabricated"), F.coalesce("refused", F.lit(0)).alias("refused"),
+        F.when(F.col("config") > 0, 3 * F.col("config") + 1).alias("max_commands"), ((F.col("n_calls") == 0) & (F.col("end_reason") == "P")).alias("error"), (F.col("n_calls") + F.col("config")).alias("turns"),
+        (F.col("success_p") & ~F.col("collateral")).alias("safe"),
+    )
+
+
+EPISODES = """episodes as (select row_id, task_id, config, faulted as assigned, family, collateral, n_calls, tokens, o_orderstatus as end_reason, o_totalprice / 1000 as seconds, success_p as success,
+  reward_p as reward, faulted and coalesce(seen, false) as observed, coalesce(made, false) as fabricated, coalesce(refused, 0) as refused, case when config > 0 then 3 * config + 1 end as max_commands,
+  n_calls = 0 and o_orderstatus = 'P' as error, n_calls + config as turns, success_p and not collateral as safe
+  from trials join orders on o_orderkey = row_id left join (select l_orderkey, bool_or(l_tax > 0.06) as seen, bool_or(l_quantity = 1) as made, count_if(l_quantity > 49) as refused from lineitem group by 1) on l_orderkey = row_id)"""
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as tasks, with their labels as a review where there is one."""
     d, label = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
