@@ -30,14 +30,16 @@ def picked(options: Column, *key: Column | str) -> Column:
 
 
 def roles(groups: DataFrame, group: str, exposed: str, order: str, sizes: dict[str, int], rest: str) -> DataFrame:
-    """groups with role: in hash order the first so many not exposed ones get each role, the others and the exposed ones rest."""
-    w = Window.partitionBy(exposed).orderBy(order, group)
-    ranked = groups.withColumn("at", F.row_number().over(w))
-    role, upto = F.when(F.col(exposed), rest), 0
+    """groups with role: in hash order the first so many not exposed ones get each role, the others and the exposed ones rest. Only as many
+    groups as the sizes add up to are ranked; a null exposed is not exposed. One row for each group."""
+    first = groups.where(~F.coalesce(F.col(exposed), F.lit(False))).select(group, order).orderBy(order, group).limit(sum(sizes.values()))
+    ranked = first.withColumn("at", F.row_number().over(Window.orderBy(order, group)))  # of as many rows as all sizes
+    role, upto = F.when(F.col("at").isNull(), rest), 0
     for name, n in sizes.items():
         upto += n
         role = role.when(F.col("at") <= upto, name)
-    return ranked.withColumn("role", role.otherwise(rest)).drop("at")
+    ranked = ranked.select(F.col(group).alias("_group"), role.alias("role"))
+    return groups.join(ranked, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group").withColumn("role", F.coalesce("role", F.lit(rest)))
 
 
 def hash_order(df: DataFrame, key: Column | str, salt: str, limit: int, skip: int = 0) -> DataFrame:

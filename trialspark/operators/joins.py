@@ -85,6 +85,22 @@ def range_join(rows: DataFrame, ranges: DataFrame, value: str) -> DataFrame:
 
 def gram_hashes(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, gram) of the distinct n-word windows of the lower-cased text, as hashes."""
-    words = df.select(key, F.filter(F.split(F.lower(text), "[ \t\r\n]+"), lambda w: w != "").alias("w")).where(F.size("w") >= n)
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, n), " ")))
-    return words.select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+    return gram_sets(df, key, text, n).select(key, F.explode_outer("grams").alias("gram")).where("gram is not null")
+
+
+def gram_sets(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, grams) as gram_hashes, in arrays (null without a window): each word is hashed once, a window is the hash of its words' hashes."""
+    words = F.filter(F.split(F.lower(text), "[ \t\r\n]+"), lambda w: w != "")
+    windows = lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))))
+    hashed = F.transform(words, lambda x: F.xxhash64(x))
+    return df.select(key, F.get(F.transform(F.array(hashed), windows), F.lit(0)).alias("grams"))  # bound once, however Spark moves it
+
+
+def shared_grams(df: DataFrame, key: str, text: str, known: DataFrame, known_text: str, n: int) -> DataFrame:
+    """key, grams, shared of the rows that share an n-word window with a row of known. Only windows that pass a bitmap of the
+    known ones are joined, so that the others are neither shuffled nor sorted, however many known ones there are."""
+    wanted = gram_hashes(known, known_text, known_text, n).select("gram").distinct()
+    sets = gram_sets(df, key, text, n)
+    rows = sets.select(key, F.size("grams").cast("long").alias("grams"), F.explode_outer("grams").alias("gram")).where("gram is not null")
+    maybe, _ = split_by_ids(rows, "gram", wanted)
+    return maybe.join(wanted, "gram", "left_semi").groupBy(key, "grams").agg(F.count("*").alias("shared"))

@@ -44,7 +44,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return M.diff(*manifests(s, d))
 
 
-@query("m3_write_sets_equal", W + CHANGES + ", w as (select path, unnest(kinds) as kind from changes) select count(*) as written, 0::bigint as only_first, count_if(kind = 'owner_changed') as only_second from w")
+@query("m3_write_sets_equal", W + CHANGES + ", w as (select path, unnest(kinds) as kind from changes), v as (select * from w where kind <> 'owner_changed') select count(*) as written, (select count(*) from (from v except all from w)) as only_first, (select count(*) from (from w except all from v)) as only_second from w")
 def _(s: SparkSession, d: str) -> DataFrame:
     before, after, _ = manifests(s, d)
     one = M.changed_kinds(before, after).select("path", F.explode("kinds").alias("kind"))

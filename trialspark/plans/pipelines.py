@@ -91,6 +91,47 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return R.tree_digest(table(s, d, "documents").withColumn("path", F.lpad(F.col("doc_id").cast("string"), 12, "0")), "source", "path", "text")
 
 
+@query("s14_large_tree_digest", """with f as (select source, lpad(doc_id::varchar, 12, '0') as p, sha256(text) as h from documents), parts as (select source, substr(sha256(p), 1, 4) as part, sha256(string_agg(p || ':' || h, chr(10) order by p)) as h from f group by all)
+select source, substr(sha256(string_agg(part || ':' || h, chr(10) order by part)), 1, 16) as digest from parts group by source""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return R.large_tree_digest(table(s, d, "documents").withColumn("path", F.lpad(F.col("doc_id").cast("string"), 12, "0")), "source", "path", "text")
+
+
+@query("s4_task_bundles", r"select 'task_' || item_id as task_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as instruction, 1::bigint as test_files from benchmark where item_id % 3 <> 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Every item of benchmark is written as a task folder, a third of them without tests; those do not count."""
+    root = new_path(s, "bundles")
+    b = table(s, d, "benchmark").select(F.concat(F.lit("task_"), "item_id").alias("task_id"), F.concat(F.lit(" \n"), "text", F.lit("\n")).alias("instruction"), F.when(F.col("item_id") % 3 != 0, "def test_state():\n    assert True\n").alias("test"))
+    R.write_bundles(b, root).write.format("noop").mode("overwrite").save()
+    return R.task_bundles(s, root)
+
+
+@query("s6_archive_members", """with f as (select item_id % 4 as archive, item_id, case when item_id % 5 = 0 then '%post pip install x ' else '%post ' end || text as def, case when item_id % 3 = 0 then '[]' else '[1]' end as solutions from benchmark)
+select archive || '.zip' as archive, count(*) as tasks, count_if(contains(def, 'pip install')) as network, count_if(strlen(solutions) > 2) as solved, sum(strlen(def) + strlen(solutions) + 2)::bigint as bytes from f group by all""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """benchmark as zip archives of task folders, and counts over their members' names, texts and sizes."""
+    root, item = new_path(s, "archives"), F.col("item_id").cast("string")
+    definition = F.concat(F.when(F.col("item_id") % 5 == 0, "%post pip install x ").otherwise("%post "), "text")
+    solutions = F.when(F.col("item_id") % 3 == 0, "[]").otherwise("[1]")
+    entry = lambda name, text: F.struct(F.concat(item, F.lit(name)).alias("member"), text.alias("text"))
+    files = table(s, d, "benchmark").select((F.col("item_id") % 4).alias("part"), F.explode(F.array(entry("/task.json", F.lit("{}")), entry("/container.def", definition), entry("/solutions/summary.json", solutions))).alias("f")).select("part", "f.*")
+    R.write_archives(files, "part", root).write.format("noop").mode("overwrite").save()
+    m, name = R.archive_members(s, f"{root}/*.zip"), F.col("member")
+    return m.groupBy("archive").agg(
+        F.count_if(name.endswith("/task.json")).alias("tasks"), F.count_if(name.endswith("/container.def") & F.col("text").contains("pip install")).alias("network"),
+        F.count_if(name.endswith("/solutions/summary.json") & (F.col("size") > 2)).alias("solved"), F.sum("size").alias("bytes"),
+    )
+
+
+@query("s12_atomic_publish", "select c_custkey, c_nationkey from customer where c_nationkey % 2 = 1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Published twice; readers see the second version only."""
+    path, c = new_path(s, "contracts"), table(s, d, "customer").select("c_custkey", "c_nationkey")
+    R.publish(c, path)
+    R.publish(c.where("c_nationkey % 2 = 1"), path)
+    return R.json_lines(s, path, "c_custkey long, c_nationkey long")
+
+
 @query("s15_hash_drift", "select doc_id, case when doc_id % 13 = 0 then 'missing' else 'changed' end as state from documents where doc_id % 13 = 0 or doc_id % 17 = 0")
 def _(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select("doc_id", "text")
@@ -215,24 +256,27 @@ def replayable(s: SparkSession, d: str) -> DataFrame:
 @query("x2_latch", "select user_id as episode, min(event_id) as first_call, count(distinct event_id % 7) as damaged from events where event_type = 'error' group by user_id")
 def _(s: SparkSession, d: str) -> DataFrame:
     e = replayable(s, d).where("event_type = 'error'").select("user_id", "event_id", (F.col("event_id") % 7).cast("string").alias("path"))
-    last = drained(X.latch(e, "user_id", "event_id", "path"), "update")
-    return last.groupBy("episode").agg(F.min("first_call").alias("first_call"), F.max("damaged").alias("damaged"))
+    return X.latched(drained(X.latch(e, "user_id", "event_id", "path"), "update"))
+
+
+STOPS = f"""with {STEPS}, w as (select user_id as run, step, row_number() over r as n, sum(hours) over r as hours, min(zero) over (r rows between 2 preceding and current row) as z, not isfinite(value) or not isfinite(grad_norm) as broken,
+avg(1 - zero) over (r rows between 31 preceding and current row) as i1, avg(1 - zero) over (r rows between 63 preceding and 32 preceding) as i2, avg(clipped) over (r rows between 7 preceding and current row) as t1,
+avg(clipped) over (r rows between 15 preceding and 8 preceding) as t2 from steps window r as (partition by user_id order by step)),
+f as (select run, step, case when n * 16 >= 1200 then 'trajectories' when hours > 40 then 'hours' when n >= 16 and n % 8 = 0 and t1 > 0.05 and t2 > 0.05 then 'truncated' when n >= 64 and n % 32 = 0 and i1 < 0.60 and i2 < 0.60 then 'informative'
+when n >= 3 and z >= 1 then 'streak' when broken then 'not_finite' end as rule from w) select run, arg_min(rule, step) as rule, min(step) as step from f where rule is not null group by run"""
+LOGGED = ("user_id", "loss", "grad_norm", "zero", "clipped", "hours")
 
 
-@query("x3_liveness")
+@query("x3_liveness", STOPS)
 def _(s: SparkSession, d: str) -> DataFrame:
     path = new_path(s, "steps")
-    steps(s, d).select("user_id", F.col("step").cast("long").alias("step"), "zero", "value").write.parquet(path)
-    return drained(X.liveness(s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 10_000).parquet(path), "user_id", "step", "zero", "value"))
+    steps(s, d).select(*LOGGED, F.col("step").cast("long").alias("step")).write.parquet(path)
+    return drained(X.liveness(s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 10_000).parquet(path), "user_id", "step"))
 
 
-@query("x3_liveness_batch", f"""with {STEPS}, i as (select *, sum(case when zero = 1.0 then 0 else 1 end) over (partition by user_id order by step) as g, sum(value) over (partition by user_id order by step rows unbounded preceding) as total from steps),
-k as (select *, sum((zero = 1.0)::int) over (partition by user_id, g order by step) as streak from i) select user_id, min(step) as stop_step from k where streak >= 3 or total >= 500 group by user_id""")
+@query("x3_liveness_batch", STOPS)
 def _(s: SparkSession, d: str) -> DataFrame:
-    x = steps(s, d)
-    one = W.streaks(x, "user_id", "step", F.col("zero") == 1).where("streak >= 3").select("user_id", "step")
-    two = W.crossing(x, "user_id", "step", "value", 500.0).select("user_id", F.col("stop_step").alias("step"))
-    return one.union(two).groupBy("user_id").agg(F.min("step").cast("long").alias("stop_step"))
+    return X.stops(steps(s, d), "user_id", "step")
 
 
 @query("x4_windowed_incidence", "select time_bucket(interval '1 hour', ts) as start, count(*) as n, count_if(event_type = 'error') as bad from events group by 1")

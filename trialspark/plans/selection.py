@@ -230,10 +230,7 @@ GRAMS = r"select distinct {key}, array_to_string(w[i:i+12], ' ') as gram from (s
 
 @query("j12_ngram_overlap", f"with g as ({GRAMS.format(key='doc_id', table='documents')}), b as (select distinct gram from ({GRAMS.format(key='item_id', table='benchmark')})) select doc_id, count(*) as grams, count(b.gram) as shared, count(b.gram) / count(*)::double as overlap from g left join b using (gram) group by doc_id having count(b.gram) > 0")
 def _(s: SparkSession, d: str) -> DataFrame:
-    g = J.gram_hashes(table(s, d, "documents"), "doc_id", "text", 13)
-    b = J.gram_hashes(table(s, d, "benchmark"), "item_id", "text", 13).select("gram").distinct()
-    known = g.join(b.withColumn("known", F.lit(1)), "gram", "left").groupBy("doc_id").agg(F.count("*").alias("grams"), F.count("known").alias("shared"))
-    return known.where("shared > 0").withColumn("overlap", F.col("shared") / F.col("grams"))
+    return J.shared_grams(table(s, d, "documents"), "doc_id", "text", table(s, d, "benchmark"), "text", 13).withColumn("overlap", F.col("shared") / F.col("grams"))
 
 
 @query("w1_first_by_hash", f"select source, doc_id from (select source, doc_id, row_number() over (partition by source order by {H(chr(39) + 'w:' + chr(39) + ' || doc_id')}, doc_id) as rn from documents) where rn = 1")
@@ -267,10 +264,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return x.where("streak >= 3").groupBy("user_id").agg(F.min("step").cast("long").alias("stop_step"))
 
 
-@query("w6_two_windows", f"with {STEPS}, b as (select user_id, (step - 1) // 8 as block, avg(1 - zero) as m from steps group by all having count(*) = 8), l as (select *, lag(m) over (partition by user_id order by block) as p from b) select user_id, block, m as mean from l where m < 0.3 and p < 0.3")
+@query("w6_two_windows", f"with {STEPS}, " + """b as (select user_id, 'informative' as rule, (step - 1) // 32 as block, avg(1 - zero) as m from steps group by all having count(*) = 32 union all
+select user_id, 'truncated', (step - 1) // 8, avg(clipped) from steps group by all having count(*) = 8), l as (select *, lag(m) over (partition by user_id, rule order by block) as p from b)
+select user_id, rule, block, m as mean from l where case when rule = 'informative' then m < 0.60 and p < 0.60 else m > 0.05 and p > 0.05 end""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    x = W.fixed_windows(steps(s, d), "user_id", "step", 1 - F.col("zero"), 8)
-    return x.where("mean < 0.3 and before < 0.3").drop("before")
+    x = steps(s, d)
+    informative = W.fixed_windows(x, "user_id", "step", 1 - F.col("zero"), 32).where("mean < 0.60 and before < 0.60").withColumn("rule", F.lit("informative"))
+    truncated = W.fixed_windows(x, "user_id", "step", F.col("clipped"), 8).where("mean > 0.05 and before > 0.05").withColumn("rule", F.lit("truncated"))
+    return informative.union(truncated).select("user_id", "rule", "block", "mean")
 
 
 @query("w7_cumulative_caps", f"with {STEPS}, c as (select *, sum(value) over (partition by user_id order by step rows unbounded preceding) as t from steps) select user_id, min(step) as stop_step from c where t >= 500 group by user_id")

@@ -107,8 +107,12 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a training log: step counts each user's events, zero is the share without signal, informative the rest."""
     e = table(spark, sf_dir, "events")
     s = e.select("user_id", "event_id", "ts", "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("step"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    return s.withColumn("zero", F.when(F.col("event_type") == "error", 1.0).otherwise(F.when(h12("z", F.col("event_id")) % 3 == 0, 1.0).otherwise(0.5)))
+    s = s.withColumn("zero", F.when(F.col("event_type") == "error", 1.0).otherwise(F.when(h12("z", F.col("event_id")) % 3 == 0, 1.0).otherwise(0.5)))
+    clipped = F.when((F.col("user_id") % 10 == 0) & (F.col("event_type") != "view"), 0.125).otherwise(0.0)
+    broken = F.when(F.col("event_id") % 997 == 0, F.lit(float("inf"))).when(F.col("event_id") % 997 == 1, F.lit(float("nan"))).otherwise(1.0)
+    return s.withColumns({"clipped": clipped, "loss": F.col("value"), "grad_norm": broken, "hours": F.col("value") / 100})
 
 
 STEPS = """steps as (select *, case when event_type = 'error' then 1.0 when ('0x' || substr(sha256('z:' || event_id), 1, 12))::bigint % 3 = 0 then 1.0 else 0.5 end as zero from (
-  select user_id, event_id, ts, event_type, row_number() over (partition by user_id order by ts, event_id) as step, coalesce(value, 0.0) as value from events))"""
+  select user_id, event_id, ts, event_type, case when user_id % 10 = 0 and event_type <> 'view' then 0.125 else 0.0 end as clipped,
+  case when event_id % 997 = 0 then 'infinity'::double when event_id % 997 = 1 then 'nan'::double else 1.0 end as grad_norm, coalesce(value, 0.0) / 100 as hours, row_number() over (partition by user_id order by ts, event_id) as step, coalesce(value, 0.0) as value from events))"""

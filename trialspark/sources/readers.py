@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
@@ -102,6 +103,59 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def publish(df: DataFrame, path: str) -> None:
+    """Replace the JSON lines at path as a whole: written beside it, then renamed, so that readers see the old rows or the new ones.
+    Rows are few (contracts), so they become one file."""
+    spark = df.sparkSession
+    df.coalesce(1).write.mode("overwrite").json(f"{path}.tmp")
+    target, fresh, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}{x}") for x in ("", ".tmp", ".old"))
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(target):
+        store.delete(old, True)
+        store.rename(target, old)
+    if not store.rename(fresh, target):
+        raise OSError(f"could not publish {path}")
+    store.delete(old, True)
+
+
+def _put(uri: str, content: bytes) -> None:
+    """Write one file in a store that all executors reach."""
+    store, at = fs.FileSystem.from_uri(uri)
+    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(at) as f:
+        f.write(content)
+
+
+def write_bundles(tasks: DataFrame, root: str) -> DataFrame:
+    """One folder for each row of tasks (task_id, instruction, test): instruction.md and, if test is not null, tests/test_state.py.
+    Returns the task_ids written; a folder that exists is written over."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                _put(f"{root}/{r.task_id}/instruction.md", (r.instruction or "").encode())
+                if r.test is not None:
+                    _put(f"{root}/{r.task_id}/tests/test_state.py", r.test.encode())
+            yield pdf[["task_id"]]
+
+    return tasks.select("task_id", "instruction", "test").mapInPandas(rows, "task_id string")
+
+
+def write_archives(files: DataFrame, archive: str, root: str) -> DataFrame:
+    """One zip archive root/<archive>.zip for each value of archive, with the files (member, text) of its rows; returns archive, members.
+    An archive is written by one task, so it must fit into its memory."""
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, buf = pdf[archive].iloc[0], io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            for member, text in sorted(zip(pdf["member"], pdf["text"], strict=True)):
+                z.writestr(member, text or "")
+        _put(f"{root}/{name}.zip", buf.getvalue())
+        return pd.DataFrame({"archive": [str(name)], "members": [len(pdf)]})
+
+    return files.groupBy(archive).applyInPandas(rows, "archive string, members long")
+
+
 def row_digests(df: DataFrame) -> DataFrame:
     """n, digest: rows and an order-free digest of them: the sum of 60-bit hash prefixes, so that repeated rows count."""
     h = F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns)))), 256)
@@ -109,12 +163,22 @@ def row_digests(df: DataFrame) -> DataFrame:
 
 
 def tree_digest(files: DataFrame, tree: str, path: str, content: str) -> DataFrame:
-    """tree, digest: of all files of a tree, ordered by path, their path and content digests; 16 characters."""
+    """tree, digest: of all files of a tree, ordered by path, their path and content digests; 16 characters. For trees whose list of
+    files fits into a task (test folders); see large_tree_digest."""
     leaves = files.select(tree, F.struct(F.col(path).alias("p"), F.sha2(content, 256).alias("h")).alias("leaf"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("leaf")), lambda x: F.concat(x["p"], F.lit(":"), x["h"])), "\n")
     return leaves.groupBy(tree).agg(F.substring(F.sha2(joined, 256), 1, 16).alias("digest"))
 
 
+def large_tree_digest(files: DataFrame, tree: str, path: str, content: str, digits: int = 4) -> DataFrame:
+    """tree, digest as tree_digest of a tree of any size, on two levels: leaves are dealt to 16**digits folders by the hash of their
+    path, a folder's digest is that of its leaves in order, the tree's that of its folders' in order."""
+    named = files.select(tree, F.substring(F.sha2(F.col(path), 256), 1, digits).alias("_part"), F.struct(F.col(path).alias("p"), F.sha2(content, 256).alias("h")).alias("leaf"))
+    lines = lambda leaves: F.array_join(F.transform(F.array_sort(F.collect_list(leaves)), lambda x: F.concat(x["p"], F.lit(":"), x["h"])), "\n")
+    parts = named.groupBy(tree, "_part").agg(F.sha2(lines("leaf"), 256).alias("h")).select(tree, F.struct(F.col("_part").alias("p"), "h").alias("leaf"))
+    return parts.groupBy(tree).agg(F.substring(F.sha2(lines("leaf"), 256), 1, 16).alias("digest"))
+
+
 def drift(recorded: DataFrame, files: DataFrame, path: str, content: str) -> DataFrame:
     """path, state (missing, changed) of files that are not what was recorded (path, digest)."""
     j = recorded.join(files.select(path, F.sha2(content, 256).alias("now")), path, "left")

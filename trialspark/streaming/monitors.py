@@ -3,15 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "1 hour"
 
 
+@dataclass(frozen=True)
+class StopLimits:
+    """Limits of the stop rules of a run; the windows and their bounds are fixed values."""
+
+    streak: int = 3
+    informative_window: int = 32
+    informative_floor: float = 0.60
+    truncated_window: int = 8
+    truncated_ceiling: float = 0.05
+    hours: float = 40.0
+    per_step: int = 16
+    trajectories: int = 1200
+
+
 def ingest(stream: DataFrame, key: str, ts: str, late: str = LATE) -> DataFrame:
     """Each attempt once, however often it was replayed within the watermark."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
@@ -25,46 +40,78 @@ def incidence(stream: DataFrame, ts: str, bad: F.Column, width: str = "1 hour",
 
 
 def latch(stream: DataFrame, episode: str, call: str, path: str) -> DataFrame:
-    """episode, first_call, damaged: state of the first violation seen of each episode. A late call with a smaller index replaces the
-    latch, so that the stream ends where the batch minimum is; paths only add up."""
+    """episode, path, first_call of every damaged path, for update mode: the state is one number for each path of an episode, and
+    only what changed is written again. A late call with a smaller index replaces the first one."""
+    return stream.groupBy(F.col(episode).alias("episode"), F.col(path).alias("path")).agg(F.min(call).alias("first_call"))
+
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, paths = (state.get[0], set(state.get[1].split("\n"))) if state.exists else (None, set())
-        for pdf in batches:
-            low = int(pdf[call].min())
-            first = low if first is None else min(first, low)
-            paths |= set(pdf[path].astype(str))
-        state.update((first, "\n".join(sorted(paths))))
-        yield pd.DataFrame({"episode": [key[0]], "first_call": [first], "damaged": [len(paths)]})
+def latched(updates: DataFrame) -> DataFrame:
+    """episode, first_call, damaged: first violation and distinct paths of each episode, from what latch wrote so far."""
+    per = updates.groupBy("episode", "path").agg(F.min("first_call").alias("first_call"))
+    return per.groupBy("episode").agg(F.min("first_call").alias("first_call"), F.count("*").alias("damaged"))
 
-    out = "episode long, first_call long, damaged long"
-    return stream.groupBy(episode).applyInPandasWithState(step, out, "first long, paths string", "update", GroupStateTimeout.NoTimeout)
 
+def liveness(stream: DataFrame, run: str, step: str, limits: StopLimits | None = None) -> DataFrame:
+    """run, rule, step: the first step of each run at which a stop rule holds. Of several at one step the last in this order counts:
+    not_finite (loss or grad_norm is infinite or no number), streak (steps in a row without signal, zero >= 1), informative (two whole windows
+    in a row with a mean of 1 - zero under the floor), truncated (two with a mean of clipped above the ceiling), hours (their
+    sum above the cap), trajectories (so many for each step; at the cap). Windows are looked at when they are full.
 
-def liveness(stream: DataFrame, run: str, step: str, zero: str, amount: str, streak: int = 3, size: int = 8, floor: float = 0.3, cap: float = 500.0) -> DataFrame:
-    """run, rule, step: which stop rule fired first and where: streak bad steps in a row, two whole windows in a row under floor, a running
-    total at cap, or a value that is no number. Steps of a run must arrive in order from one micro-batch to the next."""
+    stream: run, step, loss, grad_norm, zero, clipped, hours; a null in these is a missing log entry: finite, with signal, not
+    clipped, no time. Steps of a run must arrive in order from one micro-batch to the next. The state is ten numbers for each run.
+    """
+    k = limits or StopLimits()
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run_of, total, window, before, fired = (state.get[0], state.get[1], list(map(float, state.get[2].split())), state.get[3], state.get[4]) if state.exists else (0, 0.0, [], 1.0, False)
+        n, streak, inf_sum, inf_before, clip_sum, clip_before, hours, fired = state.get if state.exists else (0, 0, 0.0, 1.0, 0.0, 0.0, 0.0, False)
         rows = pd.concat(list(batches)).sort_values(step)
+        values = (rows[c].tolist() for c in (step, "loss", "grad_norm", "zero", "clipped", "hours", "broken"))
         out = []
-        for at, z, x in zip(rows[step], rows[zero], rows[amount], strict=True):
-            run_of = run_of + 1 if z == 1 else 0
-            total += x
-            window.append(1 - z)
-            rule = "not_finite" if x != x else "streak" if run_of >= streak else "cap" if total >= cap else None
-            if len(window) == size:
-                mean, window = sum(window) / size, []
-                rule = rule or ("two_windows" if mean < floor and before < floor else None)
-                before = mean
+        for at, _, _, zero, clipped, spent, broken in zip(*values, strict=True):
+            n, hours = n + 1, hours + spent
+            rule = "not_finite" if broken else None
+            streak = streak + 1 if zero >= 1 else 0
+            rule = "streak" if streak >= k.streak else rule
+            inf_sum, clip_sum = inf_sum + 1 - zero, clip_sum + clipped
+            if n % k.informative_window == 0:
+                mean, inf_sum = inf_sum / k.informative_window, 0.0
+                rule = "informative" if mean < k.informative_floor and inf_before < k.informative_floor else rule
+                inf_before = mean
+            if n % k.truncated_window == 0:
+                mean, clip_sum = clip_sum / k.truncated_window, 0.0
+                rule = "truncated" if mean > k.truncated_ceiling and clip_before > k.truncated_ceiling else rule
+                clip_before = mean
+            rule = "hours" if hours > k.hours else rule
+            rule = "trajectories" if n * k.per_step >= k.trajectories else rule
             if rule and not fired:
                 fired = True
                 out.append((key[0], rule, int(at)))
-        state.update((run_of, total, " ".join(map(str, window)), before, fired))
+        state.update((n, streak, inf_sum, inf_before, clip_sum, clip_before, hours, fired))
         yield pd.DataFrame(out, columns=["run", "rule", "step"])
 
-    return stream.groupBy(run).applyInPandasWithState(fold, "run long, rule string, step long", "run_of int, total double, win string, before double, fired boolean", "append", GroupStateTimeout.NoTimeout)
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(True))
+    whole = stream.withColumn("broken", ~(finite("loss") & finite("grad_norm")))
+    whole = whole.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("zero", "clipped", "hours")})
+    state = "n long, streak long, inf_sum double, inf_before double, clip_sum double, clip_before double, hours double, fired boolean"
+    return whole.groupBy(run).applyInPandasWithState(fold, "run long, rule string, step long", state, "append", GroupStateTimeout.NoTimeout)
+
+
+def stops(df: DataFrame, run: str, step: str, limits: StopLimits | None = None) -> DataFrame:
+    """What liveness gives, of a finished log as a batch: windows over each run. Steps count from 1."""
+    k = limits or StopLimits()
+    w = Window.partitionBy(run).orderBy(step)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda c, n, back: F.avg(c).over(w.rowsBetween(1 - n * (back + 1), -n * back))
+    whole = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("zero", "clipped", "hours")}).withColumn("inf", 1 - F.col("zero"))
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(True))
+    n = F.row_number().over(w)
+    pair = lambda c, size, bad: (n >= 2 * size) & (n % size == 0) & bad(last(c, size, 0)) & bad(last(c, size, 1))
+    rules = {
+        "trajectories": n * k.per_step >= k.trajectories, "hours": F.sum("hours").over(so_far) > k.hours, "truncated": pair("clipped", k.truncated_window, lambda m: m > k.truncated_ceiling),
+        "informative": pair("inf", k.informative_window, lambda m: m < k.informative_floor), "streak": (n >= k.streak) & (F.min("zero").over(w.rowsBetween(1 - k.streak, 0)) >= 1), "not_finite": ~(finite("loss") & finite("grad_norm")),
+    }
+    fired = whole.withColumn("rule", F.coalesce(*(F.when(v, F.lit(name)) for name, v in rules.items()))).where("rule is not null")
+    return fired.groupBy(F.col(run).alias("run")).agg(F.min_by("rule", step).alias("rule"), F.min(step).cast("long").alias("step"))
 
 
 def progress(stream: DataFrame, error: F.Column) -> DataFrame:
