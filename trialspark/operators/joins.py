@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,12 +90,32 @@ def gram_hashes(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return gram_sets(df, key, text, n).select(key, F.explode_outer("grams").alias("gram")).where("gram is not null")
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), value computed once, however Spark moves the expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _windows(hashes: Column, n: int) -> Column:
+    """Hashes of all n-element windows: of two halves of equal length, until the halves of a window overlap."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        hashes, have = _with(hashes, _pairs_at(step)), have + step
+    return hashes
+
+
+def _pairs_at(step: int) -> Callable[[Column], Column]:
+    def pairs(h: Column) -> Column:
+        left = F.greatest(F.size(h) - step, F.lit(0))
+        return F.zip_with(F.slice(h, F.lit(1), left), F.slice(h, F.lit(step + 1), left), lambda a, b: F.xxhash64(a, b))
+
+    return pairs
+
+
 def gram_sets(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, grams) as gram_hashes, in arrays (null without a window): each word is hashed once, a window is the hash of its words' hashes."""
+    """(key, grams) as gram_hashes, in arrays (empty without a window): each word is hashed once, and windows from hashes."""
     words = F.filter(F.split(F.lower(text), "[ \t\r\n]+"), lambda w: w != "")
-    windows = lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))))
-    hashed = F.transform(words, lambda x: F.xxhash64(x))
-    return df.select(key, F.get(F.transform(F.array(hashed), windows), F.lit(0)).alias("grams"))  # bound once, however Spark moves it
+    return df.select(key, F.array_distinct(_windows(F.transform(words, lambda x: F.xxhash64(x)), n)).alias("grams"))
 
 
 def shared_grams(df: DataFrame, key: str, text: str, known: DataFrame, known_text: str, n: int) -> DataFrame:
