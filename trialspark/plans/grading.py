@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trialspark.operators import grading as G
 from trialspark.operators import snapshots as M
 from trialspark.plans.summaries import T
-from trialspark.plans.views import MANIFESTS, TASKS, manifests, table, tasks, trials
+from trialspark.plans.views import IMAGES, MANIFESTS, TASKS, images, manifests, table, tasks, trials
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -85,18 +85,16 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return permits.union(fault).groupBy("entry").agg(joined(F.collect_set("kind")).alias("kinds"))
 
 
-DAMAGE = """, dmg as (select coalesce(b.path, a.path) as path, case when b.path is null then 'added' when a.path is null then 'deleted' when b.sha256 <> a.sha256 then 'changed' else 'attributes' end as change, b.sha256 as gold_hash, b.mode as gold_mode
-from before b full join after a using (path) where (b.path is null or a.path is null or b.ftype <> a.ftype or b.mode <> a.mode or b.size <> a.size or b.link is distinct from a.link) and not (b.path is null and a.path like '%Brand#1%'))"""
+DAMAGE = """, c as (select coalesce(g.path, d.path) as path, g.path is not null as was, d.path is not null as now, coalesce(d.ftype, g.ftype) = 'd' as folder, g.sha256 as gold_hash, g.mode as gold_mode, d.sha256 as bad_hash, d.mode as bad_mode from gold g full join damaged d using (path)),
+dmg as (select path, case when folder then case when was and now and gold_mode <> bad_mode then 'dir_mode' end when not was then case when path not like '%d1%' then 'added' end when not now then 'deleted' when gold_hash <> bad_hash or gold_mode <> bad_mode then 'changed' end as change, gold_hash, gold_mode
+from c where change is not null)"""
+CODE = "(regexp_matches(d.path, '[.](py|pth|so)$') or regexp_matches(d.path, '[.]so[.][^/]*$') or d.path like '%/bin/%' or d.path like '%/sbin/%' or starts_with(d.path, '/etc/ld.so'))"
 
 
-def damage(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    before, after, _ = manifests(s, d)
-    return M.damage_set(before, after, after.where("path like '%Brand#1%'").select("path")), before, after
-
-
-@query("m7_damage_set", W + DAMAGE + " select * from dmg")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return damage(s, d)[0]
+@query("m7_damage_set", f"with {IMAGES}" + DAMAGE + " select * from dmg")
+def damage(s: SparkSession, d: str) -> DataFrame:
+    gold, damaged, _ = images(s, d)
+    return M.damage_set(gold, damaged, damaged.where("path like '%d1%'").select("path"))
 
 
 @query("m8_merged_usr", "with p as (select '/' || ['bin', 'lib', 'opt'][p_partkey % 3 + 1] || '/' || p_name as path from part) select path as original, path from p union all select path, '/usr' || path from p where regexp_matches(path, '^/(bin|sbin|lib|lib64)/')")
@@ -106,11 +104,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return p.select("original", F.explode(M.merged_usr(F.col("original"))).alias("path"))
 
 
-@query("m9_residue", W + DAMAGE + """ select path, problem from (select d.path, unnest(list_filter([case when change = 'added' and n.path is not null then 'added_still_present' end, case when change <> 'added' and n.path is null then 'missing' end,
-case when change <> 'added' and n.path is not null and n.sha256 <> gold_hash then 'content' end, case when change <> 'added' and n.path is not null and n.mode <> gold_mode then 'mode' end], lambda x: x is not null)) as problem from dmg d left join after n on n.path = d.path)""")
+@query("m9_residue", f"with {IMAGES}" + DAMAGE + f""", j as (select d.*, n.path is not null as there, n.sha256 as now_hash, n.mode as now_mode, d.path like '%.py' and n.text = g.text || '# mended' || chr(10) as alike from dmg d left join repaired n on n.path = d.path left join gold g on g.path = d.path
+where change in ('changed', 'dir_mode') or {CODE}), f as (select path, case when change = 'added' then case when there then 'added_still_present' end when change = 'dir_mode' then case when now_mode is distinct from gold_mode then 'dir_mode' end when not there then 'missing'
+when now_hash <> gold_hash then case when not alike then 'content' end when now_mode <> gold_mode then 'mode' end as problem from j)
+select path, problem from f where problem is not null union all select d.path, 'new_hook' from repaired d where regexp_matches(d.path, '^/usr/(local/)?lib/.*-packages.*[.]pth$') and d.path not in (select path from gold) union all select '/etc/ld.so.preload', 'ld_preload'""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    dmg, _, after = damage(s, d)
-    return M.residue(dmg, after)
+    """Syntax trees are the same where the twin knows that a comment was added."""
+    gold, _, repaired = images(s, d)
+    return M.residue(damage(s, d), gold, repaired)
 
 
 @query("m10_grader_disagreement", T + ", k as (select task_id, count_if(success_p and not collateral) as both_pass, count_if(success_p and collateral) as only_first, count(*) as n from trials group by task_id) select both_pass, only_first, count(*) as tasks, count_if(both_pass > 0 and both_pass < n) as mixed from k group by all")

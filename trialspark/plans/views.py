@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.columns import h12
@@ -71,6 +71,47 @@ permits as (select '/home/user/' || p_brand || '/' as entry, unnest(['deleted',
   union all select '/home/user/' || p_brand || '/' || p_partkey, 'content_changed' from parts where p_partkey % 7 = 0)"""
 
 
+#: Places of the made-up files of an image, by p_partkey % 6.
+PLACES = ("/usr/lib/python3/dist-packages/m{}.py", "/usr/bin/t{}", "/home/user/d{}.txt", "/opt/d{}", "/usr/local/lib/python3/site-packages/h{}.pth", "/usr/lib/l{}.so.1")
+
+
+def images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Snapshots of an image: gold, damaged, and what a repair left of the damage; parts stand in for files."""
+    key, k = F.col("p_partkey"), F.col("p_partkey") % 6
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", k.alias("k"), (h12("img", key) % 12).alias("m"), (h12("fix", key) % 4).alias("r"))
+    place = F.coalesce(*(F.when(k == i, F.concat(F.lit(x.split("{}")[0]), key, F.lit(x.split("{}")[1]))) for i, x in enumerate(PLACES)))
+    p = p.withColumns({"path": place, "was": F.concat(F.lit("x = "), F.col("p_size"), F.lit("\n"))})
+    m, r, folder = F.col("m"), F.col("r"), k == 3
+    is_new = (m == 4) & ~folder
+    bad = F.when(m == 1, F.concat(F.lit("y = "), F.col("p_size"), F.lit("\n"))).otherwise(F.col("was"))
+    mode = F.when(m.isin(2, 7), "777").otherwise("644")
+
+    def snapshot(df: DataFrame, path: Column, text: Column, mode: Column, mtime: Column) -> DataFrame:
+        return df.select(path.alias("path"), F.when(folder, "d").otherwise("f").alias("ftype"), mode.alias("mode"), F.char_length(text).cast("long").alias("size"), mtime.alias("mtime"), F.lit(None).cast("string").alias("link"), F.sha2(text, 256).alias("sha256"), text.alias("text"))
+
+    here, other, same = F.col("path"), F.when(is_new, F.concat("path", F.lit(".so.9"))).otherwise(F.col("path")), F.col("was")
+    gold = snapshot(p, here, same, F.lit("644"), key)
+    damaged = snapshot(p.where("m <> 0"), other, bad, mode, F.when(m.isin(1, 3), key + 1).otherwise(key))
+    text = F.when(r == 0, same).when((r == 1) & (m == 1), F.concat("was", F.lit("# mended\n"))).otherwise(bad)
+    left = p.where((m != 0) | (r == 0)).where(~is_new | (r > 1))
+    repaired = snapshot(left, F.when(is_new, other).otherwise(here), text, F.when(r == 0, "644").otherwise(mode), key)
+    hook = snapshot(p.where("m = 5 and p_partkey % 7 = 0"), F.concat(F.lit("/usr/local/lib/python3/site-packages/n"), key, F.lit(".pth")), same, F.lit("644"), key)
+    preload = snapshot(p.where("p_partkey = 1"), F.lit("/etc/ld.so.preload"), same, F.lit("644"), key)
+    return gold, damaged, repaired.union(hook).union(preload)
+
+
+def _image(where: str, path: str, text: str, mode: str, mtime: str) -> str:
+    return f"select {path} as path, case when k = 3 then 'd' else 'f' end as ftype, {mode} as mode, length({text}) as size, {mtime} as mtime, sha256({text}) as sha256, {text} as text from files where {where}"
+
+
+_BAD, _OTHER, _NEW = "case when m = 1 then 'y = ' || p_size || chr(10) else was end", "case when m = 4 and k <> 3 then path || '.so.9' else path end", "(m = 4 and k <> 3)"
+IMAGES = f"""files as (select p_partkey, p_size, p_partkey % 6 as k, ('0x' || substr(sha256('img:' || p_partkey), 1, 12))::bigint % 12 as m, ('0x' || substr(sha256('fix:' || p_partkey), 1, 12))::bigint % 4 as r,
+  replace({list(PLACES)}[p_partkey % 6 + 1], '{{}}', p_partkey::varchar) as path, 'x = ' || p_size || chr(10) as was from part),
+gold as ({_image("true", "path", "was", "'644'", "p_partkey")}), damaged as ({_image("m <> 0", _OTHER, _BAD, "case when m in (2, 7) then '777' else '644' end", "case when m in (1, 3) then p_partkey + 1 else p_partkey end")}),
+repaired as ({_image(f"(m <> 0 or r = 0) and (not {_NEW} or r > 1)", _OTHER, f"case when r = 0 then was when r = 1 and m = 1 then was || '# mended' || chr(10) else {_BAD} end", "case when r > 0 and m in (2, 7) then '777' else '644' end", "p_partkey")}
+  union all {_image("m = 5 and p_partkey % 7 = 0", "'/usr/local/lib/python3/site-packages/n' || p_partkey || '.pth'", "was", "'644'", "p_partkey")} union all {_image("p_partkey = 1", "'/etc/ld.so.preload'", "was", "'644'", "p_partkey")})"""
+
+
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trials with all that a full summary asks for; arm p. The made-up fields stand in for a harness's records."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
