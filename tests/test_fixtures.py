@@ -21,7 +21,9 @@ from trialspark.operators import text as X
 from trialspark.operators import training as B
 from trialspark.operators import windows as W
 from trialspark.operators.components import connected_components
+from trialspark.shared import shared_dir
 from trialspark.sources import readers as R
+from trialspark.streaming import monitors as V
 
 
 def rows(df):
@@ -270,3 +272,177 @@ def test_copies_stay_in_groups_and_sides(spark, tmp_path):
     assert {(r["side"], r["pairs"]) for r in run("t15_cross_corpus_documents").collect()} == {("within_known", 1), ("across", 2), ("within_candidates", 3)}
     assert {(r["doc_id"], r["rep"], r["members"]) for r in run("t12_exact_classes").collect()} == {(1, 1, 3), (4, 1, 3), (8, 1, 3), (2, 2, 2), (3, 2, 2), (5, 5, 1), (6, 6, 1)}
     assert {(1, 4, 1.0), (1, 8, 1.0), (2, 3, 1.0)} <= set(rows(run("t24_character_similarity")))
+
+
+def test_numbers_are_distinct_in_many_pieces(spark):
+    """Range bounds are sampled anew in each execution; the numbers must not depend on it."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        c = spark.range(200_000).select((F.col("id") * 7919 % 1_000_003).alias("k"), F.lit(1.0).alias("x")).repartition(8)
+        got = I.numbered(c, "k").agg(F.count("*"), F.count_distinct("j"), F.min("j"), F.max("j"), F.min("n")).first()
+        assert tuple(got) == (200_000, 200_000, 0, 199_999, 200_000)
+        assert I.numbered(c, "k").where("k = 0").first()["j"] == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert I.numbered(c.limit(0), "k").count() == 0
+
+
+def brute_draws(seed, b, n):
+    """The rule of the draws, written with Python's whole numbers."""
+    full = 2**32
+
+    def mixed(x):
+        for _ in range(2):
+            x = (x ^ x >> 16) * 73244475 % full
+        return x ^ x >> 16
+
+    one = mixed(((b + 1) * 2654435761 + seed * 97531) % full)
+    two = mixed((one + 1374496523) % full)
+    return [mixed(mixed((one + j) % full) ^ two) * n >> 32 for j in range(n)]
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 7])
+def test_bootstrap_equals_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(I, "PIECE", piece)  # seven clusters a piece: sums over pieces are the same
+    x = [0.25 * (i % 5) for i in range(40)]
+    c = spark.createDataFrame([(i, v, float(i % 3 + 1)) for i, v in enumerate(x)], "k long, x double, y double")
+    values = {r["b"]: r["value"] for r in I.bootstrap(c, "k", "x", "y", 50, 3).collect()}
+    assert len(values) == 50
+    for b, v in values.items():
+        at = brute_draws(3, b, 40)
+        assert abs(v - sum(x[i] for i in at) / sum(i % 3 + 1 for i in at)) < 1e-12
+    assert I.bootstrap(c.limit(0), "k", "x", None, 5, 3).count() == 0
+
+
+def test_gates(spark):
+    one = spark.range(1)
+    name = lambda a, b: one.select(I.headline(collateral=F.lit(a), recovery_failure=F.lit(b)).alias("h")).first()["h"]
+    assert (name(0.2, 0.2), name(0.1, 0.3), name(0.19, 0.19)) == ("collateral", "recovery_failure", None)
+    rooms = one.select(I.headroom(F.lit(0.8), F.lit(0.89)).alias("a"), I.headroom(F.lit(0.8), F.lit(0.9)).alias("b"), I.headroom(F.lit(0.81), F.lit(0.85)).alias("c")).first()
+    assert tuple(rooms) == (True, False, False)
+    gates = one.select(*(I.variance_gate(F.lit(v), F.lit(m), F.lit(128)).alias(f"g{v}{m}") for v, m in ((90, 26), (90, 25), (80, 26)))).first()
+    assert tuple(gates) == (True, False, False)
+
+
+def test_medians_by_counts(spark):
+    t = spark.createDataFrame([("a", v) for v in (5, 5000, 1, 5)] + [("b", 7), ("c", None), ("c", 3)], "g string, v long")
+    assert rows(A.upper_median(t, "v", "g")) == [("a", 4, 5, 5000), ("b", 1, 7, 7), ("c", 2, 3, 3)]
+
+
+STEP = "run long, step long, loss double, grad_norm double, zero double, clipped double, hours double"
+
+
+@pytest.mark.parametrize(
+    ("rows_", "expected"),
+    [
+        ([(1, float("inf"), 1.0, 0.0, 0.0, 0.0)], ("not_finite", 1)),
+        ([(1, 1.0, float("nan"), 0.0, 0.0, 0.0)], ("not_finite", 1)),
+        ([(i, 1.0, 1.0, 1.0, 0.0, 0.0) for i in range(1, 5)], ("streak", 3)),
+        ([(i, None, None, 0.5, 0.0, 0.0) for i in range(1, 70)], ("informative", 64)),
+        ([(i, 1.0, 1.0, 0.0, 0.06, 0.0) for i in range(1, 20)], ("truncated", 16)),
+        ([(i, 1.0, 1.0, 0.0, 0.06 if i > 8 else 0.0, 0.0) for i in range(1, 24)], None),
+        ([(i, 1.0, 1.0, 0.0, 0.0, 20.0) for i in range(1, 5)], ("hours", 3)),
+        ([(i, 1.0, 1.0, 0.0, 0.0, 0.0) for i in range(1, 80)], ("trajectories", 75)),
+        ([(i, 1.0, 1.0, 1.0 if i > 1 else 0.0, 0.0, 41.0 * (i == 4)) for i in range(1, 6)], ("hours", 4)),
+    ],
+)
+def test_stop_rules(spark, tmp_path, rows_, expected):
+    log = spark.createDataFrame([(7, *r) for r in rows_], STEP)
+    want = [(7, *expected)] if expected else []
+    assert rows(V.stops(log, "run", "step")) == want
+    if expected is None or expected[0] in ("not_finite", "informative", "hours"):
+        log.coalesce(1).write.parquet(f"{tmp_path}/log")
+        live = V.liveness(spark.readStream.schema(STEP).parquet(f"{tmp_path}/log"), "run", "step")
+        q = live.writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert rows(spark.table("live")) == want
+
+
+SNAPSHOT = "path string, ftype string, mode string, size long, mtime long, link string, sha256 string, text string"
+
+
+def snapshot(spark, *files):
+    return spark.createDataFrame([(p, t, m, len(x), at, None, f"h:{x}", x) for p, t, m, at, x in files], SNAPSHOT)
+
+
+def test_damage_and_residue(spark):
+    gold = snapshot(spark, ("/a.py", "f", "644", 1, "x=1"), ("/b.py", "f", "644", 1, "x=2"), ("/c", "f", "644", 1, "1"), ("/bin/d", "f", "644", 1, "1"), ("/e.txt", "f", "644", 1, "1"), ("/f", "d", "755", 1, ""), ("/etc/ld.so.preload", "f", "644", 1, "l"))
+    bad = snapshot(
+        spark, ("/a.py", "f", "644", 2, "y=1"), ("/b.py", "f", "644", 2, "y=2"), ("/c", "f", "644", 9, "1"), ("/f", "d", "700", 1, ""), ("/g.py", "f", "644", 1, ""), ("/h.txt", "f", "644", 1, ""), ("/p/i.so.2", "f", "644", 1, ""),
+        ("/etc/ld.so.preload", "f", "600", 1, "l"), ("/j", "d", "755", 1, ""),
+    )
+    damage = M.damage_set(gold, bad, spark.createDataFrame([("/p/i.so.2",)], "path string"))
+    assert [r[:2] for r in rows(damage)] == [("/a.py", "changed"), ("/b.py", "changed"), ("/bin/d", "deleted"), ("/e.txt", "deleted"), ("/etc/ld.so.preload", "changed"), ("/f", "dir_mode"), ("/g.py", "added"), ("/h.txt", "added")]
+    hook = "/usr/lib/python3/dist-packages/z.pth"
+    now = snapshot(
+        spark, ("/a.py", "f", "600", 2, "x = 1  # as it was"), ("/b.py", "f", "600", 2, "x=3"), ("/c", "f", "644", 9, "1"), ("/f", "d", "700", 1, ""), ("/g.py", "f", "644", 1, ""), ("/h.txt", "f", "644", 1, ""), (hook, "f", "644", 1, ""),
+        ("/etc/ld.so.preload", "f", "600", 1, "l"),
+    )
+    assert rows(M.residue(damage, gold, now)) == [("/b.py", "content"), ("/bin/d", "missing"), ("/etc/ld.so.preload", "mode"), ("/f", "dir_mode"), ("/g.py", "added_still_present"), (hook, "new_hook")]
+    gone = now.where("path <> '/etc/ld.so.preload'")
+    assert ("/etc/ld.so.preload", "ld_preload") in rows(M.residue(damage, gold, gone))
+    assert rows(M.residue(damage, gold, gold)) == []
+
+
+def test_faults_are_seen_by_name_and_symptom(spark):
+    calls = [
+        ("perm_denied", "/d/in.csv", "cat in.csv", "cat: Permission denied", False, True), ("perm_denied", "/d/in.csv", "cat x", "Permission denied", False, False), ("perm_denied", "/d/in.csv", "ls", " ---------- 1 u in.csv", False, True),
+        ("moved_input", "/d/in.csv", "ls", "---------- in.csv", False, False), ("moved_input", "/d/in.csv", "cat", "in.csv: No such file", False, True), ("missing_tool", "jq", "jq .", "jq: command not found", False, True),
+        ("missing_tool", "jq", "jq .", "command not found", False, False), ("blocking_fifo", "/d/p", "cat p", "", True, True), ("blocking_fifo", "/d/p", "cat p", "No such file", False, False), ("other", "/d/p", "p", "not found", True, False),
+        ("perm_denied", "/d/p", None, None, None, False),
+    ]
+    t = spark.createDataFrame(calls, "family string, target string, command string, output string, timed_out boolean, expected boolean")
+    assert t.where(G.fault_observed(*(F.col(c) for c in ("family", "target", "command", "output", "timed_out"))) != F.col("expected")).count() == 0
+
+
+def test_normalise_as_a_task_text(spark):
+    texts = {"run task_12_ab3f of /a/~b/c.txt": "run TASK of /PATH", "v1.2 and 3.50": "v1.NUM and NUM", "a/b //x": "a/b //PATH", "xé3 4": "xé3 NUM"}
+    t = spark.createDataFrame([(k, v) for k, v in texts.items()], "a string, b string")
+    assert [(r["n"], r["b"]) for r in t.select(X.normalise(F.col("a")).alias("n"), "b").collect()] == [(v, v) for v in texts.values()]
+
+
+def test_verifier_features_and_flags(spark):
+    weak = "import os.path\nfrom numpy import x\nasync def test_a():\n    assert os.path.exists('a')\n"
+    good = "import pytest, json\ndef test_b():\n    assert f() == 1\n    assert p.is_file()\n"
+    t = spark.createDataFrame([("1", weak), ("2", good), ("3", "def ("), ("4", None)], "id string, text string")
+    f = {r["id"]: r for r in X.python_features(t).collect()}
+    assert (f["1"]["presence_only"], f["1"]["test_functions"], f["1"]["imports"]) == (True, 1, ["numpy", "os"]) and not f["2"]["presence_only"] and f["2"]["assertions"] == 2
+    assert f["3"]["syntax_error"] and not f["4"]["syntax_error"] and f["4"]["assertions"] == 0
+    flags = lambda i, d, s: spark.createDataFrame([(i, d, s)], "i string, d string, s string").select(X.task_flags(F.col("i"), F.col("s"), F.col("d"), X.test_features("s")).alias("f")).first()["f"]
+    assert flags("Use at most 5 shell commands", "FROM ubuntu:22.04\nCOPY solution.py /x", weak) == ["weak_verifier_static", "answer_file_suspect", "nonstdlib_test_import", "command_count_constraint"]
+    assert flags("curl this image", "from debian\nCOPY . /x", good) == ["runtime_network_text", "multimedia_text", "copy_entire_context", "other_base"]
+    assert flags(None, None, good) == ["other_base"]
+
+
+def test_character_similarity(spark):
+    a, b = "käse " * 600, "kase " * 600 + "!"
+    t = spark.createDataFrame([("abc", "abd"), (a, b), ("", ""), ("x" * 3000, "y" * 3000), (None, "a")], "a string, b string")
+    got = [r["s"] for r in t.select(X.character_similarity(F.col("a"), F.col("b")).alias("s")).collect()]
+    assert got[0] == 1 - 1 / 3 and abs(got[1] - (1 - 601 / 3001)) < 1e-12 and got[2:4] == [1.0, 0.0] and got[4] is None
+
+
+def test_published_files_are_replaced_as_a_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/contracts"
+    R.publish(spark.range(5), path)
+    R.publish(spark.range(2), path)
+    assert R.json_lines(spark, path, "id long").count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["contracts"]
+
+
+def test_large_trees(spark):
+    f = spark.createDataFrame([("t", f"p{i}", str(i)) for i in range(50)], "tree string, path string, content string")
+    one, two = (R.large_tree_digest(x, "tree", "path", "content", 1).first()["digest"] for x in (f, f.orderBy(F.desc("path")).repartition(3)))
+    other = R.large_tree_digest(f.where("path <> 'p7'"), "tree", "path", "content", 1).first()["digest"]
+    assert one == two != other
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())

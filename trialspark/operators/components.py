@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.shared import materialise
+from trialspark.shared import discard, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -25,13 +25,16 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(u, v); component is the smallest node that can be reached.
 
     Self-loops and repeated edges do no harm; edges with a null end are ignored; nodes without edges do not appear. Every
-    round is written to the shared folder, so that lineage stays short; no group of rows is ever collected into one task.
+    round is written to the shared folder and replaces the one before, so that lineage stays short; no group of rows is ever
+    collected into one task.
     """
     e = edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct()
-    e = materialise(e, "edges")
+    e, path = written(e, "edges")
     last = None
     for _ in range(most_rounds):
-        e = materialise(_small_star(_large_star(e)), "edges")
+        before = path
+        e, path = written(_small_star(_large_star(e)), "edges")
+        discard(edges.sparkSession, before)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last or state[0] == 0:
             break

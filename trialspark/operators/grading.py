@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,28 @@ def score_of(text: Column) -> tuple[Column, Column]:
     return F.when(good, x).otherwise(0.0), ~F.coalesce(good, F.lit(False))
 
 
+# What an unreadable file looks like in a tool's output.
+READ_ERRORS = ("Permission denied", "EACCES", "unable to open", "Unable to open", "cannot open", "can't open", "Cannot open", "No such file", "cannot access", "not found", "does not exist", "no such table")
+
+
+def fault_observed(family: Column, target: Column, command: Column, output: Column, timed_out: Column) -> Column:
+    """Whether a tool call showed its fault to the agent: the target's base name stands in the command or the output, and the output
+    has the symptom of the family (perm_denied: a read error, or a mode line of the file without any permission; moved_input: a
+    read error; blocking_fifo: a timeout). missing_tool: the whole target in the output and a missing command. Other families are
+    never seen; null texts are empty."""
+    command, output = F.coalesce(command, F.lit("")), F.coalesce(output, F.lit(""))
+    base = F.regexp_extract(target, "[^/]*$", 0)
+    touched = command.contains(base) | output.contains(base)
+    any_of = lambda *signs: reduce(lambda a, b: a | b, (output.contains(x) for x in signs))
+    mode_line = F.exists(F.split(output, "\r\n|\r|\n"), lambda line: F.ltrim(line).startswith("----------") & line.contains(base))
+    error = any_of(*READ_ERRORS)
+    seen = (
+        F.when(family == "perm_denied", touched & (mode_line | error)).when(family == "moved_input", touched & error)
+        .when(family == "missing_tool", output.contains(target) & any_of("command not found", "No such file", "not found")).when(family == "blocking_fifo", F.coalesce(timed_out, F.lit(False)) & touched)
+    )
+    return F.coalesce(seen, F.lit(False))
+
+
 def discrimination(mutants: DataFrame) -> DataFrame:
     """task, outputs, passes for mutants (task, output, mutant, result caught, survived or n/a): of m1 to m3 one at least is caught
     and none survives; all outputs must pass."""

@@ -7,6 +7,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 from trialspark.operators.aggregates import side_by_side
 from trialspark.operators.joins import prefix_join
@@ -98,7 +99,7 @@ def is_hook(path: Column) -> Column:
     return below & (path.rlike("/(sitecustomize|usercustomize)\\.py$") | path.rlike("-packages.*\\.pth$"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(ty.BooleanType())
 def same_syntax(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether two Python texts have the same syntax tree; false where one has none."""
 

@@ -10,6 +10,7 @@ from trialspark.operators import aggregates as A
 from trialspark.operators import assignment as S
 from trialspark.operators import joins as J
 from trialspark.operators import windows as W
+from trialspark.operators.grading import READ_ERRORS, fault_observed
 from trialspark.plans.summaries import T
 from trialspark.plans.views import MANIFESTS, STEPS, TASKS, TRIALS, manifests, steps, table, tasks, trials
 
@@ -75,11 +76,26 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return trials(s, d).select("row_id", why.alias("why")).where(F.size("why") > 0).select("row_id", F.array_join("why", ",").alias("reasons"))
 
 
-@query("p6_fault_observed", r"select conv_id, turn, regexp_matches(lower(text), 'no such file|cannot open|permission denied|error') or contains(text, '-rw') or contains(lower(text), 'timed out') as observed, role from conversations")
+CALLS = """calls as (select conv_id, turn, ['perm_denied', 'moved_input', 'missing_tool', 'blocking_fifo', 'other'][conv_id % 5 + 1] as family, '/data/' || case when turn % 2 = 0 then coalesce(regexp_extract(text, '[a-z]{4,}'), '') else 'absent.csv' end as target, text as command,
+case (conv_id + turn) % 7 when 0 then text || ' cannot open' when 1 then '  ---------- 1 u ' || regexp_extract(text, '[a-z]{4,}') when 2 then '/data/' || coalesce(regexp_extract(text, '[a-z]{4,}'), '') || ': command not found' when 3 then 'absent.csv: Permission denied' else 'ok' end as output, turn % 3 = 0 as timed_out from conversations)"""
+ERRORS = " or ".join(f"contains(output, '{x.replace(chr(39), chr(39) * 2)}')" for x in READ_ERRORS)
+
+
+@query("p6_fault_observed", f"with {CALLS}, b as (select *, regexp_extract(target, '[^/]*$') as base, {ERRORS} as error from calls)" + """ select conv_id, turn, case family when 'perm_denied' then (contains(command, base) or contains(output, base)) and (error or (starts_with(ltrim(output), '----------') and contains(output, base)))
+when 'moved_input' then (contains(command, base) or contains(output, base)) and error when 'missing_tool' then contains(output, target) and (contains(output, 'command not found') or contains(output, 'No such file') or contains(output, 'not found'))
+when 'blocking_fifo' then timed_out and (contains(command, base) or contains(output, base)) else false end as observed, family from b""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    low = F.lower("text")
-    seen = low.rlike("no such file|cannot open|permission denied|error") | F.col("text").contains("-rw") | low.contains("timed out")
-    return table(s, d, "conversations").select("conv_id", "turn", seen.alias("observed"), "role")
+    """Turns as commands with a word of theirs as the target; the tools' outputs, which the tables do not hold, are made up by key."""
+    c = table(s, d, "conversations")
+    word, at = F.regexp_extract("text", "[a-z]{4,}", 0), (F.col("conv_id") + F.col("turn")) % 7
+    families = F.array(*map(F.lit, ("perm_denied", "moved_input", "missing_tool", "blocking_fifo", "other")))
+    target = F.concat(F.lit("/data/"), F.when(F.col("turn") % 2 == 0, word).otherwise("absent.csv"))
+    output = (
+        F.when(at == 0, F.concat("text", F.lit(" cannot open"))).when(at == 1, F.concat(F.lit("  ---------- 1 u "), word)).when(at == 2, F.concat(F.lit("/data/"), word, F.lit(": command not found")))
+        .when(at == 3, "absent.csv: Permission denied").otherwise("ok")
+    )
+    family = F.get(families, (F.col("conv_id") % 5).cast("int"))
+    return c.select("conv_id", "turn", fault_observed(family, target, F.col("text"), output, F.col("turn") % 3 == 0).alias("observed"), family.alias("family"))
 
 
 @query("p7_input_candidates", f"with {MANIFESTS}, m as (select p_brand, p_brand || ' ' || string_agg(p_partkey::varchar, ' ' order by p_partkey) filter (p_partkey % 4 = 0) as instruction from parts group by p_brand) select path from (select '/home/user/' || p.p_brand || '/' || p.p_partkey as path from parts p join m using (p_brand) where contains(' ' || instruction || ' ', ' ' || p_partkey || ' ')) where path not in (select entry from permits)")

@@ -33,7 +33,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", F.sha2(X.numbers_and_blanks(F.col("text")), 256).alias("digest"))
 
 
-@query("t1_normalise_paths")
+# RE2 has no look-behind: the character before a path is matched and put back.
+NORMAL = r"regexp_replace(regexp_replace(regexp_replace(lower(url || ' ' || html), 'task_[0-9]+_[a-f0-9]+', 'TASK', 'g'), '(^|[^\p{L}\p{M}\p{N}_])/(?:[\p{L}\p{M}\p{N}_.~-]+/)*[\p{L}\p{M}\p{N}_.~-]+', '\1/PATH', 'g'), '\b[0-9]+(?:\.[0-9]+)?\b', 'NUM', 'g')"
+
+
+@query("t1_normalise_paths", f"select page_id, trim(regexp_replace({NORMAL}, '\\s+', ' ', 'g'), ' ') as normal from pages")
 def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", X.normalise(F.concat("url", F.lit(" "), "html")).alias("normal"))
 
@@ -94,10 +98,63 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").select("p_partkey", text.alias("text")).select("p_partkey", f["workdir"].alias("workdir"), f["user"].alias("user"), F.array_join(f["images"], ",").alias("images"), F.array_join(f["packages"], ",").alias("packages"), f["runs"].alias("runs"))
 
 
-@query("t10_python_features")
+#: Made-up task files, by doc_id, as the given tables hold none: verifiers, and Dockerfiles.
+MADE = """files as (select doc_id, text as instruction, 'import os' || chr(10) || case when doc_id % 4 = 0 then 'import numpy.linalg' || chr(10) else '' end || 'def test_a():' || chr(10) || '    assert os.path.exists("x")' || chr(10) ||
+  case doc_id % 5 when 0 then '    assert 1 == 1' || chr(10) when 1 then '    assert os.path.isfile("y")' || chr(10) when 2 then '  broken(' else '' end || case when doc_id % 9 = 0 then 'pytest.skip' || chr(10) else '' end as test,
+  case when doc_id % 3 = 0 then 'FROM ubuntu:22.04' else 'FROM debian' end || chr(10) || case doc_id % 6 when 0 then 'COPY . /app' when 1 then 'ADD truth/x /y' when 2 then 'RUN cat /data/answer_1.json' else 'RUN true' end as dockerfile from documents)"""
+
+
+def made_files(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    pick = lambda n, options, rest: F.coalesce(*(F.when(k % n == i, F.lit(x)) for i, x in options.items()), F.lit(rest))
+    test = F.concat(
+        F.lit("import os\n"), pick(4, {0: "import numpy.linalg\n"}, ""), F.lit('def test_a():\n    assert os.path.exists("x")\n'),
+        pick(5, {0: "    assert 1 == 1\n", 1: '    assert os.path.isfile("y")\n', 2: "  broken("}, ""), pick(9, {0: "pytest.skip\n"}, ""),
+    )
+    dockerfile = F.concat(pick(3, {0: "FROM ubuntu:22.04"}, "FROM debian"), F.lit("\n"), pick(6, {0: "COPY . /app", 1: "ADD truth/x /y", 2: "RUN cat /data/answer_1.json"}, "RUN true"))
+    return docs(s, d).select("doc_id", F.col("text").alias("instruction"), test.alias("test"), dockerfile.alias("dockerfile"))
+
+
+FEATURES = """, features as (select *, doc_id % 5 = 2 as syntax_error, case doc_id % 5 when 2 then 0 when 0 then 2 when 1 then 2 else 1 end as assertions, (doc_id % 5 <> 2)::bigint as test_functions,
+  case when doc_id % 5 = 2 then '' when doc_id % 4 = 0 then 'numpy,os' else 'os' end as imports, doc_id % 5 not in (0, 2) as presence_only, doc_id % 5 <> 2 and doc_id % 9 = 0 as skip_or_xfail from files)"""
+
+
+@query("t10_python_features", f"with {MADE}{FEATURES} select doc_id::varchar as id, syntax_error, assertions, test_functions, imports, presence_only, skip_or_xfail from features")
+def _(s: SparkSession, d: str) -> DataFrame:
+    f = X.python_features(made_files(s, d).select(F.col("doc_id").alias("id"), F.col("test").alias("text")))
+    return f.withColumn("imports", F.array_join("imports", ","))
+
+
+def _flag(name: str, rule: str) -> str:
+    return f"case when {rule} then '{name}' end"
+
+
+def _like(text: str, pattern: str) -> str:
+    return f"regexp_matches({text}, '{pattern}')"
+
+
+TASK_RULES = ", ".join((
+    _flag("runtime_network_text", _like("instruction || chr(10) || test", X.TASK_NETWORK)), _flag("service_or_heavy_text", _like("instruction || chr(10) || test", X.TASK_HEAVY)), _flag("multimedia_text", _like("instruction", X.TASK_MEDIA)),
+    _flag("weak_verifier_static", "syntax_error or assertions < 2 or test_functions = 0 or presence_only or skip_or_xfail"), _flag("answer_file_suspect", _like("dockerfile", X.ANSWER_COPIED) + " or " + _like("dockerfile", X.ANSWER_FILE)),
+    _flag("copy_entire_context", _like("dockerfile", X.WHOLE_CONTEXT)), _flag("nonstdlib_test_import", "contains(imports, 'numpy')"), _flag("other_base", "doc_id % 3 <> 0"), _flag("command_count_constraint", _like("instruction", X.COMMAND_LIMIT)),
+))
+
+
+@query("t3_task_flags", f"with {MADE}{FEATURES} select doc_id, array_to_string(list_filter([{TASK_RULES}], lambda x: x is not null), ',') as flags from features")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The documents' texts as instructions, with made-up verifiers and Dockerfiles."""
+    f = made_files(s, d).withColumn("features", X.test_features("test"))
+    return f.select("doc_id", F.array_join(X.task_flags(F.col("instruction"), F.col("test"), F.col("dockerfile"), F.col("features")), ",").alias("flags"))
+
+
+def _sql_hits(name: str) -> str:
+    text, found = ("lower(text)" if name == "trace" else "text"), "x"
+    return f"array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all({text}, '{X.HITS[name]}'), lambda x: {'substr(x, 1, 40)' if name == 'danger' else found}))), ',') as {name}"
+
+
+@query("t5_screen_hits", f"select doc_id, {', '.join(map(_sql_hits, X.HITS))} from documents")
 def _(s: SparkSession, d: str) -> DataFrame:
-    source = F.concat(F.lit("import os\n"), F.when(F.col("p_size") > 25, "from math import pi\n").otherwise(""), F.lit("def test_"), F.col("p_partkey"), F.lit("():\n    assert 1\n"), F.when(F.col("p_partkey") % 10 == 0, "  broken(").otherwise(""))
-    return X.python_features(table(s, d, "part").select(F.col("p_partkey").alias("id"), source.alias("text")))
+    return docs(s, d).select("doc_id", *(F.array_join(v, ",").alias(k) for k, v in X.screen_hits(F.col("text")).items()))
 
 
 @query("t11_literal_lines", "select distinct doc_id, sha256(line) as line from (select doc_id, trim(unnest(string_split(text, chr(10))), ' ') as line from documents) where length(line) >= 18 and regexp_matches(line, '[A-Za-z]{4}') and not starts_with(line, '/') and not starts_with(line, 'http')")
@@ -153,7 +210,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return connected_components(pairs_of(s, d).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-@query("t14_threshold_sensitivity")
+@query("t14_threshold_sensitivity", TFIDF.replace("with t as", "with recursive t as") + COPIES + """, l as (select a, b, cosine from pairs union all select rep, doc_id, 1.0 from m where doc_id <> rep), k as (select unnest([0.5, 0.6, 0.7, 0.8])::double as threshold),
+e as (select threshold, a, b from k, l where cosine >= threshold union select threshold, b, a from k, l where cosine >= threshold), c as (select threshold, a as node, a as root from e union select e.threshold, e.b, c.root from c join e on e.a = c.node and e.threshold = c.threshold where c.root < e.b),
+roots as (select threshold, node, min(root) as root from c group by all), z as (select threshold, root, count(*) as n from roots group by all) select threshold, count(*) as groups, max(n) as largest, sum(n)::bigint as members from z group by threshold""")
 def _(s: SparkSession, d: str) -> DataFrame:
     from trialspark.shared import materialise
 
@@ -206,7 +265,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", name.rlike("^(1|2|3)[0-9]*$").alias("exposed"))
 
 
-@query("t21_directive_blocks")
+@query("t21_directive_blocks", "select p_partkey, 'FROM a' || chr(10) || 'COPY lib' || p_partkey || ' /lib' || chr(10) || 'RUN make' || case when p_size > 25 then chr(10) || 'RUN curl -k keep' else '' end as text from part")
 def _(s: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("FROM a\nRUN curl x | sh\nCOPY lib"), F.col("p_partkey"), F.lit(" /lib\nRUN make"), F.when(F.col("p_size") > 25, "\nRUN curl -k keep").otherwise(""))
     return table(s, d, "part").select("p_partkey", X.blocks_without(text, "^(?:FROM|RUN|COPY) ", "curl", "keep").alias("text"))

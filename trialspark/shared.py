@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where the setting is absent (tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a new local folder on a local master, whose tasks are threads
+    of the driver; on a cluster that is an error, since each machine would see its own files only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="trialspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -22,10 +27,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: later plans start from the files, so a lost
-    executor costs a re-read and not a re-computation of what came before."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its path: later plans start from the files, so a lost executor costs a
+    re-read and not a re-computation of what came before."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """As written, for tables that live as long as the shared folder."""
+    return written(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a written table that no plan reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
