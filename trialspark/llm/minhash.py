@@ -5,9 +5,11 @@ slots) places each shingle; a second one, PI, shifted circularly by k, gives sig
 a shingle's coordinates are one contiguous stretch of PI, so a signature is the minimum of such stretches.
 
 Candidates come from bands of the signature. Pairs are never listed within a bucket: first each member is held against one
-pivot of its bucket, then what stays apart is held together block by block, of which only a spanning forest of likely links is
-kept. The forests' trees are families; a family's texts are compared exactly, again block by block, and only the links that
-join something become rows. So rows stay in proportion to documents, however large a group is.
+pivot of its bucket, then what stays apart from most of the bucket is held against it block by block, of which only a spanning
+forest of likely links is kept. The forests' trees are families. A family of up to BLOCK members is compared in one task, exactly. In
+a larger one each member is first confirmed on full sets against members that it likely goes with; only those that stay apart from
+most of the family are held against all of it. So a family of N members, of which S stay apart, sends about N * (2 + S / BLOCK)
+texts; where near copies do link up, that is in proportion to N.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 K = BANDS * ROWS
 UNIVERSE = 1 << 20
-#: Members of a block when what is left of a bucket is compared block by block.
-BLOCK = 256
+#: Members of a block, and rows that a block is held against at once.
+BLOCK, CHUNK = 256, 2048
 #: Of K coordinates, so many agree at least in a pair at the threshold, but for about one pair in a hundred thousand.
 LEAST_AGREE = 75
 _PI = np.random.Generator(np.random.PCG64(5)).permutation(UNIVERSE).astype(np.uint32)
@@ -123,20 +125,36 @@ def _pivot_links(members: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(other, "v").select("u", "v", "of_u", "of_v").mapInPandas(_against_pivots, "u long, v long")
 
 
-def _dealt_in_blocks(rows: DataFrame, group: str, *columns: str) -> DataFrame:
-    """Rows of each group dealt to blocks, each row sent to all pairs of blocks that its own is part of: lo and hi."""
-    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    m = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id", F.lit(77)), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return m.select(group, "id", *columns, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+def _minor(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, id, label) with minor: whether the row's label is another than the one most rows of its group have."""
+    most = rows.groupBy(group, "label").agg(F.count("*").alias("n")).groupBy(group).agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("major"))
+    return rows.join(most.where("labels > 1").select(group, "major"), group).withColumn("minor", F.col("label") != F.col("major")).drop("major")
+
+
+def _dealt(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+    """Minor rows of each group in blocks, each block beside all rows of the group in chunks: block, chunk, left (whether the row is
+    there as one of the block). Rows of the major label are not held against each other."""
+    sizes = rows.groupBy(group).agg(F.greatest(F.ceil(F.count_if("minor") / BLOCK), F.lit(1)).cast("int").alias("blocks"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    m = rows.join(sizes, group)
+    place = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = m.where("minor").withColumn("block", place(77, "blocks")).withColumn("chunk", every("chunks")).withColumn("left", F.lit(True))
+    right = m.withColumn("chunk", place(78, "chunks")).withColumn("block", every("blocks")).withColumn("left", F.lit(False))
+    return left.unionByName(right).select(group, "id", "label", *columns, "block", "chunk", "left")
+
+
+def _across(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, Forest]:
+    """Places of the block's rows and of the chunk's rows, and what is of one label already."""
+    left = pdf["left"].to_numpy()
+    return np.flatnonzero(left), np.flatnonzero(~left), Forest(pdf["label"].to_numpy())
 
 
 def _likely(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the likely links between two blocks of a bucket, over what is not yet of one family."""
+    """A spanning forest of the likely links between a block and a chunk of a bucket, over what is not yet of one family."""
     ids, n = pdf["id"].to_numpy(), pdf["n"].to_numpy()
     sig = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), K)
-    left, right = (np.flatnonzero(pdf["block"] == pdf[x].iloc[0]) for x in ("lo", "hi"))
-    forest, found = Forest(pdf["label"].to_numpy()), []
+    left, right, forest = _across(pdf)
+    found = []
     for i in left:
         for j in _alike(sig, i, right[forest.root[right] != forest.root[i]], n):
             if forest.root[i] != forest.root[j]:
@@ -145,24 +163,81 @@ def _likely(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
 
-def _confirmed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Between two blocks of a family: links confirmed on the full sets, as many as join something."""
-    ids = pdf["id"].to_numpy()
-    sets = shingle_sets([x.encode() for x in pdf["text"]])
-    n = np.fromiter(map(len, sets), np.int64, len(sets))
-    sig = np.stack([signature(s) for s in sets]).astype(np.uint8)
-    left, right = (np.flatnonzero(pdf["block"] == pdf[x].iloc[0]) for x in ("lo", "hi"))
-    forest, found = Forest(ids), []
-    for i in left:
-        for j in _alike(sig, i, right[forest.root[right] != forest.root[i]], n):
-            if forest.root[i] != forest.root[j]:
-                both = np.concatenate((sets[i], sets[j]))
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * common >= PERCENT * (len(both) - common):
+class Sets:
+    """Shingle sets of texts, their sizes and signatures."""
+
+    def __init__(self, texts: pd.Series) -> None:
+        self.sets = shingle_sets([x.encode() for x in texts])
+        self.n = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
+        self.sig = np.stack([signature(s) for s in self.sets]).astype(np.uint8)
+
+    def similar(self, i: int, j: int) -> bool:
+        both = np.concatenate((self.sets[i], self.sets[j]))
+        both.sort(kind="stable")
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return 100 * common >= PERCENT * (len(both) - common)
+
+    def links(self, left: np.ndarray, right: np.ndarray, forest: Forest) -> Iterator[tuple[int, int]]:
+        """Links confirmed on the full sets, as many as join something."""
+        for i in left:
+            for j in _alike(self.sig, i, right[forest.root[right] != forest.root[i]], self.n):
+                if forest.root[i] != forest.root[j] and self.similar(i, j):
                     forest.join(i, j)
-                    found.append((ids[i], ids[j]))
-    return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+                    yield i, j
+
+
+def _pairs(ids: np.ndarray, found: Iterator[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["u", "v"]).astype("int64")
+
+
+def _confirmed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links within a family of at most BLOCK members."""
+    ids, every = pdf["id"].to_numpy(), np.arange(len(pdf))
+    return _pairs(ids, Sets(pdf["text"]).links(every, every, Forest(ids)))
+
+
+def _confirmed_across(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between a block and a chunk of a larger family."""
+    return _pairs(pdf["id"].to_numpy(), Sets(pdf["text"]).links(*_across(pdf)))
+
+
+def _confirmed_with(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of some members to one of their family, whose text comes along."""
+    ids, own = pdf["id"].to_numpy(), (pdf["id"] == pdf["v"]).to_numpy()
+    sets, ones = Sets(pdf["text"]), np.flatnonzero(own)
+    return _pairs(ids, ((i, ones[0]) for i in np.flatnonzero(~own) if any(sets.similar(i, j) for j in ones)))
+
+
+def _confirm(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """The edges (u, v) that hold on the full sets. Each u travels once for an edge, v once for every BLOCK of its edges."""
+    sizes = edges.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    ends = edges.join(sizes, "v").select("v", F.col("u").alias("id"), F.pmod(F.xxhash64("u"), F.col("chunks")).alias("chunk"))
+    pivots = sizes.select("v", F.col("v").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - F.lit(1).cast("long"))).alias("chunk"))
+    both = ends.where("id <> v").unionByName(pivots).join(texts.select("id", "text"), "id")
+    return both.groupBy("v", "chunk").applyInPandas(_confirmed_with, "u long, v long")
+
+
+def _large_family_links(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of families with more than BLOCK members (texts: id, component, text), enough to connect what can be connected.
+
+    First each member is confirmed against one that it likely goes with, then the other likely links between what is still
+    apart; both in proportion to the links. Only members that are then still apart from most of their family are held
+    against all of it."""
+    edges = edges.join(texts.select(F.col("id").alias("u")), "u", "left_semi").distinct()
+    first = materialise(edges.groupBy("u").agg(F.min("v").alias("v")), "first")
+    links = materialise(_confirm(first, texts), "links")
+
+    def labels() -> DataFrame:
+        return connected_components(links)
+
+    named = labels()
+    u, v = (named.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "uv")
+    rest = edges.join(first, ["u", "v"], "left_anti").join(u, "u", "left").join(v, "v", "left").where(~F.coalesce("of_u", "u").eqNullSafe(F.coalesce("of_v", "v")))
+    links = links.union(materialise(_confirm(rest.select("u", "v"), texts), "links"))
+    named = labels()
+    members = texts.join(named, texts["id"] == named["node"], "left").select(texts["component"], "id", F.coalesce(named["component"], "id").alias("label"))
+    apart = materialise(_minor(members, "component"), "apart").join(texts.select("id", "text"), "id")
+    return links.union(_dealt(apart, "component", "text").groupBy("component", "block", "chunk").applyInPandas(_confirmed_across, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -189,16 +264,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     trees = connected_components(likely)
     apart = members.where("size > 2").join(trees, members["id"] == trees["node"], "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("label"))
     mixed = apart.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    apart = apart.join(mixed, "bucket", "left_semi").join(signatures, "id")
-    more = materialise(_dealt_in_blocks(apart, "bucket", "n", "label", "signature").groupBy("bucket", "lo", "hi").applyInPandas(_likely, "u long, v long"), "more")
-    families = connected_components(likely.union(more)) if more.take(1) else trees
+    apart = _minor(apart.join(mixed, "bucket", "left_semi"), "bucket").join(signatures, "id")
+    more = materialise(_dealt(apart, "bucket", "n", "signature").groupBy("bucket", "block", "chunk").applyInPandas(_likely, "u long, v long"), "more")
+    likely = likely.union(more)
+    families = connected_components(likely) if more.take(1) else trees
 
     # Only texts of families are shuffled, and by the same plan at every size.
     named = families.select(F.col("node").alias("doc_id"), "component")
     texts, _ = split_by_ids(docs.select("doc_id", "text").where("text is not null"), "doc_id", named.select("doc_id"))
-    texts = texts.hint("merge").join(named, "doc_id").select(F.col("doc_id").alias("id"), "component", "text")
-    texts = _dealt_in_blocks(materialise(texts, "texts"), "component", "text")
-    links = materialise(texts.groupBy("component", "lo", "hi").applyInPandas(_confirmed, "u long, v long"), "links")
+    sizes = named.groupBy("component").agg(F.count("*").alias("members"))
+    texts = materialise(texts.hint("merge").join(named.join(sizes, "component"), "doc_id").select(F.col("doc_id").alias("id"), "component", "members", "text"), "texts")
+    links = texts.where(F.col("members") <= BLOCK).groupBy("component").applyInPandas(_confirmed, "u long, v long")
+    large = texts.where(F.col("members") > BLOCK)
+    if large.take(1):
+        links = links.union(_large_family_links(likely, large))
+    links = materialise(links, "links")
     copies = filled.join(classes.select("key1", "key2", "n_shingles", "id"), ["key1", "key2", "n_shingles"])
     copies = materialise(copies.select("doc_id", "n_shingles", F.col("id").alias("class_id")), "copies")
     labels = connected_components(links.union(copies.select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))))
