@@ -92,6 +92,14 @@ def test_repeated_substrings(spark, sf, odd, rows):
     assert got == want
 
 
+def test_repeats_beside_a_null_id(spark):
+    """Ids above 2**53 stay exact where a batch has a null id too."""
+    text, big = "".join(f"{i * 7919 % 1000003:08d}" for i in range(113))[:900], 2**53
+    docs = spark.createDataFrame([(big + 1, text), (big + 3, text), (None, "short")], "doc_id long, text string").coalesce(1)
+    got = sorted(((r["doc_id"] or 0), r["n_removed"]) for r in substrings.remove_repeats(docs).collect())
+    assert got == [(0, 0), (big + 1, 900), (big + 3, 900)]
+
+
 def test_substring_segments(monkeypatch, spark):
     monkeypatch.setattr(substrings, "SEGMENT", 1000)
     t = bytes(np.random.default_rng(1).integers(97, 100, 5000, dtype=np.uint8))
@@ -230,6 +238,18 @@ def test_near_duplicates_of_nothing(spark, odd, none):
     assert r["component_id"] is None and r["kept"]
 
 
+@pytest.mark.parametrize("size", [300, 600])
+def test_large_families_send_rows_in_proportion(spark, monkeypatch, size):
+    """Near copies of one text: two texts for each member at most, and blocks only for what stays apart."""
+    base, sent = [f"w{i}" for i in range(200)], []
+    rng, dealt, confirm = np.random.default_rng(size), minhash._dealt, minhash._confirm
+    p = [(k, " ".join(w if i != at else f"c{k}" for i, w in enumerate(base))) for k, at in enumerate(rng.integers(0, 190, size))]
+    monkeypatch.setattr(minhash, "_dealt", lambda rows, *a: sent.append(dealt(rows, *a).count()) or dealt(rows, *a))
+    monkeypatch.setattr(minhash, "_confirm", lambda edges, texts: sent.append(edges.count()) or confirm(edges, texts))
+    got = minhash.near_duplicates(spark.createDataFrame(p, "doc_id long, text string")).agg(F.count_distinct("component_id")).first()[0]
+    assert got == 1 and sum(sent) <= 4 * size
+
+
 # 6 and 7 ------------------------------------------------------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ of their LENGTH bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ PLACE_BITS = 24
 SEGMENT = 1 << 23
 #: Starts of a group, when runs are taken apart.
 GROUP = 8
-RUNS = "doc_id long, mark long, start long, length int, lead int, sampled long, name long"
+RUNS = "doc_id long, mark long, start long, length int, lead int, sampled long, name long, name2 long"
 
 
 def least_of_windows(v: np.ndarray, width: int) -> np.ndarray:
@@ -41,9 +42,15 @@ def least_of_windows(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(v) - width + 1], m[width - have :]) if have < width else m
 
 
+def _names(data: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of data[first:end] as rows of two integers: bytes decide, so unequal strings do not share a name."""
+    digests = b"".join(blake2b(data[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
+
+
 def runs_of(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of starts in a buffer of texts that end at ends: text number, first start, number of starts, how far ahead the
-    sampled position is, names of the sampled string and of the run."""
+    sampled position is, names of the sampled string (64 bits, a filter alone) and of the run (128 bits)."""
     hashes = Hashes(buf)
     at = np.arange(len(buf) - GRAM + 1)
     gram = hashes.of(at, at + GRAM)
@@ -53,11 +60,11 @@ def runs_of(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     text = np.repeat(np.arange(len(ends)), ends - begins)[: len(sampled)]
     valid = np.flatnonzero(np.arange(len(sampled)) + LENGTH <= ends[text])
     if not len(valid):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64), np.zeros((0, 2), np.int64))
     fresh = np.concatenate(([True], (np.diff(valid) != 1) | (np.diff(sampled[valid]) != 0) | (np.diff(text[valid]) != 0)))
     first = valid[fresh]
     last = valid[np.concatenate((np.flatnonzero(fresh)[1:] - 1, [len(valid) - 1]))]
-    return text[first], first - begins[text[first]], last - first + 1, sampled[first] - first, gram[sampled[first]], hashes.of(first, last + LENGTH)
+    return text[first], first - begins[text[first]], last - first + 1, sampled[first] - first, gram[sampled[first]], _names(buf.tobytes(), first, last + LENGTH)
 
 
 def _segments(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -71,7 +78,7 @@ def _segments(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[b
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in text_batches(batches):
-        doc_id, mark = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("mark").to_numpy()
+        doc_id, mark = part.column("doc_id").cast(pa.int64()), part.column("mark")
         for number, offset, pieces in _segments(texts):
             buf = np.frombuffer(b"".join(pieces), np.uint8)
             if len(buf) < LENGTH:
@@ -79,7 +86,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, start, length, lead, sampled, name = runs_of(buf, np.cumsum([len(x) for x in pieces]))
             text, offset = np.array(number)[text], np.array(offset)[text]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_id[text], pa.int64(), from_pandas=True), pa.array(mark[text]), pa.array(start + offset), pa.array(length.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(sampled.view(np.int64)), pa.array(name.view(np.int64))],
+                [doc_id.take(pa.array(text)), mark.take(pa.array(text)), pa.array(start + offset), pa.array(length.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(sampled.view(np.int64)), pa.array(name[:, 0]), pa.array(name[:, 1])],
                 [x.split()[0] for x in RUNS.split(", ")],
             )
 
@@ -100,11 +107,12 @@ def _parts(group: int):  # noqa: ANN202
                 length = np.diff(np.concatenate((fresh, [len(start)])))
                 core = sampled_at[fresh] + number[fresh] * group  # the bytes that the windows of a whole group have in common
                 names = hashes.of(core + group - 1, core + LENGTH) + number[fresh].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                exact = _names(texts[i], first, first + length + LENGTH - 1)
                 n = len(first)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part.column("doc_id")[i].as_py()] * n, pa.int64()), pa.array(np.full(n, part.column("mark")[i].as_py())), pa.array(first), pa.array(length.astype(np.int32)),
-                        pa.array((sampled_at[fresh] - first).astype(np.int32)), pa.array(mix(names).view(np.int64)), pa.array(hashes.of(first, first + length + LENGTH - 1).view(np.int64)),
+                        pa.array((sampled_at[fresh] - first).astype(np.int32)), pa.array(mix(names).view(np.int64)), pa.array(exact[:, 0]), pa.array(exact[:, 1]),
                     ],
                     [x.split()[0] for x in RUNS.split(", ")],
                 )
@@ -142,8 +150,9 @@ def _settle(runs: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame |
     than a skewed join."""
     again = runs.groupBy("sampled").agg(F.count("*").alias("n")).where("n > 1").select("sampled")
     runs = materialise(runs.join(again, "sampled"), "candidates")
-    names = materialise(runs.groupBy("sampled", "name").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")), "names")
-    settled = runs.join(names.where("n > 1").select("sampled", "name"), ["sampled", "name"]).select(*PLACE)
+    name = ["sampled", "name", "name2"]
+    names = materialise(runs.groupBy(*name).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")), "names")
+    settled = runs.join(names.where("n > 1").select(*name), name).select(*PLACE)
     if last:
         return settled, None
     mixed = names.groupBy("sampled").agg(F.count("*").alias("names"), F.count_if(F.col("n") == 1).alias("single")).where("names > 1 and single > 0")
