@@ -236,7 +236,7 @@ def _large_family_links(edges: DataFrame, texts: DataFrame) -> DataFrame:
     links = links.union(materialise(_confirm(rest.select("u", "v"), texts), "links"))
     named = labels()
     members = texts.join(named, texts["id"] == named["node"], "left").select(texts["component"], "id", F.coalesce(named["component"], "id").alias("label"))
-    apart = materialise(_minor(members, "component"), "apart").join(texts.select("id", "text"), "id")
+    apart = materialise(_minor(materialise(members, "labelled"), "component"), "apart").join(texts.select("id", "text"), "id")
     return links.union(_dealt(apart, "component", "text").groupBy("component", "block", "chunk").applyInPandas(_confirmed_across, "u long, v long"))
 
 
@@ -263,8 +263,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     likely = materialise(_pivot_links(members, signatures), "likely")
     trees = connected_components(likely)
     apart = members.where("size > 2").join(trees, members["id"] == trees["node"], "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("label"))
-    mixed = apart.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    apart = _minor(apart.join(mixed, "bucket", "left_semi"), "bucket").join(signatures, "id")
+    apart = materialise(_minor(materialise(apart, "labelled"), "bucket"), "apart").join(signatures, "id")
     more = materialise(_dealt(apart, "bucket", "n", "signature").groupBy("bucket", "block", "chunk").applyInPandas(_likely, "u long, v long"), "more")
     likely = likely.union(more)
     families = connected_components(likely) if more.take(1) else trees
@@ -281,11 +280,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialise(links, "links")
     copies = filled.join(classes.select("key1", "key2", "n_shingles", "id"), ["key1", "key2", "n_shingles"])
     copies = materialise(copies.select("doc_id", "n_shingles", F.col("id").alias("class_id")), "copies")
-    labels = connected_components(links.union(copies.select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))))
+    # Copies are of one class already; only an id that repeats with several texts links the classes of these.
+    ids = copies.groupBy("doc_id").agg(F.min("class_id").alias("v"), F.max("class_id").alias("last")).where("v <> last")
+    links_of_ids = copies.join(ids, "doc_id").select(F.col("class_id").alias("u"), "v")
+    labels = connected_components(links.union(links_of_ids))
     ends = links.select("u", "v").distinct()
     degree = ends.select("u").union(ends.select("v")).groupBy(F.col("u").alias("class_id")).agg(F.count("*").alias("n_links"))
-    in_class = copies.join(degree, "class_id", "left").join(labels, copies["doc_id"] == labels["node"], "left")
-    in_class = in_class.select("doc_id", "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "doc_id").alias("component_id"))
+    in_class = copies.join(degree, "class_id", "left").join(labels, F.col("class_id") == labels["node"], "left")
+    in_class = in_class.select("doc_id", "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
     rest = sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     return in_class.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
