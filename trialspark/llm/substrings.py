@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm.textnum import Hashes, mix, text_batches
+from trialspark.operators.prefilter import split_by_ids
 from trialspark.shared import materialise
 
 LENGTH, GRAM = 400, 128
@@ -160,18 +161,20 @@ def _settle(runs: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame |
 
 
 def _of_texts(texts: DataFrame, runs: DataFrame, how: str = "inner") -> DataFrame:
-    """texts (doc_id, mark, text) with the array of their runs."""
+    """texts (doc_id, mark, text) with the array of their runs (a written table). Only texts that may have runs are shuffled."""
     lists = runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "length", "lead")).alias("runs"))
     same = F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.mark") == F.col("r.mark"))
-    return texts.alias("t").join(lists.alias("r"), same, how).select("t.doc_id", "t.mark", "t.text", "r.runs")
+    maybe, without = split_by_ids(texts, "mark", runs.select("mark"))
+    joined = maybe.alias("t").join(lists.alias("r"), same, how).select("t.doc_id", "t.mark", "t.text", "r.runs")
+    return joined if how == "inner" else joined.union(without.withColumn("runs", F.lit(None).cast(joined.schema["runs"].dataType)))
 
 
 def repeated_starts(texts: DataFrame) -> DataFrame:
     """PLACE of stretches of starts of LENGTH-byte strings that also start elsewhere in texts (doc_id, mark, text)."""
     settled, rest = _settle(texts.mapInArrow(_runs, RUNS))
-    open_ = materialise(_of_texts(texts, rest), "open")
+    open_ = materialise(_of_texts(texts, materialise(rest, "rest")), "open")
     grouped, rest = _settle(open_.mapInArrow(_parts(GROUP), RUNS))
-    single, _ = _settle(_of_texts(open_.drop("runs"), rest).mapInArrow(_parts(1), RUNS), last=True)
+    single, _ = _settle(_of_texts(open_.drop("runs"), materialise(rest, "rest")).mapInArrow(_parts(1), RUNS), last=True)
     return settled.union(grouped).union(single)
 
 
@@ -185,7 +188,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("mark", F.xxhash64("text")).select("doc_id", "mark", "text")
-    return _of_texts(texts, repeated_starts(texts), "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _of_texts(texts, materialise(repeated_starts(texts), "starts"), "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
