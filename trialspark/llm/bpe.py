@@ -164,12 +164,18 @@ def _bucket_encoder(path: str):  # noqa: ANN202
     return encoded
 
 
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store and path of a folder as Spark names it; s3a is s3 here. A scheme that only Spark knows is an error."""
+    uri = uri if "://" in uri or uri.startswith("file:") else f"file://{uri}"
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
 def _layout(path: str, packs: str):  # noqa: ANN202
     """Ids by position and decoded text of each row, with the packs of its block, which stand in a folder of the table at packs."""
 
     def block_ids(block: int) -> tuple[np.ndarray, ...]:
         """Of each word number of the block: how many ids, where they begin; and all ids."""
-        store, folder = fs.FileSystem.from_uri(packs)
+        store, folder = open_store(packs)
         table = dataset.dataset(f"{folder}/of_block={block}", filesystem=store, format="parquet").to_table(columns=["ids"])
         numbers, lengths, flats = ([np.zeros(0, np.uint32)] for _ in range(3))
         for pack in table.column("ids").to_pylist():

@@ -1,8 +1,8 @@
 """Token ids as flat files: unsigned integers plus 64-bit document offsets, memory-mapped when read.
 
 A set is a folder in a store that all executors reach: part-N-<attempt>.bin holds the ids of the documents of range N one
-after another as little-endian unsigned integers of the smallest fitting width, part-N-<attempt>.idx holds doc_id and end
-offset pairs as 64-bit integers. Ranges ascend by doc_id; a part's base, the number of ids in all parts before it, is a prefix
+after another as little-endian unsigned integers of the smallest fitting width, part-N-<attempt>.idx holds, for each document, three
+64-bit integers: whether it has a doc_id, the doc_id, and its end offset. Ranges ascend by doc_id, without one last; a part's base, the number of ids in all parts before it, is a prefix
 sum over the parts. manifest.json names the parts that count, so that files of failed or repeated attempts do no harm.
 """
 
@@ -17,16 +17,19 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.bpe import tokenizer
+from trialspark.llm.bpe import open_store, tokenizer
 from trialspark.llm.textnum import text_batches
-from trialspark.shared import new_path
+from trialspark.shared import discard, new_path, written
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
+#: Bytes of ids in a part, and the least that a part is made of to use all tasks.
+PART_BYTES, SMALL_PART = 256 << 20, 4 << 20
 #: Distinct words whose ids a worker remembers before it begins a new memory; of the last one, words that come again are kept.
 REMEMBERED = 600_000
 _MARKS = b".,;:!?"
@@ -65,29 +68,34 @@ def encode(texts: list[bytes], path: str, dtype: str) -> list[bytes]:
     return out
 
 
-def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+def _encoder(path: str, dtype: str, end: int):  # noqa: ANN202
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = np.array([end], dtype).tobytes()
+        for part, texts in text_batches(batches):
+            ids = [x + tail for x in encode(texts, path, dtype)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
+    return rows
 
-def _writer(uri: str, path: str, dtype: str, end: int):  # noqa: ANN202
+
+def _writer(uri: str, width: int):  # noqa: ANN202
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        store, folder = _store(uri)
-        tail = np.array([end], dtype).tobytes()
-        width, n, ids, first = np.dtype(dtype).itemsize, 0, 0, None
+        store, folder = open_store(uri)
+        n = at = 0
         with store.open_output_stream(f"{folder}/{name}.bin") as data, store.open_output_stream(f"{folder}/{name}.idx") as index:
-            for part, texts in text_batches(batches):
-                encoded = encode(texts, path, dtype)
-                data.write(tail.join(encoded) + tail)
-                doc_ids = part.column("doc_id").to_pylist()
-                ends = ids + np.cumsum([len(x) // width + 1 for x in encoded])
-                index.write(np.column_stack((np.array(doc_ids, "<i8"), ends.astype("<i8"))).tobytes())
-                n, ids, first = n + len(texts), int(ends[-1]), doc_ids[0] if first is None else first
+            for batch in batches:
+                doc_id, ids = batch.column("doc_id"), batch.column("ids")
+                for x in ids:
+                    data.write(x.as_buffer())
+                ends = at + np.cumsum(pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)) // width
+                index.write(np.column_stack((doc_id.is_valid().to_numpy(zero_copy_only=False), doc_id.fill_null(0).to_numpy(), ends)).astype("<i8").tobytes())
+                n, at = n + len(ids), int(ends[-1]) if len(ends) else at
         if n:
-            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "name": [name], "docs": [n], "ids": [ids], "first": [first]}, schema=pa.schema([("part", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("first", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "name": [name], "docs": [n], "ids": [at]}, schema=pa.schema([("part", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     return rows
 
@@ -95,18 +103,24 @@ def _writer(uri: str, path: str, dtype: str, end: int):  # noqa: ANN202
 def write_tokens(docs: DataFrame, uri: str, path: str, end: int = END, parts: int | None = None) -> dict:
     """Encode docs (doc_id, text) in ascending doc_id order into a set of files at uri; returns its manifest.
 
-    A null or empty text is the end id alone. Rows with a null doc_id are not written: they have no place in the order. Rows
-    that repeat a doc_id are written one after another, in the order of their texts. Other columns are ignored; an empty table
-    gives a set without parts. The driver sees one row for each part, never ids.
+    A null or empty text is the end id alone. Rows without a doc_id come last. Rows that repeat a doc_id are written one after
+    another, in the order of their ids' bytes. Other columns are ignored; an empty table gives a set without parts. Texts are encoded
+    where they are read, and only ids are shuffled. Without a number of parts there is one for PART_BYTES of ids, but as many as
+    shuffle partitions where each then still has SMALL_PART. The driver sees one row for each part, never ids.
     """
     spark = docs.sparkSession
     dtype = "<u2" if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 65536 else "<u4"
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    store, folder = _store(uri)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    encoded, at = written(rows.mapInArrow(_encoder(path, dtype, end), "doc_id long, ids binary"), "encoded")
+    if parts is None:
+        size = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+        parts = max(1, -(-size // PART_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SMALL_PART))
+    order = F.col("doc_id").asc_nulls_last()
+    ordered = encoded.repartitionByRange(parts, order).sortWithinPartitions(order, "ids")
+    store, folder = open_store(uri)
     store.create_dir(folder, recursive=True)
-    found = sorted(ordered.mapInArrow(_writer(uri, path, dtype, end), "part int, name string, docs long, ids long, first long").collect(), key=lambda r: r["part"])
+    found = sorted(ordered.mapInArrow(_writer(uri, np.dtype(dtype).itemsize), "part int, name string, docs long, ids long").collect(), key=lambda r: r["part"])
+    discard(spark, at)
     base, listed = 0, []
     for r in found:
         listed.append({"name": r["name"], "docs": r["docs"], "ids": r["ids"], "base": base})
@@ -119,7 +133,7 @@ def write_tokens(docs: DataFrame, uri: str, path: str, end: int = END, parts: in
 
 def _mapped(uri: str, name: str, dtype: str) -> np.ndarray:
     """A file's integers: mapped into memory where the store is a local or mounted folder, else read."""
-    store, folder = _store(uri)
+    store, folder = open_store(uri)
     at = f"{folder}/{name}"
     if isinstance(store, fs.LocalFileSystem):
         return np.memmap(at, dtype, "r") if os.path.getsize(at) else np.zeros(0, dtype)
@@ -129,7 +143,7 @@ def _mapped(uri: str, name: str, dtype: str) -> np.ndarray:
 
 def read_tokens(spark: SparkSession, uri: str) -> DataFrame:
     """(doc_id, start, ids) of every document of the set at uri, one task for each part; ids are little-endian unsigned 32-bit."""
-    store, folder = _store(uri)
+    store, folder = open_store(uri)
     with store.open_input_stream(f"{folder}/manifest.json") as f:
         manifest = json.load(io.BytesIO(f.read()))
     dtype = manifest["dtype"]
@@ -137,12 +151,12 @@ def read_tokens(spark: SparkSession, uri: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                ids, index = _mapped(uri, f"{name}.bin", dtype), _mapped(uri, f"{name}.idx", "<i8").reshape(-1, 2)
-                begin = np.concatenate(([0], index[:-1, 1]))
+                ids, index = _mapped(uri, f"{name}.bin", dtype), _mapped(uri, f"{name}.idx", "<i8").reshape(-1, 3)
+                begin = np.concatenate(([0], index[:-1, 2]))
                 for i in range(0, len(index), 1000):
                     block = index[i : i + 1000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(block[:, 0]), pa.array(base + begin[i : i + 1000]), pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(begin[i : i + 1000], block[:, 1], strict=True)], pa.binary())],
+                        [pa.array(block[:, 1], mask=block[:, 0] == 0), pa.array(base + begin[i : i + 1000]), pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(begin[i : i + 1000], block[:, 2], strict=True)], pa.binary())],
                         ["doc_id", "start", "ids"],
                     )
 
