@@ -33,6 +33,8 @@ _CONTEXT = regex.compile(r"[^\x20\x09-\x0D]+")
 _KEY = regex.compile(r"(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{24,}")
 #: Letters before an instance in which its pattern is looked for, and words that form it.
 REACH, CONTEXT_WORDS = 64, 2
+#: Parts into which the rows of one context are dealt when they are joined.
+SALTS = 16
 ROUNDS = 3
 #: A pattern counts if so much of what it holds is known, over so many known instances at least.
 CONFIDENCE, SUPPORT = 0.9, 5
@@ -115,6 +117,15 @@ def _scanner(keep: list[str]):  # noqa: ANN202
     return rows
 
 
+def salt(column: str) -> F.Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def salted(patterns: DataFrame) -> DataFrame:
+    """One row for each salt, so that the instances of a very common context are joined in as many tasks."""
+    return patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def confident_patterns(scanned: DataFrame) -> DataFrame:
     """(pattern, confidence): the bootstrap over the graph of patterns and instances; every round is joins and sums."""
     graph = scanned.select(F.explode("found").alias("f")).groupBy("f.pattern", "f.instance").agg(F.max(F.col("f.seed").cast("double")).alias("seed"))
@@ -124,7 +135,7 @@ def confident_patterns(scanned: DataFrame) -> DataFrame:
         scored = graph.join(trust, "instance").groupBy("pattern").agg(F.avg("trust").alias("confidence"), F.sum("trust").alias("support"))
         scored = scored.where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT))
         if i < ROUNDS - 1:
-            reached = graph.join(scored, "pattern").groupBy("instance").agg(F.max("confidence").alias("reached"))
+            reached = graph.withColumn("salt", salt("instance")).join(salted(scored), ["pattern", "salt"]).groupBy("instance").agg(F.max("confidence").alias("reached"))
             seeds = graph.groupBy("instance").agg(F.max("seed").alias("seed"))
             trust = seeds.join(reached, "instance", "left").select("instance", F.greatest("seed", F.coalesce("reached", F.lit(0.0))).alias("trust"))
     return scored.select("pattern", "confidence")
@@ -142,7 +153,8 @@ def with_spans(rows: DataFrame, keep: list[str]) -> DataFrame:
     scanned = materialise(rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_scanner(keep), schema), "scanned")
     hits = scanned.select("row_id", F.explode("found").alias("f")).where("not f.seed or f.instance rlike '^[0-9a-f]{24,}$'")
     hits = hits.select("row_id", F.col("f.pattern").alias("pattern"), F.struct(F.lit("id").alias("kind"), F.col("f.start").alias("start"), F.col("f.end").alias("end")).alias("span"))
-    more = hits.join(confident_patterns(scanned), "pattern", "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_list("span")).alias("more"))
+    known = salted(confident_patterns(scanned))
+    more = hits.withColumn("salt", salt("row_id")).join(known, ["pattern", "salt"], "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_list("span")).alias("more"))
     # Rows without a possible further span stay where they are.
     open_ = F.exists("found", lambda f: ~f["seed"] | f["instance"].rlike("^[0-9a-f]{24,}$"))
     joined = scanned.where(open_).join(more, "row_id", "left").select(*keep, "base", F.concat("base", F.coalesce("more", F.array().cast(BASE))).alias("spans"))
@@ -153,7 +165,8 @@ def mask(rows: DataFrame) -> DataFrame:
     """rows with every span of text replaced by its kind in brackets (of spans that overlap, the first one's kind), and n_chars
     set anew where there is such a column; a null text stays null."""
     keep = rows.columns
-    marked = with_spans(rows, keep)
+    others = {c: f"_{i}" for i, c in enumerate(keep) if c != "text"}  # so that no column's name meets one of with_spans
+    marked = with_spans(rows.select("text", *(F.col(f"`{c}`").alias(a) for c, a in others.items())), ["text", *others.values()])
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,10 +181,10 @@ def mask(rows: DataFrame) -> DataFrame:
                     texts[i] = "".join([*parts, done[last:]])
             new = {"text": pa.array(texts, pa.string())}
             if "n_chars" in keep:
-                new["n_chars"] = pa.array([None if x is None else len(x) for x in texts], batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in keep], keep)
+                new["n_chars"] = pa.array([None if x is None else len(x) for x in texts], batch.schema.field(others["n_chars"]).type)
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(others[c]) for c in keep], keep)
 
-    return marked.select(*keep, "spans").mapInArrow(replaced, rows.schema)
+    return marked.select("text", *others.values(), "spans").mapInArrow(replaced, rows.schema)
 
 
 def as_text(spans: str) -> F.Column:
