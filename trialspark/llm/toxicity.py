@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log
 
 import numpy as np
@@ -103,7 +105,9 @@ class Matcher:
             first = last - length + 1
             if (first == 0 or not f[first - 1].isalnum()) and (stem or last + 1 == len(f) or not f[last + 1].isalnum()):
                 (hidden if weight is None else hits).append((first, last, weight))
-        return sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in hidden))
+        hidden.sort()
+        starts, reach = [x for x, _, _ in hidden], list(accumulate((y for _, y, _ in hidden), max))
+        return sum(w for a, b, w in hits if not ((k := bisect_right(starts, a)) and reach[k - 1] >= b))
 
 
 def strength(total: float, n_words: int) -> float:
