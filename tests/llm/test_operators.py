@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trialspark.llm import bpe, fingerprint, licenses, minhash, mixing, pii, quality, substrings, tokenfile, toxicity
 from trialspark.llm.registry import ORACLE, QUERIES
+from trialspark.shared import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -274,11 +275,11 @@ def test_token_files(spark, sf, odd, rows, tmp_path):
     manifest = tokenfile.write_tokens(docs, uri, path, parts=3)
     t = tokenfile.tokenizer(path)
     want, at = [], 0
-    for i, x in sorted((i, x) for i, x in pairs(docs) if i is not None):
-        ids = [*t.encode(x, add_special_tokens=False).ids, 1]
+    encoded = [(i, [*t.encode(x, add_special_tokens=False).ids, 1]) for i, x in pairs(docs)]
+    for i, ids in sorted(encoded, key=lambda r: (r[0] is None, r[0] or 0, np.array(r[1], "<u2").tobytes())):  # rows without an id last
         want.append((i, at, ids))
         at += len(ids)
-    got = sorted((r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in tokenfile.read_tokens(spark, uri).collect())
+    got = sorted(((r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in tokenfile.read_tokens(spark, uri).collect()), key=lambda r: r[1])
     assert got == want and manifest["ids"] == at
     assert tokenfile.checksum([1, 2]) == zlib.crc32(bytes([1, 0, 0, 0, 2, 0, 0, 0]))
 
@@ -433,7 +434,7 @@ def test_wrapped_licences(spark):
     texts = [APACHE, GPL, UNLICENSE, wrapped((11, 12, 13), 72), "\n".join("# " + x for x in wrapped((14, 15, 16, 17), 60).split("\n")), wrapped((30,), 20)]
     texts += ["Licensed under the Apache License, Version 2.0\n(the", "licensed under\n\nthe MIT license", "licensed under. the MIT license"]
     r = licenses.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [x["licences"] for x in r] == ["Apache-2.0", "GPL-3.0-or-later", "Unlicense", "MIT", "BSD-2-Clause-text,BSD-3-Clause", "ISC", "Apache-2.0", "", ""]
+    assert [x["licences"] for x in r] == ["Apache-2.0", "GPL-3.0-or-later", "Unlicense", "MIT", "BSD-3-Clause", "ISC", "Apache-2.0", "", ""]
     assert r[0]["sentence_ids"] == "5,6,7,8,9,10" and r[1]["sentence_ids"] == "18,20,21"
 
 
@@ -479,3 +480,189 @@ def test_pipeline(spark, sf):
     assert set(after["mixing"]) <= set(after["personal_data"])
     done = c.STAGES[-1][1](spark, docs, sf)
     assert done.count() == docs.count() and all(r["decoded"] == after["mixing"][r["doc_id"]] for r in done.collect())
+
+
+# What the methods add, against independent versions --------------------------------------------------------------------
+
+
+def gram_chars(text, k):
+    """Characters of words in k-word windows found twice or more."""
+    words = WORD.findall(text)
+    windows = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+    n = Counter(windows)
+    inside = {i + j for i, w in enumerate(windows) if n[w] > 1 for j in range(k)}
+    return sum(len(words[i]) for i in inside)
+
+
+@pytest.mark.parametrize("rows", ["odd", "sf"])
+def test_quality_measures_and_verdict(spark, sf, odd, rows):
+    docs = odd if rows == "odd" else documents(spark, sf).limit(400)
+    got = {(r["doc_id"], r["n_words"]): r for r in quality.quality(docs).collect()}
+    for i, text in pairs(docs):
+        words = WORD.findall(text)
+        r = got[i, len(words)]
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        dup = sum(len("".join(WORD.findall(x))) for k, x in enumerate(lines) if x in lines[:k])
+        grams = {k: gram_chars(text, k) for k in quality.GRAM_LIMITS}
+        assert r["dup_line_chars"] == dup and all(r[f"dup_{k}gram_chars"] == v for k, v in grams.items())
+        chars = sum(map(len, words))
+        bad = dup > 0.30 * chars or any(v > quality.GRAM_LIMITS[k] * chars for k, v in grams.items()) or r["n_symbols"] > 0.1 * len(words)
+        assert r["kept"] == (not r["base_failed"] and not bad)
+
+
+def independent_sketch(text):
+    """Shingle hashes by the xxhash library, with the seeds that a chain of hashes has."""
+    import struct
+
+    import xxhash
+
+    one = lambda data, seed: xxhash.xxh64_intdigest(data, seed=seed)
+    words = [one(w.encode(), 42) for w in re.split("[ \\t\\n\\x0b\\f\\r]+", text.lower()) if w]
+    shingles = set()
+    for window in [words[i : i + 5] for i in range(len(words) - 4)] or ([words] if words else []):
+        h = 42
+        for w in window:
+            h = one(struct.pack("<Q", w), h)
+        shingles.add(h)
+    low = {h for h in shingles if h >> 60 == 0}
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    return (low | {min(shingles, key=signed)} if shingles else set()), shingles
+
+
+def test_sketches_and_likeness(spark, sf):
+    docs = documents(spark, sf).limit(150)
+    held = {r["doc_id"]: ({h % 2**64 for h in r["hashes"]}, r["text"]) for r in fingerprint.fingerprints(docs.select("doc_id", "text")).collect()}
+    exact = {i: independent_sketch(t or "") for i, (_, t) in held.items()}
+    assert all(held[i][0] == exact[i][0] for i in held)
+    docs.write.mode("overwrite").parquet(f"{shared_dir(spark)}/few/documents.parquet")
+    rows = fingerprint.query(spark, f"{shared_dir(spark)}/few").collect()
+    order = sorted(held, reverse=True)
+    errors = []
+    for r in rows:
+        at = order.index(r["doc_id"])
+        mine, other = exact[r["doc_id"]], exact[order[(at + 1) % len(order)]]
+        union = mine[0] | other[0]
+        assert r["near_next"] == pytest.approx(len(mine[0] & other[0]) / len(union) if union else 1.0)
+        text, nxt = held[r["doc_id"]][1] or "", held[order[(at + 1) % len(order)]][1] or ""
+        half = len(text) // 2
+        edited = independent_sketch(text[: len(text) - half] + nxt[:half])
+        union, every = mine[0] | edited[0], mine[1] | edited[1]
+        assert r["near_edited"] == pytest.approx(len(mine[0] & edited[0]) / len(union) if union else 1.0)
+        if len(every) > 400:
+            errors.append(abs(r["near_edited"] - len(mine[1] & edited[1]) / len(every)))
+    assert errors and sum(errors) / len(errors) < 0.1
+
+
+def brute_mix(rows):
+    """taken of each (sid, source_size, target, size) in the order of its source's stream, by the definition of the schedule."""
+    phi, mod = int((5**0.5 - 1) / 2 * 2**40) | 1, 2**40
+    sources = {r[0]: r[1:3] for r in rows if r[2] > 0}
+    words = {s: max(1, min(size // 1024, 1024)) for s, (size, _) in sources.items()}
+    wanted = {s: target / words[s] for s, (_, target) in sorted(sources.items())}
+    total, up, ends = sum(wanted.values()), 0.0, []
+    for s, w in wanted.items():
+        up += w
+        ends.append((up / total, s))
+    times, rank = defaultdict(Counter), Counter()
+    for k in range(-int(-total // 1)):
+        point = (k * phi + mod // 2) % mod / mod
+        s = next((s for hi, s in ends if point < hi), ends[-1][1])
+        blocks = -(-sources[s][0] // words[s])
+        if rank[s] < 2 * blocks:
+            times[s][rank[s] % blocks] += 1
+        rank[s] += 1
+    at, out = Counter(), []
+    for s, _, _, size in rows:
+        out.append(sum(times[s][w // words[s]] for w in range(at[s], at[s] + size)) if size else 0)
+        at[s] += size
+    return out
+
+
+def test_words_taken_equal_the_schedule(spark, sf):
+    docs = documents(spark, sf)
+    rows = mixing.mix_rows(docs).withColumn("h", F.xxhash64("doc_id", F.lit(8))).collect()
+    names = sorted({r["source"] for r in rows})
+    count = len(rows)
+    stream = sorted(rows, key=lambda r: (names.index(r["source"]), r["h"] % (count // mixing.CHUNK + 1), r["h"], r["doc_id"]))
+    want = brute_mix([(names.index(r["source"]), r["source_size"], r["target"], r["size"]) for r in stream])
+    assert [r["taken"] for r in stream] == want
+
+
+def test_small_sources_beside_a_large_one(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("large").alias("source"), F.repeat(F.lit("word "), 1000).alias("text"))
+    docs = docs.union(spark.range(3000, 3003).select("id", F.lit("small"), F.repeat(F.lit("word "), 100))).union(spark.range(4000, 4001).select("id", F.lit("tiny"), F.lit("a b c")))
+    by = {r["source"]: r for r in mixing.mix_rows(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert all(abs(r["taken"] - r["target"]) <= 0.02 * r["target"] + 3 for r in by.values())
+
+
+def test_matches_and_exceptions_against_brute_force():
+    lexicon = {"trash": 1.0, "idiot": 2.0, "lose*": 0.5, "can": 0.25}
+    m = toxicity.Matcher(lexicon)
+    rng = np.random.default_rng(3)
+    phrases = [toxicity.fold(x) for x in toxicity.EXCEPTIONS]
+    for _ in range(200):
+        text = toxicity.fold(" ".join(rng.choice(["trash", "can", "idiot", "loser", "lose", "x", *phrases], 12)))
+        bound = lambda i: i < 0 or i >= len(text) or not text[i].isalnum()  # noqa: B023, E731
+        at = lambda w: [i for i in range(len(text)) if text.startswith(w, i) and bound(i - 1)]  # noqa: B023, E731
+        hidden = [(i, i + len(p)) for p in phrases if p not in lexicon for i in at(p) if bound(i + len(p))]
+        want = 0.0
+        for entry, weight in lexicon.items():
+            w, stem = entry.rstrip("*"), entry.endswith("*")
+            want += sum(weight for i in at(w) if (stem or bound(i + len(w))) and not any(a <= i and i + len(w) <= b for a, b in hidden))
+        assert m.total(text) == pytest.approx(want)
+
+
+def test_exceptions_take_time_in_proportion():
+    import time
+
+    m, text = toxicity.Matcher({"trash": 1.0}), toxicity.EXCEPTIONS[0] + " trash "
+    began = time.time()
+    m.total(text * (1_000_000 // len(text)))
+    assert time.time() - began < 5
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    t = spark.createDataFrame([("call me at +1 212 555 0199 now", 1, "b", 2, 3, 4, 5, 6, 7)], "text string, doc_id long, base string, found int, spans int, row_id int, more int, salt int, pattern int")
+    r = pii.mask(t).first()
+    assert r.asDict() == {"text": r["text"], "doc_id": 1, "base": "b", "found": 2, "spans": 3, "row_id": 4, "more": 5, "salt": 6, "pattern": 7} and "212" not in r["text"]
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    t = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("a b c d").alias("text"), F.lit(1).alias("_n"), F.lit(2).alias("_times"), F.lit(3).alias("_m"))
+    assert {tuple(r)[3:] for r in mixing.mixed_documents(t).collect()} == {(1, 2, 3)}
+
+
+def test_stages_with_odd_rows(spark, odd):
+    """Null and repeated ids, null and empty texts go through all stages; so does an empty table."""
+    import corpus_pipeline as c
+
+    docs = odd.select(*c.COLUMNS)
+    sizes = []
+    for name, stage in c.STAGES:
+        before, docs = docs, stage(spark, docs, "")
+        path = f"{shared_dir(spark)}/odd-{name}"
+        docs.write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        sizes.append(docs.count())
+        assert docs.columns == list(c.COLUMNS) or name == "encoding"
+        if name == "near_duplicates":
+            assert docs.where("doc_id is null").count() == before.where("doc_id is null").count() == 1
+        if name == "personal_data":
+            assert docs.count() == before.count()
+    assert sizes[0] > 0 and sizes[3] == sizes[4]
+    empty = odd.limit(0).select(*c.COLUMNS)
+    for _, stage in c.STAGES:
+        assert stage(spark, empty, "").count() == 0
+
+
+def test_longest_rule_and_headers(spark):
+    headers = {
+        "MIT": " * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software without restriction, including without limitation the rights\n * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n * copies of the Software, and to permit persons to whom the Software is\n * furnished to do so, subject to the following conditions:\n *\n * The above copyright notice and this permission notice shall be included in all\n * copies or substantial portions of the Software.\n *\n * THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\n * IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\n * FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.\n",
+        "MPL-2.0": "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at https://mozilla.org/MPL/2.0/.\n",
+        "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\nLesser General Public License for more details.\n",
+        "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are\npermitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of\n   conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of\n   conditions and the following disclaimer in the documentation and/or other materials\n   provided with the distribution.\n",
+        "GPL-2.0-only": "/* SPDX-License-Identifier: GPL-2.0-only */\nint x;\n",
+    }
+    headers["BSD-3-Clause"] = headers["BSD-2-Clause"].replace("1. R", "* R").replace("2. R", "* R") + "\n* Neither the name of the copyright holder nor the names of its contributors may be used\n  to endorse or promote products derived from this software without specific prior\n  written permission.\n"
+    t = spark.createDataFrame(list(enumerate(headers.values())), "doc_id long, text string")
+    assert [r["licences"] for r in licenses.licences(t).orderBy("doc_id").collect()] == list(headers)
