@@ -275,8 +275,8 @@ def test_token_files(spark, sf, odd, rows, tmp_path):
     manifest = tokenfile.write_tokens(docs, uri, path, parts=3)
     t = tokenfile.tokenizer(path)
     want, at = [], 0
-    encoded = [(i, [*t.encode(x, add_special_tokens=False).ids, 1]) for i, x in pairs(docs)]
-    for i, ids in sorted(encoded, key=lambda r: (r[0] is None, r[0] or 0, np.array(r[1], "<u2").tobytes())):  # rows without an id last
+    encoded = [(i, [*t.encode(x, add_special_tokens=False).ids, 1], x) for i, x in pairs(docs)]
+    for i, ids, _ in sorted(encoded, key=lambda r: (r[0] is None, r[0] or 0, r[2])):  # rows without an id last
         want.append((i, at, ids))
         at += len(ids)
     got = sorted(((r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in tokenfile.read_tokens(spark, uri).collect()), key=lambda r: r[1])
@@ -289,6 +289,17 @@ def test_no_tokens(spark, none, tmp_path):
     assert tokenfile.read_tokens(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_words_encoded_at_once():
+    """Equal to each word alone, also next to letters that combine, added tokens and their parts."""
+    path = public_tokenizers.path(tokenfile.VOCABULARY)
+    t = tokenfile.tokenizer(path)
+    rng = np.random.default_rng(5)
+    signs = list("abcé日\u0301\u200d'’<|>1.٣İß#\U0001f600\u00a0")
+    words = {"".join(rng.choice(signs, rng.integers(1, 7))).encode() for _ in range(4000)} | {b"<|endoftext|>", b"x<|endoftext|>y", b"", b"<|", b"|>", "\u0301".encode(), b"it's"}
+    words = sorted(words)
+    assert tokenfile._encode_words(t, words, "<u2") == [np.array(t.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes() for w in words]
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 

@@ -17,25 +17,47 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from trialspark.llm.bpe import open_store, tokenizer
 from trialspark.llm.textnum import text_batches
-from trialspark.shared import discard, new_path, written
+from trialspark.shared import new_path
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-#: Bytes of ids in a part, and the least that a part is made of to use all tasks.
-PART_BYTES, SMALL_PART = 256 << 20, 4 << 20
+#: Bytes of text in a part, and the least that a part is made of to use all tasks.
+PART_BYTES, SMALL_PART = 512 << 20, 8 << 20
 #: Distinct words whose ids a worker remembers before it begins a new memory; of the last one, words that come again are kept.
 REMEMBERED = 600_000
+#: Words that are encoded as one text.
+GROUP = 1000
 _MARKS = b".,;:!?"
 _memory: dict[tuple[str, str], tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 
 
+def _encode_words(t: Tokenizer, words: list[bytes], dtype: str) -> list[bytes]:
+    """The ids of each word. Words are encoded many at once, held apart by an added token: these are taken out of a text before all
+    else. Words that may hold part of one are encoded alone, as all are if there is no such token."""
+    apart = next(((i, x.content) for i, x in t.get_added_tokens_decoder().items() if x.special and not (x.normalized or x.single_word or x.lstrip or x.rstrip)), None)
+    if apart is None:
+        return [np.array(x.ids, dtype).tobytes() for x in t.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
+    mark, between = apart
+    signs = {x.content[0].encode() for x in t.get_added_tokens_decoder().values()} | {x.content[-1].encode() for x in t.get_added_tokens_decoder().values()}
+    alone = {w for w in words if any(x in w for x in signs)}
+    out = {w: np.array(t.encode(w.decode("utf-8"), add_special_tokens=False).ids, dtype).tobytes() for w in alone}
+    rest = [w for w in words if w not in alone]
+    groups = [rest[i : i + GROUP] for i in range(0, len(rest), GROUP)]
+    width = np.dtype(dtype).itemsize
+    for group, x in zip(groups, t.encode_batch_fast([b" ".join(g).decode("utf-8").replace(" ", between) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(x.ids, dtype)
+        data, cuts = ids.tobytes(), (np.flatnonzero(ids == mark) * width).tolist()
+        out.update(zip(group, [data[a:b] for a, b in zip([0, *(c + width for c in cuts)], [*cuts, len(data)], strict=True)], strict=True))
+    return [out[w] for w in words]
+
+
 def encode(texts: list[bytes], path: str, dtype: str) -> list[bytes]:
     """The ids of each text as integers of dtype. This vocabulary lower-cases, drops white space and merges inside words only, so
     a text's ids are those of its words, and those of a word followed by punctuation marks are the word's and the marks'. A
@@ -54,10 +76,7 @@ def encode(texts: list[bytes], path: str, dtype: str) -> list[bytes]:
         # after an ASCII letter or digit the marks begin a new piece
         parts.append((w, stem, w[len(stem) :]) if len(stem) < len(w) and stem[-1:].isalnum() else (w, w, b""))
     new = list({x for _, stem, marks in parts for x in (stem, marks)}.difference(known))
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        encoded = t.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-        known.update(zip(part, [np.array(x.ids, dtype).tobytes() for x in encoded], strict=True))
+    known.update(zip(new, _encode_words(t, new, dtype), strict=True))
     known.update((w, known[stem] + known[marks]) for w, stem, marks in parts if marks)
     out = []
     for text, own in zip(texts, words, strict=True):
@@ -68,32 +87,23 @@ def encode(texts: list[bytes], path: str, dtype: str) -> list[bytes]:
     return out
 
 
-def _encoder(path: str, dtype: str, end: int):  # noqa: ANN202
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.array([end], dtype).tobytes()
-        for part, texts in text_batches(batches):
-            ids = [x + tail for x in encode(texts, path, dtype)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return rows
-
-
-def _writer(uri: str, width: int):  # noqa: ANN202
+def _writer(uri: str, path: str, dtype: str, end: int):  # noqa: ANN202
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         store, folder = open_store(uri)
-        n = at = 0
+        tail = np.array([end], dtype).tobytes()
+        width, n, at = np.dtype(dtype).itemsize, 0, 0
         with store.open_output_stream(f"{folder}/{name}.bin") as data, store.open_output_stream(f"{folder}/{name}.idx") as index:
-            for batch in batches:
-                doc_id, ids = batch.column("doc_id"), batch.column("ids")
-                for x in ids:
-                    data.write(x.as_buffer())
-                ends = at + np.cumsum(pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)) // width
+            for part, texts in text_batches(batches):
+                encoded = encode(texts, path, dtype)
+                data.write(tail.join(encoded) + tail)
+                doc_id = part.column("doc_id").cast(pa.int64())
+                ends = at + np.cumsum([len(x) // width + 1 for x in encoded])
                 index.write(np.column_stack((doc_id.is_valid().to_numpy(zero_copy_only=False), doc_id.fill_null(0).to_numpy(), ends)).astype("<i8").tobytes())
-                n, at = n + len(ids), int(ends[-1]) if len(ends) else at
+                n, at = n + len(texts), int(ends[-1])
         if n:
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "name": [name], "docs": [n], "ids": [at]}, schema=pa.schema([("part", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
@@ -104,23 +114,20 @@ def write_tokens(docs: DataFrame, uri: str, path: str, end: int = END, parts: in
     """Encode docs (doc_id, text) in ascending doc_id order into a set of files at uri; returns its manifest.
 
     A null or empty text is the end id alone. Rows without a doc_id come last. Rows that repeat a doc_id are written one after
-    another, in the order of their ids' bytes. Other columns are ignored; an empty table gives a set without parts. Texts are encoded
-    where they are read, and only ids are shuffled. Without a number of parts there is one for PART_BYTES of ids, but as many as
-    shuffle partitions where each then still has SMALL_PART. The driver sees one row for each part, never ids.
+    another, in the order of their texts. Other columns are ignored; an empty table gives a set without parts. Without a number of
+    parts there is one for PART_BYTES of text, but as many as shuffle partitions where each then still has SMALL_PART. The driver sees one row for each part, never ids.
     """
     spark = docs.sparkSession
     dtype = "<u2" if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 65536 else "<u4"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    encoded, at = written(rows.mapInArrow(_encoder(path, dtype, end), "doc_id long, ids binary"), "encoded")
     if parts is None:
-        size = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = max(1, -(-size // PART_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SMALL_PART))
     order = F.col("doc_id").asc_nulls_last()
-    ordered = encoded.repartitionByRange(parts, order).sortWithinPartitions(order, "ids")
+    ordered = rows.repartitionByRange(parts, order).sortWithinPartitions(order, "text")
     store, folder = open_store(uri)
     store.create_dir(folder, recursive=True)
-    found = sorted(ordered.mapInArrow(_writer(uri, np.dtype(dtype).itemsize), "part int, name string, docs long, ids long").collect(), key=lambda r: r["part"])
-    discard(spark, at)
+    found = sorted(ordered.mapInArrow(_writer(uri, path, dtype, end), "part int, name string, docs long, ids long").collect(), key=lambda r: r["part"])
     base, listed = 0, []
     for r in found:
         listed.append({"name": r["name"], "docs": r["docs"], "ids": r["ids"], "base": base})
