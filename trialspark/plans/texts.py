@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trialspark.operators import text as X
 from trialspark.operators.components import connected_components
 from trialspark.plans.views import table
+from trialspark.shared import materialise
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -174,7 +175,7 @@ def pairs_of(s: SparkSession, d: str, threshold: float = 0.5) -> DataFrame:
     """Pairs of different texts; weights come from all documents, copies are then left to their first (see links_of)."""
     w = X.tfidf(docs(s, d), "doc_id", "text")
     reps = X.classes_of(docs(s, d), "doc_id", "text").select(F.col("rep").alias("doc_id")).distinct()
-    return X.similar_pairs(w.join(reps, "doc_id", "left_semi"), "doc_id", threshold)
+    return X.similar_pairs(materialise(w.join(reps, "doc_id", "left_semi"), "weights"), "doc_id", threshold)  # read several times
 
 
 def links_of(s: SparkSession, d: str) -> DataFrame:
@@ -214,8 +215,6 @@ def _(s: SparkSession, d: str) -> DataFrame:
 e as (select threshold, a, b from k, l where cosine >= threshold union select threshold, b, a from k, l where cosine >= threshold), c as (select threshold, a as node, a as root from e union select e.threshold, e.b, c.root from c join e on e.a = c.node and e.threshold = c.threshold where c.root < e.b),
 roots as (select threshold, node, min(root) as root from c group by all), z as (select threshold, root, count(*) as n from roots group by all) select threshold, count(*) as groups, max(n) as largest, sum(n)::bigint as members from z group by threshold""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    from trialspark.shared import materialise
-
     return X.groups_at(materialise(pairs_and_links(s, d), "pairs"), [0.5, 0.6, 0.7, 0.8])
 
 
