@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -446,3 +447,17 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_similar_pairs_equal_brute_force(spark, threshold):
+    rng = np.random.default_rng(3)
+    vectors = rng.random((60, 40)) ** 3 * (rng.random((60, 40)) < np.linspace(0.05, 0.5, 40))
+    vectors[7], vectors[8] = vectors[9], vectors[9] + 0.01 * (vectors[9] > 0)
+    vectors = vectors[vectors.any(axis=1)]
+    vectors /= np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+    w = spark.createDataFrame([(i, f"g{j}", float(vectors[i, j])) for i, j in zip(*map(np.ndarray.tolist, vectors.nonzero()), strict=True)], "doc_id long, gram string, w double")
+    cosine = vectors @ vectors.T
+    want = {(i, j) for i in range(len(vectors)) for j in range(i + 1, len(vectors)) if cosine[i, j] >= threshold}
+    got = {(r["a"], r["b"]): r["cosine"] for r in X.similar_pairs(w, "doc_id", threshold).collect()}
+    assert set(got) == want and want and all(abs(got[i, j] - cosine[i, j]) < 1e-9 for i, j in want)
