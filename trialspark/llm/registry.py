@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from trialspark.llm import bpe, fingerprint, licenses, minhash, mixing, pii, quality, substrings, tokenfile, toxicity
+from trialspark.llm import bpe, exact, fingerprint, licenses, minhash, mixing, pii, quality, substrings, tokenfile, toxicity
 
 QUERIES = {
     "op1_repetition_quality": quality.query,
@@ -13,5 +13,6 @@ QUERIES = {
     "op6_bpe_words": bpe.query,
     "op7_token_files": tokenfile.query,
     "op9_folded_lexicon_toxicity": toxicity.query,
+    "op11_streaming_exact_dedup": exact.query,
 }
-ORACLE: dict[str, str] = {"op10_license_rules": licenses.SQL}
+ORACLE: dict[str, str] = {"op10_license_rules": licenses.SQL, "op11_streaming_exact_dedup": exact.SQL}
