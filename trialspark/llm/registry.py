@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from trialspark.llm import bpe, exact, fingerprint, licenses, minhash, mixing, pii, quality, substrings, tokenfile, toxicity
+from trialspark.llm import bpe, centroids, divergence, exact, fingerprint, licenses, minhash, mixing, pii, quality, substrings, tokenfile, toxicity
 
 QUERIES = {
     "op1_repetition_quality": quality.query,
@@ -14,5 +14,12 @@ QUERIES = {
     "op7_token_files": tokenfile.query,
     "op9_folded_lexicon_toxicity": toxicity.query,
     "op11_streaming_exact_dedup": exact.query,
+    "op12_divergence_cube": divergence.query,
+    "op13_bit_plane_centroids": centroids.query,
+}
+ORACLE: dict[str, str] = {
+    "op10_license_rules": licenses.SQL,
+    "op11_streaming_exact_dedup": exact.SQL,
+    "op12_divergence_cube": divergence.SQL,
+    "op13_bit_plane_centroids": centroids.SQL,
 }
-ORACLE: dict[str, str] = {"op10_license_rules": licenses.SQL, "op11_streaming_exact_dedup": exact.SQL}
