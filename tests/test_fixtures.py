@@ -302,9 +302,7 @@ def brute_draws(seed, b, n):
     return [mixed(mixed((one + j) % full) ^ two) * n >> 32 for j in range(n)]
 
 
-@pytest.mark.parametrize("piece", [1 << 20, 7])
-def test_bootstrap_equals_brute_force(spark, monkeypatch, piece):
-    monkeypatch.setattr(I, "PIECE", piece)  # seven clusters a piece: sums over pieces are the same
+def test_bootstrap_equals_brute_force(spark):
     x = [0.25 * (i % 5) for i in range(40)]
     c = spark.createDataFrame([(i, v, float(i % 3 + 1)) for i, v in enumerate(x)], "k long, x double, y double")
     values = {r["b"]: r["value"] for r in I.bootstrap(c, "k", "x", "y", 50, 3).collect()}
@@ -315,6 +313,30 @@ def test_bootstrap_equals_brute_force(spark, monkeypatch, piece):
     assert I.bootstrap(c.limit(0), "k", "x", None, 5, 3).count() == 0
 
 
+def test_tree_of_draws(spark):
+    """Any number of pieces draws n numbers for each replicate, the same ones; the interval is that of the direct draws."""
+    n = 3001
+    c = spark.range(n).select(F.col("id").alias("k"), ((F.col("id") * 7919 % 101) / 100).alias("x"), (F.col("id") % 3 + 1).cast("double").alias("y"))
+    runs = [{r["b"]: r for r in I.replicate_sums(c, "k", "x", "y", 60, 5, pieces=pieces, direct=10, leaf=64).collect()} for pieces in (1, 4, 16)]
+    for run in runs:
+        assert len(run) == 60 and all(r["drawn"] == n and r["method"] == "tree" for r in run.values())
+        assert all(abs(r["top"] - runs[0][b]["top"]) < 1e-9 and r["bottom"] == runs[0][b]["bottom"] for b, r in run.items())
+    ends = [I.intervals(I.bootstrap(c, "k", "x", "y", 2000, 5, direct=direct, leaf=256), lo=0.025, mid=0.5, hi=0.975).first() for direct in (10, 10_000)]
+    assert [r["method"] for r in ends] == ["tree", "draws"] and all(abs(ends[0][k] - ends[1][k]) < 0.0015 for k in ("lo", "mid", "hi"))  # a replicate's deviation is 0.005
+
+
+def test_leaf_counts_are_multinomial():
+    import numpy as np
+
+    n, leaf = 1000, 64
+    whole = [I.leaf_counts(9, b, n, 0, 16, leaf) for b in range(400)]
+    assert all(sum(c.values()) == n and len(c) == 16 for c in whole)
+    assert all({**I.leaf_counts(9, b, n, 0, 5, leaf), **I.leaf_counts(9, b, n, 5, 16, leaf)} == whole[b] for b in range(20))
+    counts = np.array([[c[i] for i in range(16)] for c in whole])
+    size = np.array([64] * 15 + [40])
+    assert (abs(counts.mean(axis=0) - size) < 5 * np.sqrt(size / 400)).all() and (abs(counts.var(axis=0) / (size * (1 - size / n)) - 1) < 0.4).all()
+
+
 def test_gates(spark):
     one = spark.range(1)
     name = lambda a, b: one.select(I.headline(collateral=F.lit(a), recovery_failure=F.lit(b)).alias("h")).first()["h"]

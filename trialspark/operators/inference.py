@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from trialspark.functions.columns import order_statistic
 from trialspark.shared import materialise
 
-#: Replicates of a bootstrap, and clusters of a piece (16 MB of numbers).
-REPLICATES, PIECE = 20_000, 1 << 20
+#: Replicates of a bootstrap; clusters up to which every task has all of them; clusters of a leaf of the tree beyond; and leaves of
+#: one piece at most (16 MB of numbers).
+REPLICATES, DIRECT, LEAF, MOST_LEAVES = 20_000, 100_000, 1 << 15, 32
 # What the draws are made of; a SQL twin has the same.
 MULTIPLIER, STRIDE, SEED_STRIDE, OFFSET = np.uint32(73244475), 2654435761, 97531, np.uint32(1374496523)
 
@@ -58,49 +59,98 @@ def draws(seed: int, b: int, first: int, last: int, n: int) -> np.ndarray:
     return (h.astype(np.uint64) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _partial_sums(seed: int):  # noqa: ANN202
+def _direct(seed: int):  # noqa: ANN202
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                low, whole, out = r.piece * PIECE, len(r.x) == r.n, []
-                for b in range(r.lo, r.hi):
-                    top = bottom = 0.0
-                    for first in range(0, r.n, PIECE):
-                        at = draws(seed, b, first, min(r.n, first + PIECE), r.n)
-                        if not whole:
-                            at = at[(at >= low) & (at < low + len(r.x))] - low
-                        top, bottom = top + float(r.x[at].sum()), bottom + float(r.y[at].sum())
-                    out.append((b, top, bottom))
-                yield pd.DataFrame(out, columns=["b", "top", "bottom"])
+                at = ((b, draws(seed, b, 0, r.n, r.n)) for b in range(r.lo, r.hi))
+                yield pd.DataFrame([(b, float(r.x[i].sum()), float(r.y[i].sum()), len(i)) for b, i in at], columns=["b", "top", "bottom", "drawn"])
 
     return rows
 
 
-def bootstrap(clusters: DataFrame, order: str, top: str, bottom: str | None, replicates: int = REPLICATES, seed: int = 7) -> DataFrame:
-    """b, value for each replicate: the mean of top over n clusters drawn with replacement, or the sum of top over the sum of
-    bottom; a null counts as 0. Draws are a function of seed, b and place (see draws), so that reruns agree.
+def stream(seed: int, b: int, node: int) -> np.random.Generator:
+    """Random numbers of replicate b at a node of the tree, whichever task asks: a counter-based generator set to that place."""
+    return np.random.Generator(np.random.Philox(key=seed, counter=(node << 128) | (b << 64)))
 
-    Clusters lie in pieces of at most PIECE numbers. A task takes one piece and a range of replicates, draws in batches and
-    gives one row of sums for each replicate: what is shuffled is pieces times replicates, never a draw. Fewer than 2**31
-    clusters; without clusters there are no rows.
+
+def leaf_counts(seed: int, b: int, n: int, first: int, last: int, leaf: int = LEAF) -> dict[int, int]:
+    """How many of the n draws of replicate b fall on each of the leaves first to last - 1 of leaf numbers.
+
+    The n draws are split between the halves of the leaves by a binomial number, and so on down; what lies beyond the asked
+    leaves is not followed. Together the counts are multinomial, and n in all.
     """
+    out, todo = {}, [(1, 0, -(-n // leaf), n)]
+    while todo:
+        node, lo, hi, count = todo.pop()
+        if hi <= first or lo >= last or lo >= hi:
+            continue
+        if hi - lo == 1:
+            out[lo] = count
+            continue
+        mid = (lo + hi) // 2
+        share = (mid - lo) * leaf / (min(hi * leaf, n) - lo * leaf)
+        left = int(stream(seed, b, node).binomial(count, share))
+        todo += [(2 * node, lo, mid, left), (2 * node + 1, mid, hi, count - left)]
+    return out
+
+
+def _tree(seed: int, replicates: int, leaf: int):  # noqa: ANN202
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((3, replicates))
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                first = int(r.low) // leaf
+                leaves = -(-len(r.x) // leaf)
+                for b in range(replicates):
+                    for at, count in leaf_counts(seed, b, int(r.n), first, first + leaves, leaf).items():
+                        lo = (at - first) * leaf
+                        x, y = r.x[lo : lo + leaf], r.y[lo : lo + leaf]
+                        i = stream(seed, b, at | 1 << 60).integers(0, len(x), count)
+                        sums[:, b] += x[i].sum(), y[i].sum(), count
+        yield pd.DataFrame({"b": np.arange(replicates), "top": sums[0], "bottom": sums[1], "drawn": sums[2].astype(np.int64)})
+
+    return rows
+
+
+def replicate_sums(clusters: DataFrame, order: str, top: str, bottom: str | None, replicates: int, seed: int, pieces: int | None = None, direct: int = DIRECT, leaf: int = LEAF) -> DataFrame:
+    """b, top, bottom, drawn, method: of each replicate the sums over what was drawn, and how many numbers were; see bootstrap."""
     c, n = _numbered(clusters, order)
-    if n >= 2**31:
-        raise ValueError("more clusters than a draw can number")
     number = F.coalesce(F.col(top).cast("double"), F.lit(0.0)).alias("x"), (F.lit(1.0) if bottom is None else F.coalesce(F.col(bottom).cast("double"), F.lit(0.0))).alias("y")
-    cells = c.select(F.floor(F.col("j") / PIECE).alias("piece"), "n", F.struct("j", *number).alias("v"))
-    pieces = cells.groupBy("piece", "n").agg(F.array_sort(F.collect_list("v")).alias("v")).select("piece", "n", F.col("v.x").alias("x"), F.col("v.y").alias("y"))
-    n_pieces = max(1, -(-n // PIECE))
-    ranges = max(1, -(-2 * c.sparkSession.sparkContext.defaultParallelism // n_pieces))
-    step = max(1, -(-replicates // ranges))
-    spans = pieces.withColumn("lo", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(step)))).withColumn("hi", F.least(F.col("lo") + step, F.lit(replicates)))
-    sums = spans.repartition(n_pieces * ranges).mapInPandas(_partial_sums(seed), "b long, top double, bottom double")
-    return sums.groupBy("b").agg((F.sum("top") / F.sum("bottom")).alias("value"))
+    parallel = 2 * c.sparkSession.sparkContext.defaultParallelism
+    method = "draws" if n <= direct else "tree"
+    leaves = max(1, -(-n // leaf))
+    size = max(n, 1) if method == "draws" else leaf * min(MOST_LEAVES, -(-leaves // (pieces or min(parallel, leaves))))
+    low = (F.floor(F.col("j") / size) * size).alias("low")
+    cells = c.select(low, "n", F.struct("j", *number).alias("v"))
+    held = cells.groupBy("low", "n").agg(F.array_sort(F.collect_list("v")).alias("v")).select("low", "n", F.col("v.x").alias("x"), F.col("v.y").alias("y"))
+    schema = "b long, top double, bottom double, drawn long"
+    if method == "draws":  # one small piece, copied to each task
+        step = max(1, -(-replicates // parallel))
+        spans = held.withColumn("lo", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(step)))).withColumn("hi", F.least(F.col("lo") + step, F.lit(replicates)))
+        sums = spans.repartition(parallel).mapInPandas(_direct(seed), schema)
+    else:
+        sums = held.repartition(-(-n // size), "low").mapInPandas(_tree(seed, replicates, leaf), schema).where("drawn > 0")
+    return sums.groupBy("b").agg(*(F.sum(x).alias(x) for x in ("top", "bottom", "drawn"))).withColumn("method", F.lit(method))
+
+
+def bootstrap(clusters: DataFrame, order: str, top: str, bottom: str | None, replicates: int = REPLICATES, seed: int = 7, **how: int) -> DataFrame:
+    """b, value, method for each replicate: the mean of top over n clusters drawn with replacement, or the sum of top over the sum
+    of bottom; a null counts as 0. Without clusters there are no rows.
+
+    Up to DIRECT clusters (method draws) every task has all of them, and draws for a range of replicates; a draw is a function of
+    seed, b and place (see draws), so that any engine can repeat it. Beyond (method tree) clusters lie in leaves of LEAF numbers,
+    and a task holds some leaves: how many of a replicate's n draws fall on them it learns from binomial splits on the way down
+    to them (see leaf_counts), and it draws these and no others. What comes out depends on seed and n, not on the number of
+    tasks. A task gives one row of sums for each replicate, however many pieces it had; no draw is shuffled.
+    """
+    return replicate_sums(clusters, order, top, bottom, replicates, seed, **how).select("b", (F.col("top") / F.col("bottom")).alias("value"), "method")
 
 
 def intervals(values: DataFrame, **at: float) -> DataFrame:
-    """One row of order statistics of value at the given shares; replicates are few, so they are gathered."""
-    return values.agg(F.collect_list("value").alias("v")).select(*(F.round(order_statistic(F.col("v"), p), 9).alias(k) for k, p in at.items()))
+    """One row of order statistics of value at the given shares, and the method of the draws; replicates are few, so they are
+    gathered."""
+    return values.agg(F.collect_list("value").alias("v"), F.max("method").alias("method")).select(*(F.round(order_statistic(F.col("v"), p), 9).alias(k) for k, p in at.items()), "method")
 
 
 def zero_defect_bound(n: Column, level: float = 0.05) -> Column:

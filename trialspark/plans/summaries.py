@@ -199,20 +199,20 @@ def _order(p: float) -> str:
     return f"round(v[least(len(v) - 1, floor({p} * len(v))::bigint) + 1], 9)"
 
 
-@query("i2_bootstrap_macro", T + ", per as (select task_id, avg((success_p and not collateral)::int) as x from trials group by task_id)" + boot(7, "avg(x)") + f" select {_order(0.025)} as lo, {_order(0.5)} as mid, {_order(0.975)} as hi from v")
+@query("i2_bootstrap_macro", T + ", per as (select task_id, avg((success_p and not collateral)::int) as x from trials group by task_id)" + boot(7, "avg(x)") + f" select {_order(0.025)} as lo, {_order(0.5)} as mid, {_order(0.975)} as hi, 'draws' as method from v")
 def _(s: SparkSession, d: str) -> DataFrame:
     per = trials(s, d).groupBy("task_id").agg(A.rate(F.col("success_p") & ~F.col("collateral")).alias("x"))
     return I.intervals(I.bootstrap(per, "task_id", "x", None, REPLICATES, 7), lo=0.025, mid=0.5, hi=0.975)
 
 
-@query("i3_paired_macro_difference", T + ", per as (select task_id, avg(success_p::int) - avg(success_r::int) as x from trials group by task_id)" + boot(11, "avg(x)") + f" select {_order(0.1)} as lo80, {_order(0.9)} as hi80, {_order(0.025)} as lo95, {_order(0.975)} as hi95, (select round(avg(x), 9) from per) as difference from v")
+@query("i3_paired_macro_difference", T + ", per as (select task_id, avg(success_p::int) - avg(success_r::int) as x from trials group by task_id)" + boot(11, "avg(x)") + f" select {_order(0.1)} as lo80, {_order(0.9)} as hi80, {_order(0.025)} as lo95, {_order(0.975)} as hi95, (select round(avg(x), 9) from per) as difference, 'draws' as method from v")
 def arm_comparison_report(s: SparkSession, d: str) -> DataFrame:
     per = trials(s, d).groupBy("task_id").agg((A.rate(F.col("success_p")) - A.rate(F.col("success_r"))).alias("x"))
     ends = I.intervals(I.bootstrap(per, "task_id", "x", None, REPLICATES, 11), lo80=0.1, hi80=0.9, lo95=0.025, hi95=0.975)
     return A.side_by_side(ends, per.agg(F.round(F.avg("x"), 9).alias("difference")))
 
 
-@query("i4_pooled_difference", T + ", per as (select task_id, sum(success_p::int - success_r::int)::double as x, count(*) as k from trials group by task_id)" + boot(13, "sum(x) / sum(k)") + f" select {_order(0.1)} as lo80, {_order(0.9)} as hi80, {_order(0.025)} as lo95, {_order(0.975)} as hi95, (select round(sum(x) / sum(k), 9) from per) as difference from v")
+@query("i4_pooled_difference", T + ", per as (select task_id, sum(success_p::int - success_r::int)::double as x, count(*) as k from trials group by task_id)" + boot(13, "sum(x) / sum(k)") + f" select {_order(0.1)} as lo80, {_order(0.9)} as hi80, {_order(0.025)} as lo95, {_order(0.975)} as hi95, (select round(sum(x) / sum(k), 9) from per) as difference, 'draws' as method from v")
 def _(s: SparkSession, d: str) -> DataFrame:
     per = trials(s, d).groupBy("task_id").agg(F.sum(F.col("success_p").cast("double") - F.col("success_r").cast("double")).alias("x"), F.count("*").alias("k"))
     ends = I.intervals(I.bootstrap(per, "task_id", "x", "k", REPLICATES, 13), lo80=0.1, hi80=0.9, lo95=0.025, hi95=0.975)
@@ -238,7 +238,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     e = episodes(s, d)
     c, fail = F.col, ~F.col("success")
     per = materialise(e.groupBy("task_id").agg(A.rate(c("safe")).alias("x"), A.rate(c("success")).alias("wide")), "per")
-    upper = I.intervals(I.bootstrap(per, "task_id", "x", None, REPLICATES, 20260927), upper=0.975)
+    upper = I.intervals(I.bootstrap(per, "task_id", "x", None, REPLICATES, 20260927), upper=0.975).drop("method")
     rates = e.agg(
         A.rate(c("collateral"), ~c("assigned"), 0.0).alias("collateral"), A.rate(fail, c("observed"), 0.0).alias("recovery"), A.rate((c("n_calls") >= 6) & ~c("safe")).alias("unfinished"), A.rate(fail & (c("n_calls") > 0)).alias("failed"), F.count_if("safe").alias("wins"),
     )
