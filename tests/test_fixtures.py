@@ -483,3 +483,39 @@ def test_similar_pairs_equal_brute_force(spark, threshold):
     want = {(i, j) for i in range(len(vectors)) for j in range(i + 1, len(vectors)) if cosine[i, j] >= threshold}
     got = {(r["a"], r["b"]): r["cosine"] for r in X.similar_pairs(w, "doc_id", threshold).collect()}
     assert set(got) == want and want and all(abs(got[i, j] - cosine[i, j]) < 1e-9 for i, j in want)
+
+
+def test_tiles_find_all_similar_pairs(spark):
+    """Against all products, for tiles of 1 to 64 vectors, with common grams (dense columns) and rare ones."""
+    import numpy as np
+
+    r = np.random.Generator(np.random.PCG64(2))
+    rows = []
+    for k in range(60):
+        grams = {f"g{i}" for i in r.zipf(1.4, 25) if i < 400} | ({f"h{i}" for i in range(k // 6 * 3, k // 6 * 3 + 8)} if k % 2 else set())
+        v = {g: float(r.random()) + 0.05 for g in grams}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        rows += [(k, g, x / norm) for g, x in v.items()]
+    vectors = {}
+    for k, g, x in rows:
+        vectors.setdefault(k, {})[g] = x
+    dot = lambda a, b: sum(x * vectors[b].get(g, 0.0) for g, x in vectors[a].items())
+    w = spark.createDataFrame(rows, "k long, gram string, w double")
+    for threshold, size in ((0.3, 64), (0.4, 16), (0.5, 7)):
+        got = {(p["a"], p["b"]): p["cosine"] for p in X.similar_pairs(w, "k", threshold, size).collect()}
+        want = {(a, b): dot(a, b) for a in vectors for b in vectors if a < b and dot(a, b) >= threshold}
+        assert len(want) > 5 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert X.similar_pairs(w.limit(0), "k", 0.5).count() == 0
+
+
+def test_far_tiles_are_left_out(spark):
+    w = spark.createDataFrame([(k, f"{'ab'[k // 20]}{i}", 0.5) for k in range(40) for i in range(k % 3, k % 3 + 4)], "k long, gram string, w double")
+    packed = X.tiles(w, "k", 20)
+    assert packed.select("tile").distinct().count() == 2
+    assert {tuple(r) for r in X.tile_pairs(packed, 0.5).collect()} == {(0, 0), (1, 1)}
+
+
+def test_gram_counts(spark):
+    t = spark.createDataFrame([(1, "a bb cc bb cc"), (2, "bb  CC"), (3, None), (4, "")], "k long, text string")
+    w = {(r["k"], r["gram"]) for r in X.tfidf(t, "k", "text").collect()}
+    assert w == {(1, "bb"), (1, "cc"), (1, "bb cc"), (2, "bb"), (2, "cc"), (2, "bb cc")}
