@@ -16,8 +16,10 @@ from trialspark.operators import aggregates as A
 from trialspark.operators import assignment as S
 from trialspark.operators import grading as G
 from trialspark.operators import inference as I
+from trialspark.operators import containment as N
 from trialspark.operators import joins as J
 from trialspark.operators import snapshots as M
+from trialspark.operators import code as C
 from trialspark.operators import text as X
 from trialspark.operators import training as B
 from trialspark.operators import windows as W
@@ -241,7 +243,7 @@ def test_the_whole_block_must_lie_in_the_prompt(spark):
     blocks = blocks.where(J.is_block(F.col("text"))).select("item", J.flat(F.col("text")).alias("block"))
     assert rows(blocks.select("item")) == [("start",), ("whole",)]
     prompts = spark.createDataFrame([(1, f"write\n{b} now"), (2, "def total(x)"), (None, f"so {flat}"), (4, None)], "id long, text string")
-    found = J.containing(prompts.select("id", J.flat(F.col("text")).alias("text")), "id", "text", blocks, "block")
+    found = N.containing(prompts.select("id", J.flat(F.col("text")).alias("text")), "id", "text", blocks, "block")
     assert rows(found) == [(1, flat), (None, flat)]
 
 
@@ -250,14 +252,14 @@ def test_containing_is_brute_force(spark, words):
     texts = [(i, " ".join(f"w{(i * 7 + k * k) % 11}" + "x" * (k % 3) for k in range(30)) + ("\n\tend  here" if i % 2 else "")) for i in range(12)]
     cut = [t[j : j + 40] for _, t in texts for j in range(0, len(t) - 40, 13)] + ["\tend  here", "nowhere in them at all"]
     literals = {" ".join(c.split(" ")[:words]).strip(" ") for c in cut} - {""}
-    found = J.containing(spark.createDataFrame(texts, "id long, text string"), "id", "text", spark.createDataFrame([(x,) for x in literals], "line string"), "line")
+    found = N.containing(spark.createDataFrame(texts, "id long, text string"), "id", "text", spark.createDataFrame([(x,) for x in literals], "line string"), "line")
     assert rows(found) == sorted(((i, x) for i, t in texts for x in literals if x in t), key=repr)
 
 
 def test_literals_within_a_line_are_found(spark):
     lit = "the answer is forty two"
     texts = spark.createDataFrame([(1, f"so {lit}, he said"), (2, f"a\n  {lit} \nb"), (3, "the answer is forty"), (4, f"xx{lit}yy {lit}")], "id long, text string")
-    found = J.containing(texts, "id", "text", spark.createDataFrame([(lit,)], "line string"), "line")
+    found = N.containing(texts, "id", "text", spark.createDataFrame([(lit,)], "line string"), "line")
     assert rows(found) == [(1, lit), (2, lit), (4, lit)]
 
 
@@ -428,10 +430,10 @@ def test_verifier_features_and_flags(spark):
     weak = "import os.path\nfrom numpy import x\nasync def test_a():\n    assert os.path.exists('a')\n"
     good = "import pytest, json\ndef test_b():\n    assert f() == 1\n    assert p.is_file()\n"
     t = spark.createDataFrame([("1", weak), ("2", good), ("3", "def ("), ("4", None)], "id string, text string")
-    f = {r["id"]: r for r in X.python_features(t).collect()}
+    f = {r["id"]: r["features"] for r in C.with_features(t, "text").collect()}
     assert (f["1"]["presence_only"], f["1"]["test_functions"], f["1"]["imports"]) == (True, 1, ["numpy", "os"]) and not f["2"]["presence_only"] and f["2"]["assertions"] == 2
     assert f["3"]["syntax_error"] and not f["4"]["syntax_error"] and f["4"]["assertions"] == 0
-    flags = lambda i, d, s: spark.createDataFrame([(i, d, s)], "i string, d string, s string").select(X.task_flags(F.col("i"), F.col("s"), F.col("d"), X.test_features("s")).alias("f")).first()["f"]
+    flags = lambda i, d, s: spark.createDataFrame([(i, d, s)], "i string, d string, s string").transform(C.with_features, "s").select(X.task_flags(F.col("i"), F.col("s"), F.col("d"), F.col("features")).alias("f")).first()["f"]
     assert flags("Use at most 5 shell commands", "FROM ubuntu:22.04\nCOPY solution.py /x", weak) == ["weak_verifier_static", "answer_file_suspect", "nonstdlib_test_import", "command_count_constraint"]
     assert flags("curl this image", "from debian\nCOPY . /x", good) == ["runtime_network_text", "multimedia_text", "copy_entire_context", "other_base"]
     assert flags(None, None, good) == ["other_base"]
@@ -519,3 +521,64 @@ def test_gram_counts(spark):
     t = spark.createDataFrame([(1, "a bb cc bb cc"), (2, "bb  CC"), (3, None), (4, "")], "k long, text string")
     w = {(r["k"], r["gram"]) for r in X.tfidf(t, "k", "text").collect()}
     assert w == {(1, "bb"), (1, "cc"), (1, "bb cc"), (2, "bb"), (2, "cc"), (2, "bb cc")}
+
+
+CODE = """
+'''Module text of eighteen letters
+  and another line of it  '''
+import a.b, c
+from .d import e
+from f.g import h
+EXPECTED_LINES: list = ["first line of the block here", "second line of the block here"]
+x = expected_bytes = b"bytes of the block, line one\\nbytes of the block, line two \\xff"
+expected_list = ["not", 1, ["nested, so it is no list of strings", "at all"]]
+expected_f = f"formatted {x} text with braces in it"
+expected_short = "a\\nb"
+expected_later = make("no literal value but a constant")
+expected_none: str
+class T:
+    async def test_one(self):
+        def test_inner(): assert self.p.exists() and "quite long constant text"
+        self.expected = "half \\ud800 surrogate and enough text\\nsecond line of that value"
+        # "a comment with quotes, which is no constant"
+"""
+
+
+def test_facts_of_sources(spark):
+    t = spark.createDataFrame([(1, CODE), (2, CODE), (3, "def ("), (4, None), (5, "x = '\\0'\0"), (6, "(" * 5000)], "k long, code string")
+    facts = C.source_facts(t, "code")
+    assert facts.where("kind = 'error'").count() == 3 and facts.select("source").distinct().count() == 4  # one of CODE twice, none of the empty one
+    f = {r["k"]: r["features"] for r in C.with_features(t, "code").collect()}
+    assert len(f) == 6 and f[1] == f[2] and (f[1]["imports"], f[1]["assertions"], f[1]["test_functions"], f[1]["presence_only"]) == (["a", "c", "d", "f"], 1, 2, True)
+    assert f[3]["syntax_error"] and f[5]["syntax_error"] and f[6]["syntax_error"] and not f[4]["syntax_error"]
+    lines = {r["line"] for r in C.literal_lines(t.where("k < 4"), "k", "code").where("k = 2").collect()}
+    assert lines == {
+        "Module text of eighteen letters", "and another line of it", "first line of the block here", "second line of the block here", "nested, so it is no list of strings", "text with braces in it",
+        "no literal value but a constant", "quite long constant text", "half ? surrogate and enough text", "second line of that value",
+    }
+    blocks = {(r["variable"], r["block"]) for r in C.expected_blocks(t, "k", "code").where("k = 1").collect()}
+    assert blocks == {
+        ("EXPECTED_LINES", "first line of the block here second line of the block here"), ("expected_bytes", "bytes of the block, line one bytes of the block, line two \ufffd"),
+        ("self.expected", "half ? surrogate and enough text second line of that value"),
+    }
+
+
+def test_literals_of_all_lengths_are_found(spark, sf, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    body = "".join(r.choice("ab é\U0001f600\n") for _ in range(9000)) + " the end of it"
+    texts = [(1, body), (2, body[3000:3400]), (3, "aa"), (4, None), (5, body), (6, "")]
+    literals = {body[i : i + n] for n in (1, 2, 3, 5, 7, 8, 9, 16, 30, 31, 32, 60, 400) for i in (0, 3100, 3123, len(body) - n)} | {"zz", "a", "bq", "no such text in any row of it", "the end of it!"}
+    monkeypatch.setattr(N, "BYTES", 1000)
+    found = N.containing(spark.createDataFrame(texts, "id long, text string"), "id", "text", spark.createDataFrame([(x,) for x in [*literals, ""]], "line string"), "line")
+    assert sorted(map(tuple, found.collect())) == sorted((i, x) for i, t in texts for x in literals if x in (t or ""))
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_index_keys_are_few(spark, sf):
+    """Of a text all of whose grams are wanted, under half a row for each word is an index key."""
+    text = " ".join(r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(40).collect())
+    assert 0 < len(N.keys_of(text.encode(), N.GRAM, N.WINDOW)) < 0.5 * len(text.split())
+    rows, _ = N.index_rows(spark.createDataFrame([(1, text)], "id long, text string"), spark.createDataFrame([(7, text[1000:1200])], "id long, text string"))
+    assert 5 < rows.count() < 100

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.operators.prefilter import split_by_ids
-from trialspark.shared import materialise
+
+
+MOST_RANGES = 10_000
 
 
 def arm_report(frozen: DataFrame, arm: DataFrame, key: str, stratum: str) -> DataFrame:
@@ -48,40 +50,10 @@ def is_block(text: Column, least: int = 40) -> Column:
     return (F.char_length(text) >= least) & F.btrim(text, F.lit(" \t\r\n")).rlike("[\r\n]")
 
 
-def _runs(words: Column, first: int, last: Column, *lengths: int) -> Column:
-    """Hashes of the runs of so many words that begin at first to last, counted from 0."""
-    one = lambda i, n: F.xxhash64(*(F.get(words, i + k) for k in range(n)))
-    return F.flatten(F.transform(F.sequence(F.lit(first), last), lambda i: F.array(*(one(i, n) for n in lengths))))
-
-
-def containing(texts: DataFrame, key: str, text: str, literals: DataFrame, literal: str) -> DataFrame:
-    """(key, literal) for each row of texts and each distinct literal that lies anywhere in its text, exact.
-
-    The words of a literal but its first and last stand whole in every text that holds it, so a run of up to three of them is an
-    equi-join key; the run that is rarest in the texts gives the candidates, and contains() decides. Literals of one or two words
-    have no such run and are held against every text. Null texts hold nothing; null keys are kept; empty literals are left out.
-    """
-    words = lambda t: F.filter(F.split(t, "[ \t\r\n]+"), lambda w: w != "")
-    t = texts.select(F.col(key), F.col(text).alias("_text")).where("_text is not null").withColumn("_h", F.xxhash64("_text"))
-    wanted = literals.select(F.col(literal).alias("_literal")).where("_literal <> ''").distinct().withColumn("_w", words(F.col("_literal")))
-    wanted = materialise(wanted.withColumn("_n", F.least(F.size("_w") - 2, F.lit(3))), "literals")
-    runs = [wanted.where(F.col("_n") == n).select("_literal", F.explode(_runs(F.col("_w"), 1, F.size("_w") - 1 - n, n)).alias("_a")) for n in (1, 2, 3)]
-    runs = materialise(runs[0].union(runs[1]).union(runs[2]).distinct(), "runs")
-    spread = t.select("_h", words(F.col("_text")).alias("_w")).where(F.size("_w") > 2)
-    spread = spread.select("_h", F.explode(_runs(F.col("_w"), 0, F.size("_w") - 1, 1, 2, 3)).alias("_a"))
-    hits = materialise(spread.join(runs.select("_a").distinct(), "_a").distinct(), "hits")
-    rare = runs.join(hits.groupBy("_a").agg(F.count("*").alias("_n")), "_a", "left").groupBy("_literal").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_a").alias("a"))).alias("_best"))
-    candidates = materialise(hits.join(rare.where("_best.n > 0").select("_literal", F.col("_best.a").alias("_a")), "_a").select("_h", "_literal").distinct(), "candidates")
-    maybe, _ = split_by_ids(t, "_h", candidates.select("_h"))
-    found = maybe.join(candidates, "_h").where(F.col("_text").contains(F.col("_literal"))).select(key, "_literal")
-    short = wanted.where("_n < 1").select("_literal")
-    if not short.isEmpty():
-        found = found.union(t.join(short, F.col("_text").contains(F.col("_literal"))).select(key, "_literal"))
-    return found.withColumnRenamed("_literal", literal)
-
-
 def range_join(rows: DataFrame, ranges: DataFrame, value: str) -> DataFrame:
-    """Rows with the half-open range [lo, hi) that holds value; ranges is a short list of constants."""
+    """Rows with the half-open range [lo, hi) that holds value; ranges is a list of constants, of MOST_RANGES at most."""
+    if ranges.limit(MOST_RANGES + 1).count() > MOST_RANGES:
+        raise ValueError(f"more than {MOST_RANGES} ranges")
     return rows.join(F.broadcast(ranges), (F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi")))
 
 

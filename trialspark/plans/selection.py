@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from trialspark.functions.columns import h12, hash_of
 from trialspark.operators import aggregates as A
 from trialspark.operators import assignment as S
+from trialspark.operators import code as C
+from trialspark.operators import containment as N
 from trialspark.operators import joins as J
 from trialspark.operators import windows as W
 from trialspark.operators.grading import READ_ERRORS, fault_observed
 from trialspark.plans.summaries import T
+from trialspark.plans.texts import as_python
 from trialspark.plans.views import MANIFESTS, STEPS, TASKS, TRIALS, manifests, steps, table, tasks, trials
 
 Q: dict = {}
@@ -185,34 +188,50 @@ def _(s: SparkSession, d: str) -> DataFrame:
 LINES = "select distinct {key}, trim(line, ' ') as line from (select {key}, unnest(string_split({text}, chr(10))) as line from {table}) where length(trim(line, ' ')) >= 18"
 
 
-@query("j7_literal_containment", f"with d as ({LINES.format(key='doc_id', text='text', table='documents')}), b as ({LINES.format(key='item_id', text='text', table='benchmark')}) select line, min(doc_id) as first_doc, count(distinct doc_id) as docs from b join d using (line) group by line")
+#: Where a literal counts: not in Dockerfiles, nor in files of tests.
+VISIBLE = "name <> 'Dockerfile' and not starts_with(name, 'test_') and not starts_with(name, 'task.json') and not starts_with(name, 'task_summary')"
+NAMED = "case doc_id % 10 when 0 then 'Dockerfile' when 1 then 'test_' || doc_id || '.py' when 2 then 'task.json' else 'f' || doc_id || '.txt' end"
+
+
+@query("j7_literal_containment", f"""with b as (select distinct line from ({LINES.format(key='item_id', text='text', table='benchmark')}) where regexp_matches(line, '[A-Za-z]{{4}}') and not starts_with(line, '/') and not starts_with(line, 'http')),
+f as (select doc_id, text, {NAMED} as name from documents) select line, min(name) as first_file, count(distinct doc_id) as files from b join f on contains(f.text, b.line) where {VISIBLE} group by line""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    lines = J.lines_in(table(s, d, "documents"), "doc_id", "text", 18)
-    literals = J.lines_in(table(s, d, "benchmark"), "item_id", "text", 18).select("line").distinct()
-    return lines.join(literals, "line").groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count_distinct("doc_id").alias("docs"))
+    """Literals of verifiers (the items of benchmark as string constants) anywhere in the files that a task shows."""
+    tests = table(s, d, "benchmark").select("item_id", F.concat(F.lit("# a comment that is no literal at all\nX = "), as_python(F.col("text")), F.lit("\n")).alias("test"))
+    files = table(s, d, "documents").select("doc_id", "text", F.expr(NAMED).alias("name")).where(F.expr(VISIBLE.replace("starts_with", "startswith")))
+    found = N.containing(files.select(F.struct("name", "doc_id").alias("file"), "text"), "file", "text", C.literal_lines(tests, "item_id", "test"), "line")
+    return found.groupBy("line").agg(F.min("file.name").alias("first_file"), F.count_distinct("file.doc_id").alias("files"))
 
 
 @query("j7_literal_anywhere", f"with b as (select distinct line from ({LINES.format(key='item_id', text='text', table='benchmark')})) select line, min(doc_id) as first_doc, count(distinct doc_id) as docs from b join documents d on contains(d.text, b.line) group by line")
 def _(s: SparkSession, d: str) -> DataFrame:
     literals = J.lines_in(table(s, d, "benchmark"), "item_id", "text", 18)
-    return J.containing(table(s, d, "documents"), "doc_id", "text", literals, "line").groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count_distinct("doc_id").alias("docs"))
+    return N.containing(table(s, d, "documents"), "doc_id", "text", literals, "line").groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query("j8_expected_block", r"select c.conv_id, c.turn from conversations c join conversations p on p.conv_id = c.conv_id and p.turn = c.turn - 1 where length(c.text) >= 40 and contains(trim(regexp_replace(p.text, '[ \t\r\n]+', ' ', 'g'), ' '), substr(trim(regexp_replace(c.text, '[ \t\r\n]+', ' ', 'g'), ' '), 1, 4))")
-def _(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "conversations")
-    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), J.flat(F.col("text")).alias("prompt"))
-    return c.where(F.char_length("text") >= 40).join(before, ["conv_id", "turn"]).where(F.col("prompt").contains(F.substring(J.flat(F.col("text")), 1, 4))).select("conv_id", "turn")
+FLAT = r"trim(regexp_replace({}, '[ \t\r\n]+', ' ', 'g'), ' ')"
 
 
-FLAT = r"trim(regexp_replace({}, '[ \t\r\n]+', ' ', 'g'), ' ')"
+@query("j8_expected_block", rf"""with f as (select doc_id, text, case when doc_id % 3 = 1 then substr(text, 2) || 'x' else text end as v from documents where doc_id % 3 <> 2 and doc_id % 11 <> 0)
+select doc_id, case when doc_id % 3 = 1 then 'self.expected_text' else 'EXPECTED' end as variable from f where length(v) >= 40 and regexp_matches(trim(v, E' \t\r\n'), '[\r\n]') and contains({FLAT.format('text')}, {FLAT.format('v')})""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Documents as instructions, whose verifiers assign the text as a list of lines or a changed text as a string to a name with
+    expected in it, or the text to another name; one in eleven does not parse."""
+    k, lines = F.col("doc_id"), F.to_json(F.split("text", "\n"))
+    test = F.concat(
+        F.when(k % 3 == 0, F.concat(F.lit("EXPECTED = "), lines)).when(k % 3 == 1, F.concat(F.lit("self.expected_text: str = "), F.expr("rtrim(']', substr(to_json(array(substr(text, 2) || 'x')), 2))"))).otherwise(F.concat(F.lit("result = "), lines)),
+        F.lit("\ndef test_a():\n    expected_n = 3\n"), F.when(k % 11 == 0, "  broken(").otherwise(""),
+    )
+    tasks = table(s, d, "documents").select("doc_id", "text", test.alias("test"))
+    blocks = C.expected_blocks(tasks, "doc_id", "test")
+    return blocks.join(tasks.select("doc_id", C.squeezed(F.col("text")).alias("shown")), "doc_id").where(F.col("shown").contains(F.col("block"))).select("doc_id", "variable")
 
 
 @query("j8_whole_block", rf"select item_id, doc_id from benchmark b join documents d on contains({FLAT.format('d.text')}, {FLAT.format('b.text')}) where length(b.text) >= 40 and regexp_matches(trim(b.text, E' \t\r\n'), '[\r\n]')")
 def _(s: SparkSession, d: str) -> DataFrame:
     blocks = table(s, d, "benchmark").where(J.is_block(F.col("text"))).select("item_id", J.flat(F.col("text")).alias("block"))
     docs = table(s, d, "documents").select("doc_id", J.flat(F.col("text")).alias("text"))
-    return blocks.join(J.containing(docs, "doc_id", "text", blocks, "block"), "block").select("item_id", "doc_id")
+    return blocks.join(N.containing(docs, "doc_id", "text", blocks, "block"), "block").select("item_id", "doc_id")
 
 
 @query("j9_label_join", "select l_orderkey, bool_or(p_size > 25) as substantive, count(*) as failures from lineitem join part on p_partkey = l_partkey where l_returnflag = 'N' group by l_orderkey")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialspark.operators import code as C
 from trialspark.operators import text as X
 from trialspark.operators.components import connected_components
 from trialspark.plans.views import table
@@ -29,15 +30,18 @@ def docs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents")
 
 
-@query("t1_normalise", f"select doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', 'NUM', 'g'), '{B}', ' ', 'g'), ' ')) as digest from documents")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return docs(s, d).select("doc_id", F.sha2(X.numbers_and_blanks(F.col("text")), 256).alias("digest"))
-
-
 # RE2 has no look-behind: the character before a path is matched and put back.
 NORMAL = r"regexp_replace(regexp_replace(regexp_replace(lower(url || ' ' || html), 'task_[0-9]+_[a-f0-9]+', 'TASK', 'g'), '(^|[^\p{L}\p{M}\p{N}_])/(?:[\p{L}\p{M}\p{N}_.~-]+/)*[\p{L}\p{M}\p{N}_.~-]+', '\1/PATH', 'g'), '\b[0-9]+(?:\.[0-9]+)?\b', 'NUM', 'g')"
 
 
+NORMAL_DOCS = NORMAL.replace("url || ' ' || html", "text")
+
+
+@query("t1_normalise", f"select doc_id, sha256(trim(regexp_replace({NORMAL_DOCS}, '\\s+', ' ', 'g'), ' ')) as digest from documents")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return docs(s, d).select("doc_id", F.sha2(X.normalise(F.col("text")), 256).alias("digest"))
+
+
 @query("t1_normalise_paths", f"select page_id, trim(regexp_replace({NORMAL}, '\\s+', ' ', 'g'), ' ') as normal from pages")
 def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", X.normalise(F.concat("url", F.lit(" "), "html")).alias("normal"))
@@ -55,21 +59,11 @@ def _flag_list(patterns: dict[str, str], text: str = "text") -> str:
     return "list_filter([" + ", ".join(f"case when regexp_matches({text}, '{p}') then '{n}' end" for n, p in patterns.items()) + "], lambda x: x is not null)"
 
 
-@query("t3_static_flags", f"select doc_id, array_to_string({_flag_list(PLAIN)}, ',') as flags from documents")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return docs(s, d).select("doc_id", F.array_join(X.flags(F.col("text"), PLAIN), ",").alias("flags"))
-
-
 @query("t4_topic_booleans", "select page_id, regexp_matches(html, '(?i)<table') as tabular, regexp_matches(html, '(?i)<script') as scripted, regexp_matches(url, '/(en|fr)/') as western from pages")
 def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", F.col("html").rlike("(?i)<table").alias("tabular"), F.col("html").rlike("(?i)<script").alias("scripted"), F.col("url").rlike("/(en|fr)/").alias("western"))
 
 
-@query("t5_regex_hits", "select page_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, '<[a-z]+[^>]*'), lambda x: substr(x, 1, 40)))), '|') as tags from pages")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "pages").select("page_id", F.array_join(X.hits(F.col("html"), "<[a-z]+[^>]*", 40), "|").alias("tags"))
-
-
 @query("t6_corpus_flag_counts", f"select flag, count(*) as n from (select unnest({_flag_list(PLAIN)}) as flag from documents) group by flag")
 def _(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select(F.explode(X.flags(F.col("text"), PLAIN)).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
@@ -122,7 +116,7 @@ FEATURES = """, features as (select *, doc_id % 5 = 2 as syntax_error, case doc_
 
 @query("t10_python_features", f"with {MADE}{FEATURES} select doc_id::varchar as id, syntax_error, assertions, test_functions, imports, presence_only, skip_or_xfail from features")
 def _(s: SparkSession, d: str) -> DataFrame:
-    f = X.python_features(made_files(s, d).select(F.col("doc_id").alias("id"), F.col("test").alias("text")))
+    f = C.with_features(made_files(s, d).select(F.col("doc_id").cast("string").alias("id"), "test"), "test").select("id", "features.*")
     return f.withColumn("imports", F.array_join("imports", ","))
 
 
@@ -144,7 +138,7 @@ TASK_RULES = ", ".join((
 @query("t3_task_flags", f"with {MADE}{FEATURES} select doc_id, array_to_string(list_filter([{TASK_RULES}], lambda x: x is not null), ',') as flags from features")
 def _(s: SparkSession, d: str) -> DataFrame:
     """The documents' texts as instructions, with made-up verifiers and Dockerfiles."""
-    f = made_files(s, d).withColumn("features", X.test_features("test"))
+    f = C.with_features(made_files(s, d), "test")
     return f.select("doc_id", F.array_join(X.task_flags(F.col("instruction"), F.col("test"), F.col("dockerfile"), F.col("features")), ",").alias("flags"))
 
 
@@ -158,9 +152,27 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", *(F.array_join(v, ",").alias(k) for k, v in X.screen_hits(F.col("text")).items()))
 
 
-@query("t11_literal_lines", "select distinct doc_id, sha256(line) as line from (select doc_id, trim(unnest(string_split(text, chr(10))), ' ') as line from documents) where length(line) >= 18 and regexp_matches(line, '[A-Za-z]{4}') and not starts_with(line, '/') and not starts_with(line, 'http')")
+def as_python(text: F.Column) -> F.Column:
+    """The text as a list with one string constant in Python."""
+    return F.to_json(F.array(text))
+
+
+Q["t5_regex_hits"], O["t5_regex_hits"] = Q["t5_screen_hits"], O["t5_screen_hits"]
+Q["t3_static_flags"], O["t3_static_flags"] = Q["t3_task_flags"], O["t3_task_flags"]
+
+
+@query("t11_literal_lines", """with l as (select doc_id, trim(unnest(string_split(text, chr(10))), chr(9) || chr(10) || chr(13) || ' ') as line from documents where doc_id % 7 <> 0
+  union all select doc_id, unnest(['the answer of task', 'names of a docstring line']) from documents where doc_id % 7 <> 0)
+select distinct doc_id, sha256(line) as line from l where length(line) >= 18 and regexp_matches(line, '[A-Za-z]{4}') and not starts_with(line, '/') and not starts_with(line, 'http')""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return X.literal_lines(docs(s, d), "doc_id", "text").select("doc_id", F.sha2("line", 256).alias("line"))
+    """Verifiers with the documents' lines in a constant, besides comments, code, a docstring, a path and a formatted string; one in
+    seven does not parse."""
+    k = F.col("doc_id").cast("string")
+    test = F.concat(
+        F.lit("import os  # a comment that is no literal of the test\nWANTED = "), as_python(F.col("text")), F.lit('\ndef test_a():\n    """Short.\n      names of a docstring line  \n    """\n    assert os.path.exists("/home/user/of/a/longer/path")\n    assert run() == f"the answer of task {'), k,
+        F.lit('} is so"\n'), F.when(F.col("doc_id") % 7 == 0, "  broken(").otherwise(""),
+    )
+    return C.literal_lines(docs(s, d).select("doc_id", test.alias("test")), "doc_id", "test").select("doc_id", F.sha2("line", 256).alias("line"))
 
 
 TFIDF = """with t as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') as t from documents),
@@ -206,9 +218,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return connected_components(pairs_and_links(s, d).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-@query("t13_components", TFIDF.replace("with t as", "with recursive t as") + ", e as (select a, b from pairs union select b, a from pairs), c as (select a as node, a as root from e union select e.b, c.root from c join e on e.a = c.node where c.root < e.b) select node, min(root) as component from c group by node")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return connected_components(pairs_of(s, d).select(F.col("a").alias("u"), F.col("b").alias("v")))
+Q["t13_components"], O["t13_components"] = Q["t13_components_with_copies"], O["t13_components_with_copies"]
 
 
 @query("t14_threshold_sensitivity", TFIDF.replace("with t as", "with recursive t as") + COPIES + """, l as (select a, b, cosine from pairs union all select rep, doc_id, 1.0 from m where doc_id <> rep), k as (select unnest([0.5, 0.6, 0.7, 0.8])::double as threshold),
@@ -218,15 +228,22 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return X.groups_at(materialise(pairs_and_links(s, d), "pairs"), [0.5, 0.6, 0.7, 0.8])
 
 
-@query("t15_cross_corpus_pairs", TFIDF + " select case when a % 4 = 0 and b % 4 = 0 then 'within_known' when a % 4 = 0 or b % 4 = 0 then 'across' else 'within_candidates' end as side, count(*) as pairs from pairs group by 1")
+def _by_side(threshold: float) -> str:
+    return TFIDF.replace(">= 0.5", f">= {threshold}") + COPIES + ", every as (select x.doc_id as a, y.doc_id as b from pairs join m x on x.rep = pairs.a join m y on y.rep = pairs.b union all select x.doc_id, y.doc_id from m x join m y on x.rep = y.rep and x.doc_id < y.doc_id) select case when a % 4 = 0 and b % 4 = 0 then 'within_known' when a % 4 = 0 or b % 4 = 0 then 'across' else 'within_candidates' end as side, count(*) as pairs from every group by 1"
+
+
+def by_side(s: SparkSession, d: str, threshold: float) -> DataFrame:
+    return X.pairs_by_side(pairs_of(s, d, threshold), X.classes_of(docs(s, d), "doc_id", "text"), F.col("doc_id") % 4 == 0)
+
+
+@query("t15_cross_corpus_pairs", _by_side(0.5))
 def _(s: SparkSession, d: str) -> DataFrame:
-    a, b = (F.col(x) % 4 == 0 for x in "ab")
-    return pairs_of(s, d).groupBy(F.when(a & b, "within_known").when(a | b, "across").otherwise("within_candidates").alias("side")).agg(F.count("*").alias("pairs"))
+    return by_side(s, d, 0.5)
 
 
-@query("t15_cross_corpus_documents", TFIDF.replace(">= 0.5", ">= 0.3") + COPIES + ", every as (select x.doc_id as a, y.doc_id as b from pairs join m x on x.rep = pairs.a join m y on y.rep = pairs.b union all select x.doc_id, y.doc_id from m x join m y on x.rep = y.rep and x.doc_id < y.doc_id) select case when a % 4 = 0 and b % 4 = 0 then 'within_known' when a % 4 = 0 or b % 4 = 0 then 'across' else 'within_candidates' end as side, count(*) as pairs from every group by 1")
+@query("t15_cross_corpus_documents", _by_side(0.3))
 def _(s: SparkSession, d: str) -> DataFrame:
-    return X.pairs_by_side(pairs_of(s, d, 0.3), X.classes_of(docs(s, d), "doc_id", "text"), F.col("doc_id") % 4 == 0)
+    return by_side(s, d, 0.3)
 
 
 @query("t16_without_comments", f"select page_id, sha256(trim(regexp_replace(lower(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')), '{B}', ' ', 'g'), ' ')) as digest from pages")
