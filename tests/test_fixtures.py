@@ -19,7 +19,7 @@ from trialspark.operators import inference as I
 from trialspark.operators import containment as N
 from trialspark.operators import joins as J
 from trialspark.operators import snapshots as M
-from trialspark.operators import code as C
+from trialspark.operators import code as PY
 from trialspark.operators import text as X
 from trialspark.operators import training as B
 from trialspark.operators import windows as W
@@ -430,10 +430,10 @@ def test_verifier_features_and_flags(spark):
     weak = "import os.path\nfrom numpy import x\nasync def test_a():\n    assert os.path.exists('a')\n"
     good = "import pytest, json\ndef test_b():\n    assert f() == 1\n    assert p.is_file()\n"
     t = spark.createDataFrame([("1", weak), ("2", good), ("3", "def ("), ("4", None)], "id string, text string")
-    f = {r["id"]: r["features"] for r in C.with_features(t, "text").collect()}
+    f = {r["id"]: r["features"] for r in PY.with_features(t, "text").collect()}
     assert (f["1"]["presence_only"], f["1"]["test_functions"], f["1"]["imports"]) == (True, 1, ["numpy", "os"]) and not f["2"]["presence_only"] and f["2"]["assertions"] == 2
     assert f["3"]["syntax_error"] and not f["4"]["syntax_error"] and f["4"]["assertions"] == 0
-    flags = lambda i, d, s: spark.createDataFrame([(i, d, s)], "i string, d string, s string").transform(C.with_features, "s").select(X.task_flags(F.col("i"), F.col("s"), F.col("d"), F.col("features")).alias("f")).first()["f"]
+    flags = lambda i, d, s: spark.createDataFrame([(i, d, s)], "i string, d string, s string").transform(PY.with_features, "s").select(X.task_flags(F.col("i"), F.col("s"), F.col("d"), F.col("features")).alias("f")).first()["f"]
     assert flags("Use at most 5 shell commands", "FROM ubuntu:22.04\nCOPY solution.py /x", weak) == ["weak_verifier_static", "answer_file_suspect", "nonstdlib_test_import", "command_count_constraint"]
     assert flags("curl this image", "from debian\nCOPY . /x", good) == ["runtime_network_text", "multimedia_text", "copy_entire_context", "other_base"]
     assert flags(None, None, good) == ["other_base"]
@@ -446,11 +446,71 @@ def test_character_similarity(spark):
     assert got[0] == 1 - 1 / 3 and abs(got[1] - (1 - 601 / 3001)) < 1e-12 and got[2:4] == [1.0, 0.0] and got[4] is None
 
 
-def test_published_files_are_replaced_as_a_whole(spark, tmp_path):
-    path = f"file://{tmp_path}/contracts"
-    R.publish(spark.range(5), path)
-    R.publish(spark.range(2), path)
-    assert R.json_lines(spark, path, "id long").count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["contracts"]
+def test_published_versions(spark, tmp_path, monkeypatch):
+    """A watcher beside the publications finds a whole version at all times; a failure before the pointer leaves the one before."""
+    import threading
+
+    path, rows = f"file://{tmp_path}/contracts", [spark.range(n).coalesce(1) for n in (5, 2)]
+    with pytest.raises(FileNotFoundError):
+        R.published(spark, path)
+    R.publish(rows[0], path)
+    seen, done = [], threading.Event()
+
+    def watch():
+        while not done.is_set():
+            folder = tmp_path / "contracts"
+            name = max(p.name for p in (folder / "current").iterdir())
+            seen.append(sum(len(p.read_text().splitlines()) for p in (folder / "versions" / name).glob("part-*")))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    for n in range(100):
+        R.publish(rows[n % 2], path)
+    done.set()
+    watcher.join()
+    assert set(seen) == {2, 5} and len(seen) > 100
+    first = R.published(spark, path)
+    monkeypatch.setattr(R, "_point", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        R.publish(spark.range(7), path)
+    monkeypatch.undo()
+    assert R.published(spark, path) == first and R.json_lines(spark, first, "id long").count() == 2
+    R.publish(rows[0], path)
+    R.retire(spark, path)
+    assert R.json_lines(spark, R.published(spark, path), "id long").count() == 5 and len(list((tmp_path / "contracts" / "current").glob("0*"))) == 2
+
+
+def test_ranks_by_counts(spark):
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") < 2500, "a").when(F.col("id") < 2990, "b").otherwise("c").alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    k = spark.createDataFrame([("a", 1234), ("b", 0), ("c", 99)], "g string, k long")
+    got = {r["id"] for r in S.within(df, "g", "h", "id", k, most=1).where("within").collect()}
+    rows = [(r["g"], r["h"], r["id"]) for r in df.collect()]
+    want = {i for g, n in (("a", 1234), ("c", 99)) for _, _, i in sorted(r for r in rows if r[0] == g)[:n]}
+    assert got == want and S.within(df, "g", "h", "id", k).count() == 3000
+    assert S.within(df, "g", "h", "id", k.where("g = 'a'")).where("within and g <> 'a'").count() == 0
+
+
+def test_rows_skipped_by_counts(spark, monkeypatch):
+    df = spark.range(2000).withColumnRenamed("id", "k")
+    want = [r["k"] for r in S.hash_order(df, "k", "x", 7, 300).collect()]
+    monkeypatch.setattr(S, "RANKED", 10)
+    assert [r["k"] for r in S.hash_order(df, "k", "x", 7, 300).collect()] == want and len(want) == 7
+
+
+def test_too_few_groups(spark):
+    g = spark.range(20).select(F.col("id").alias("g"), F.lit(False).alias("e"))
+    assert S.roles(g, "g", "e", "g", {"test": 5}, "train", 20).count() == 20
+    with pytest.raises(ValueError, match="at least 21"):
+        S.roles(g, "g", "e", "g", {"test": 5}, "train", 21)
+
+
+def test_sections_stay_in_their_row(spark):
+    from trialspark.operators import windows as W
+
+    t = spark.createDataFrame([(1, "x\n%a\ny\n%b\n%c\nz"), (2, ""), (3, None), (4, "%d")], "k long, text string")
+    got = W.carried(t, "text", lambda line: line.startswith("%"))
+    assert sorted((r["k"], r["at"], r["line"], r["section"]) for r in got.collect()) == [(1, 0, "x", None), (1, 1, "%a", "%a"), (1, 2, "y", "%a"), (1, 3, "%b", "%b"), (1, 4, "%c", "%c"), (1, 5, "z", "%c"), (2, 0, "", None), (4, 0, "%d", "%d")]
+    assert "Exchange" not in got._jdf.queryExecution().toString()
 
 
 def test_large_trees(spark):
@@ -546,17 +606,17 @@ class T:
 
 def test_facts_of_sources(spark):
     t = spark.createDataFrame([(1, CODE), (2, CODE), (3, "def ("), (4, None), (5, "x = '\\0'\0"), (6, "(" * 5000)], "k long, code string")
-    facts = C.source_facts(t, "code")
+    facts = PY.source_facts(t, "code")
     assert facts.where("kind = 'error'").count() == 3 and facts.select("source").distinct().count() == 4  # one of CODE twice, none of the empty one
-    f = {r["k"]: r["features"] for r in C.with_features(t, "code").collect()}
+    f = {r["k"]: r["features"] for r in PY.with_features(t, "code").collect()}
     assert len(f) == 6 and f[1] == f[2] and (f[1]["imports"], f[1]["assertions"], f[1]["test_functions"], f[1]["presence_only"]) == (["a", "c", "d", "f"], 1, 2, True)
     assert f[3]["syntax_error"] and f[5]["syntax_error"] and f[6]["syntax_error"] and not f[4]["syntax_error"]
-    lines = {r["line"] for r in C.literal_lines(t.where("k < 4"), "k", "code").where("k = 2").collect()}
+    lines = {r["line"] for r in PY.literal_lines(t.where("k < 4"), "k", "code").where("k = 2").collect()}
     assert lines == {
         "Module text of eighteen letters", "and another line of it", "first line of the block here", "second line of the block here", "nested, so it is no list of strings", "text with braces in it",
         "no literal value but a constant", "quite long constant text", "half ? surrogate and enough text", "second line of that value",
     }
-    blocks = {(r["variable"], r["block"]) for r in C.expected_blocks(t, "k", "code").where("k = 1").collect()}
+    blocks = {(r["variable"], r["block"]) for r in PY.expected_blocks(t, "k", "code").where("k = 1").collect()}
     assert blocks == {
         ("EXPECTED_LINES", "first line of the block here second line of the block here"), ("expected_bytes", "bytes of the block, line one bytes of the block, line two \ufffd"),
         ("self.expected", "half ? surrogate and enough text second line of that value"),

@@ -149,3 +149,13 @@ def trial_summary(t: DataFrame) -> DataFrame:
         whole("no_command").alias("no_command_episodes"), whole("error").alias("harness_errors"), listed("end_reason", c("_n").alias("episodes")).alias("end_reasons"), share("reward", "n").alias("reward_mean"),
         share("tokens", "n").alias("gen_tokens_mean"), share("turns", "n").alias("turns_mean"), share("seconds", "n").alias("seconds_mean"),
     )
+
+
+def order_statistics(df: DataFrame, group: str, value: str, **at: float) -> DataFrame:
+    """group and, for each share p, the value at index min(n - 1, floor(p * n)) of the group's sorted values; nulls are none, and a group
+    of nulls has no row. Equal values are counted before they are ordered, and no group is gathered."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(group)
+    placed = counts.withColumn("_n", F.sum("_k").over(w)).withColumn("_upto", F.sum("_k").over(w.orderBy(value)))
+    inside = lambda p: F.least(F.col("_n") - 1, F.floor(F.lit(p) * F.col("_n"))).between(F.col("_upto") - F.col("_k"), F.col("_upto") - 1)
+    return placed.groupBy(group).agg(*(F.max(F.when(inside(p), F.col(value))).alias(name) for name, p in at.items()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,14 @@ def budget_cut(df: DataFrame, run: str, step: str, length: str, limit: int, stri
     return running.withColumn("cut", F.min(F.when(over, F.col(step))).over(Window.partitionBy(run))).where(F.col("cut").isNull() | (F.col(step) < F.col("cut"))).drop("cut")
 
 
-def carried(df: DataFrame, run: str, at: str, heading: Column) -> DataFrame:
-    """df with section: the last heading at or above the row."""
-    return df.withColumn("section", F.last(heading, ignorenulls=True).over(Window.partitionBy(run).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def carried(df: DataFrame, text: str, heading: Callable[[Column], Column]) -> DataFrame:
+    """A row for each line of column text with at (from 0), line, section: the last line at or above it that is a heading. A null text
+    has no lines. The lines of a row stay in it until they are exploded, so nothing is shuffled, and each is looked at once."""
+    lines = F.col("_lines")
+    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | F.coalesce(heading(F.get(lines, i)), F.lit(False)))
+    ends = F.concat(F.slice(F.col("_starts"), F.lit(2), F.size("_starts")), F.array(F.size(lines)))
+    own = lambda i: F.when(F.coalesce(heading(F.get(lines, i)), F.lit(False)), F.get(lines, i))
+    row = lambda i, section: F.struct(i.alias("at"), F.get(lines, i).alias("line"), section.alias("section"))
+    parts = F.transform(F.arrays_zip(F.col("_starts").alias("lo"), ends.alias("hi")), lambda b: F.transform(F.sequence(b["lo"], b["hi"] - 1), lambda i: row(i, own(b["lo"]))))
+    kept = df.withColumn("_lines", F.split(text, "\n")).where("_lines is not null").withColumn("_starts", starts)
+    return kept.select(*df.columns, F.explode(F.flatten(parts)).alias("_l")).select(*df.columns, "_l.*")

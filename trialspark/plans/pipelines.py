@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.functions.columns import attempt_seed, basename, command_of, dirname, extension, h12, seed_for
+from trialspark.operators import aggregates as A
 from trialspark.operators import training as B
 from trialspark.operators import windows as W
 from trialspark.plans.summaries import T
@@ -129,7 +130,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     path, c = new_path(s, "contracts"), table(s, d, "customer").select("c_custkey", "c_nationkey")
     R.publish(c, path)
     R.publish(c.where("c_nationkey % 2 = 1"), path)
-    return R.json_lines(s, path, "c_custkey long, c_nationkey long")
+    return R.json_lines(s, R.published(s, path), "c_custkey long, c_nationkey long")
 
 
 @query("s15_hash_drift", "select doc_id, case when doc_id % 13 = 0 then 'missing' else 'changed' end as state from documents where doc_id % 13 = 0 or doc_id % 17 = 0")
@@ -155,9 +156,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("f4_f6_order_statistics", "select l_orderkey, list_sort(list(l_quantity))[least(len(list(l_quantity)) - 1, floor(0.9 * count(*))::bigint) + 1] as p90, round_even(max(l_quantity) / 8, 2) as eighth from lineitem group by l_orderkey")
 def _(s: SparkSession, d: str) -> DataFrame:
-    from trialspark.functions.columns import half_even, order_statistic
+    from trialspark.functions.columns import half_even
 
-    return table(s, d, "lineitem").groupBy("l_orderkey").agg(order_statistic(F.collect_list("l_quantity"), 0.9).alias("p90"), half_even(F.max("l_quantity") / 8, 2).alias("eighth"))
+    lines = table(s, d, "lineitem")
+    eighth = lines.groupBy("l_orderkey").agg(half_even(F.max("l_quantity") / 8, 2).alias("eighth"))
+    return A.order_statistics(lines, "l_orderkey", "l_quantity", p90=0.9).join(eighth, "l_orderkey")
 
 
 @query("f9_command_arguments", "select event_id, json_extract_string(props, '$.ref') as command from events")

@@ -322,8 +322,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("w9_carried_sections", "with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as nth from documents) select doc_id, nth as position, last_value(case when length(line) < 20 then line end ignore nulls) over (partition by doc_id order by nth rows unbounded preceding) as section from l")
 def _(s: SparkSession, d: str) -> DataFrame:
-    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    x = W.carried(lines, "doc_id", "at", F.when(F.char_length("line") < 20, F.col("line")))
+    x = W.carried(table(s, d, "documents").select("doc_id", "text"), "text", lambda line: F.char_length(line) < 20)
     return x.select("doc_id", F.col("at").cast("long").alias("position"), "section")
 
 
@@ -343,8 +342,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents")
     quota = docs.select("source").distinct().withColumn("quota", F.row_number().over(Window.orderBy("source")) % 4 + 1)  # one row for each source
-    r = docs.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy(h12("k2", F.col("doc_id")), "doc_id")).cast("long").alias("rn"))
-    return r.join(quota, "source").where("rn <= quota").select("source", "doc_id", "rn")
+    most = quota.agg(F.max("quota")).first()[0] or 0  # known before the ranks, so that tasks keep so many rows of a source
+    r = docs.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy(h12("k2", F.col("doc_id")), "doc_id")).alias("rn")).where(F.col("rn") <= most)
+    return r.withColumn("rn", F.col("rn").cast("long")).join(quota, "source").where("rn <= quota").select("source", "doc_id", "rn")
 
 
 @query("k3_halving", T + ", one as (select task_id, avg(reward_p) as s1, sum(tokens) as k, avg(reward_r) as s2 from trials group by task_id), top as (select * from one order by s1 desc, k, task_id limit 2) select task_id, s1 as stage_1, s2 as stage_2 from top order by s2 desc, k, task_id limit 1")
@@ -418,16 +418,16 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _(s: SparkSession, d: str) -> DataFrame:
     from trialspark.functions.columns import hex_int
 
-    h, w = hash_of("u5", F.col("c_custkey")), Window.partitionBy("c_nationkey")
-    c = table(s, d, "customer").withColumn("h", h)
-    return c.select("c_custkey", (hex_int(F.col("h"), 8) % 2).alias("low_bit"), (F.row_number().over(w.orderBy("h", "c_custkey")) <= F.count("*").over(w) / 2).alias("first_half"))
+    c = table(s, d, "customer").select("c_custkey", "c_nationkey", hash_of("u5", F.col("c_custkey")).alias("h"))
+    halves = c.groupBy("c_nationkey").agg(F.floor(F.count("*") / 2).alias("k"))
+    return S.within(c, "c_nationkey", "h", "c_custkey", halves).select("c_custkey", (hex_int(F.col("h"), 8) % 2).alias("low_bit"), F.col("within").alias("first_half"))
 
 
 @query("u6_group_roles", "with g as (select o_custkey % 400 as g, bool_or(o_totalprice > 490000) as exposed from orders group by 1), r as (select g, exposed, row_number() over (partition by exposed order by sha256('u6:' || g), g) as nth from g) select g, exposed, case when exposed then 'train' when nth <= 48 then 'test' when nth <= 64 then 'gate' when nth <= 80 then 'checkpoint' when nth <= 96 then 'search' else 'train' end as role from r")
 def _(s: SparkSession, d: str) -> DataFrame:
     g = table(s, d, "orders").groupBy((F.col("o_custkey") % 400).alias("g")).agg(F.bool_or(F.col("o_totalprice") > 490000).alias("exposed"))
     g = g.withColumn("h", hash_of("u6", F.col("g")))
-    return S.roles(g, "g", "exposed", "h", {"test": 48, "gate": 16, "checkpoint": 16, "search": 16}, "train").drop("h")
+    return S.roles(g, "g", "exposed", "h", {"test": 48, "gate": 16, "checkpoint": 16, "search": 16}, "train", 144).drop("h")
 
 
 @query("u7_treatment", f"select o_orderkey, ({H(chr(39) + 'u7:' + chr(39) + ' || o_orderkey')} % 1000000) / 1e6 < 0.3 as treated, {H(chr(39) + 'fam:' + chr(39) + ' || o_orderkey')} % 5 as family from orders")

@@ -82,15 +82,24 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", F.col("html").rlike(X.SCREENS["code_execution"]).alias("executes"))
 
 
-DOCKER = "select p_partkey, 'FROM img' || p_size || chr(10) || 'RUN apt-get install -y lib' || p_partkey % 7 || ' tool' || p_partkey % 5 || ' && true' || chr(10) || 'WORKDIR /a' || chr(10) || case when p_partkey % 2 = 0 then 'WORKDIR /b' || p_partkey || chr(10) || 'USER u' || chr(10) else '' end || 'RUN make' as text from part"
+DOCKER = r"""select p_partkey, 'FROM img' || p_size || E'\nRUN apt-get update && apt install -y lib' || p_partkey % 7 || E' \\\n    tool' || p_partkey % 5 || E' \\\n  --no-install-recommends && true; apt-get  install zlib lib' || p_partkey % 7 || E'\n  WORKDIR /a\n'
+  || case when p_partkey % 2 = 0 then E'\tWORKDIR  /b' || p_partkey || E'\n\tUSER u\n' else '' end || 'RUN make ' || p_name || E'\n'
+  || case p_partkey % 4 when 0 then E'ENTRYPOINT ["serve", "-p", "' || p_name || E'"]\nCMD ["x"]\n' when 1 then E'CMD ["/bin/sh"]\n' when 2 then E'CMD run it\nCMD tail -f /dev/null\n' else '' end as text from part"""
 
 
-@query("t9_dockerfile_fields", f"with f as ({DOCKER}) select p_partkey, regexp_extract_all(text, '(?m)^WORKDIR +([^ \\n]+)', 1)[-1] as workdir, regexp_extract_all(text, '(?m)^USER +([^ \\n]+)', 1)[-1] as \"user\", array_to_string(regexp_extract_all(text, '(?m)^FROM +([^ \\n]+)', 1), ',') as images, 'lib' || p_partkey % 7 || ',tool' || p_partkey % 5 as packages, 2 as runs from f")
+@query("t9_dockerfile_fields", rf"""with f as ({DOCKER}) select p_partkey, coalesce(regexp_extract_all(text, '(?m)^\s*WORKDIR\s+(\S+)', 1)[-1], '/') as workdir, regexp_extract_all(text, '(?m)^\s*USER\s+(\S+)', 1)[-1] as "user", array_to_string(regexp_extract_all(text, '(?m)^FROM\s+(\S+)', 1), ',') as images,
+'lib' || p_partkey % 7 || ',tool' || p_partkey % 5 || ',zlib' as packages, len(regexp_extract_all(text, '(?m)^RUN')) as runs, case when p_partkey % 4 = 0 then 'serve -p ' || chr(39) || p_name || chr(39) || ' x' end as service from f join part using (p_partkey)""")
 def _(s: SparkSession, d: str) -> DataFrame:
+    """Dockerfiles with indented directives, install lists over several lines, services, shells and keep-alives."""
     k = F.col("p_partkey")
-    text = F.concat(F.lit("FROM img"), "p_size", F.lit("\nRUN apt-get install -y lib"), k % 7, F.lit(" tool"), k % 5, F.lit(" && true\nWORKDIR /a\n"), F.when(k % 2 == 0, F.concat(F.lit("WORKDIR /b"), k, F.lit("\nUSER u\n"))).otherwise(""), F.lit("RUN make"))
+    text = F.concat(
+        F.lit("FROM img"), "p_size", F.lit("\nRUN apt-get update && apt install -y lib"), k % 7, F.lit(" \\\n    tool"), k % 5, F.lit(" \\\n  --no-install-recommends && true; apt-get  install zlib lib"), k % 7, F.lit("\n  WORKDIR /a\n"),
+        F.when(k % 2 == 0, F.concat(F.lit("\tWORKDIR  /b"), k, F.lit("\n\tUSER u\n"))).otherwise(""), F.lit("RUN make "), "p_name", F.lit("\n"),
+        F.when(k % 4 == 0, F.concat(F.lit('ENTRYPOINT ["serve", "-p", "'), "p_name", F.lit('"]\nCMD ["x"]\n'))).when(k % 4 == 1, 'CMD ["/bin/sh"]\n').when(k % 4 == 2, "CMD run it\nCMD tail -f /dev/null\n").otherwise(""),
+    )
     f = X.dockerfile(F.col("text"))
-    return table(s, d, "part").select("p_partkey", text.alias("text")).select("p_partkey", f["workdir"].alias("workdir"), f["user"].alias("user"), F.array_join(f["images"], ",").alias("images"), F.array_join(f["packages"], ",").alias("packages"), f["runs"].alias("runs"))
+    fields = {n: F.array_join(f[n], ",") if n in ("images", "packages") else f[n] for n in f}
+    return table(s, d, "part").select("p_partkey", text.alias("text")).select("p_partkey", *(c.alias(n) for n, c in fields.items()))
 
 
 #: Made-up task files, by doc_id, as the given tables hold none: verifiers, and Dockerfiles.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -103,19 +104,55 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Replace the JSON lines at path as a whole: written beside it, then renamed, so that readers see the old rows or the new ones.
-    Rows are few (contracts), so they become one file."""
+def _folder(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def publish(df: DataFrame, path: str) -> str:
+    """Put df as the newest version of the JSON lines at path, and return that version's folder.
+
+    A version is written once, under versions/; then a small pointer file of its name is put under current/ by a single rename.
+    published() takes the last pointer, so at every moment readers find a whole version, the one before or this one; when it
+    fails before the rename, the one before stays. Versions are numbered by their names; of two that are published at the same
+    time both stay, and the larger name counts. Old versions stay until retire().
+    """
     spark = df.sparkSession
-    df.coalesce(1).write.mode("overwrite").json(f"{path}.tmp")
-    target, fresh, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}{x}") for x in ("", ".tmp", ".old"))
-    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if store.exists(target):
-        store.delete(old, True)
-        store.rename(target, old)
-    if not store.rename(fresh, target):
+    newest = _pointers(spark, path)[-1:]
+    name = f"{int(newest[0].split('-')[0]) + 1 if newest else 0:012d}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").json(f"{path}/versions/{name}")
+    _point(spark, path, name)
+    return f"{path}/versions/{name}"
+
+
+def _point(spark: SparkSession, path: str, name: str) -> None:
+    store, fresh = _folder(spark, f"{path}/waiting/{name}")
+    _, pointer = _folder(spark, f"{path}/current/{name}")
+    store.create(fresh, False).close()
+    store.mkdirs(pointer.getParent())
+    if not store.rename(fresh, pointer):
         raise OSError(f"could not publish {path}")
-    store.delete(old, True)
+
+
+def _pointers(spark: SparkSession, path: str) -> list[str]:
+    store, at = _folder(spark, f"{path}/current")
+    return sorted(x.getPath().getName() for x in store.listStatus(at)) if store.exists(at) else []
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """The folder of the newest version at path; it does not change, so a reader may read it as often as it likes."""
+    names = _pointers(spark, path)
+    if not names:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return f"{path}/versions/{names[-1]}"
+
+
+def retire(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Remove all versions but the newest ones, pointers first; for when no reader has an older one any more."""
+    for name in _pointers(spark, path)[: -max(keep, 1)]:
+        for part in ("current", "versions"):
+            store, at = _folder(spark, f"{path}/{part}/{name}")
+            store.delete(at, True)
 
 
 def _put(uri: str, content: bytes) -> None:
