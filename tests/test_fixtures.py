@@ -378,7 +378,8 @@ def test_stop_rules(spark, tmp_path, rows_, expected):
     if expected is None or expected[0] in ("not_finite", "informative", "hours"):
         log.coalesce(1).write.parquet(f"{tmp_path}/log")
         live = V.liveness(spark.readStream.schema(STEP).parquet(f"{tmp_path}/log"), "run", "step")
-        q = live.writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        with V.disk_state(spark, drain=True):
+            q = live.writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
         q.awaitTermination()
         assert rows(spark.table("live")) == want
 
@@ -642,3 +643,45 @@ def test_index_keys_are_few(spark, sf):
     assert 0 < len(N.keys_of(text.encode(), N.GRAM, N.WINDOW)) < 0.5 * len(text.split())
     rows, _ = N.index_rows(spark.createDataFrame([(1, text)], "id long, text string"), spark.createDataFrame([(7, text[1000:1200])], "id long, text string"))
     assert 5 < rows.count() < 100
+
+
+def test_steps_in_any_order_and_ended_runs(spark, tmp_path):
+    """Micro-batches of shuffled steps, some twice, give what the batch form gives; after their patience runs leave the state."""
+    import random
+    import time
+
+    r = random.Random(8)
+    log = [(run, i, 1.0, 1.0, 1.0 if run < 4 and r.random() < 0.6 else 0.5, 0.1 if run == 5 else 0.0, 0.0) for run in range(8) for i in range(1, 31)]
+    shuffled = [*log, *r.sample(log, 20)]
+    r.shuffle(shuffled)
+    source = f"{tmp_path}/log"
+    for n in range(4):
+        spark.createDataFrame(shuffled[n::4], STEP).coalesce(1).write.mode("append").parquet(source)
+    held = spark.createDataFrame([(90, 2, 1.0, 1.0, 1.0, 0.0, 0.0), (90, 3, 1.0, 1.0, 1.0, 0.0, 0.0), (90, 5, 1.0, 1.0, 1.0, 0.0, 0.0)], STEP)  # steps 1 and 4 are lost
+    held.coalesce(1).write.mode("append").parquet(source)
+    live = V.liveness(spark.readStream.schema(STEP).option("maxFilesPerTrigger", 1).parquet(source), "run", "step", patience=15_000)
+    with V.disk_state(spark):
+        q = live.writeStream.format("memory").queryName("any_order").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="1 second").start()
+    state = lambda name: spark.read.format("statestore").option("stateVarName", name).load(f"{tmp_path}/state")
+    try:
+        deadline = time.time() + 150
+        want = rows(V.stops(spark.createDataFrame(log, STEP), "run", "step"))
+        while rows(spark.table("any_order")) != sorted([*want, (90, "streak", 5)]) and time.time() < deadline:
+            time.sleep(1)
+        assert rows(spark.table("any_order")) == sorted([*want, (90, "streak", 5)]) and len(want) >= 2
+        while state("numbers").count() and time.time() < deadline:
+            time.sleep(2)
+        assert state("numbers").count() == 0
+    finally:
+        q.stop()
+
+
+def test_latch_over_batches(spark, tmp_path):
+    source = f"{tmp_path}/calls"
+    for part in ([(1, 5, "a"), (1, 7, "a"), (1, 6, "b"), (2, 1, None)], [(1, 3, "a"), (1, 9, "b"), (3, 2, "c")]):
+        spark.createDataFrame(part, "episode long, call long, path string").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("episode long, call long, path string").option("maxFilesPerTrigger", 1).parquet(source)
+    with V.disk_state(spark, drain=True):
+        q = V.latch(stream, "episode", "call", "path").writeStream.format("memory").queryName("latched").outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert rows(V.latched(spark.table("latched"))) == [(1, 3, 2), (3, 2, 1)]

@@ -230,7 +230,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select("vec_id", F.size(B.without_padding(ids, 0)).cast("long").alias("kept"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", timers: bool = False) -> DataFrame:
     """All that a stream yields once it has read what is there, as a written table."""
     s = stream.sparkSession
     out, state = new_path(s, "stream"), new_path(s, "state")
@@ -238,7 +238,9 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("append").parquet(out)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    with X.disk_state(s, drain=timers):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start()
+    query.awaitTermination()
     return s.read.schema(stream.schema).parquet(out)
 
 
@@ -259,7 +261,7 @@ def replayable(s: SparkSession, d: str) -> DataFrame:
 @query("x2_latch", "select user_id as episode, min(event_id) as first_call, count(distinct event_id % 7) as damaged from events where event_type = 'error' group by user_id")
 def _(s: SparkSession, d: str) -> DataFrame:
     e = replayable(s, d).where("event_type = 'error'").select("user_id", "event_id", (F.col("event_id") % 7).cast("string").alias("path"))
-    return X.latched(drained(X.latch(e, "user_id", "event_id", "path"), "update"))
+    return X.latched(drained(X.latch(e, "user_id", "event_id", "path"), "update", timers=True))
 
 
 STOPS = f"""with {STEPS}, w as (select user_id as run, step, row_number() over r as n, sum(hours) over r as hours, min(zero) over (r rows between 2 preceding and current row) as z, not isfinite(value) or not isfinite(grad_norm) as broken,
@@ -274,7 +276,7 @@ LOGGED = ("user_id", "loss", "grad_norm", "zero", "clipped", "hours")
 def _(s: SparkSession, d: str) -> DataFrame:
     path = new_path(s, "steps")
     steps(s, d).select(*LOGGED, F.col("step").cast("long").alias("step")).write.parquet(path)
-    return drained(X.liveness(s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 10_000).parquet(path), "user_id", "step"))
+    return drained(X.liveness(s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 10_000).parquet(path), "user_id", "step"), timers=True)
 
 
 @query("x3_liveness_batch", STOPS)

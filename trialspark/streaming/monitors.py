@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LATE = "1 hour"
 
@@ -39,10 +40,53 @@ def incidence(stream: DataFrame, ts: str, bad: F.Column, width: str = "1 hour",
     return s.groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad")).select(F.col("w.start").alias("start"), "n", "bad")
 
 
-def latch(stream: DataFrame, episode: str, call: str, path: str) -> DataFrame:
-    """episode, path, first_call of every damaged path, for update mode: the state is one number for each path of an episode, and
-    only what changed is written again. A late call with a smaller index replaces the first one."""
-    return stream.groupBy(F.col(episode).alias("episode"), F.col(path).alias("path")).agg(F.min(call).alias("first_call"))
+@contextmanager
+def disk_state(spark: SparkSession, drain: bool = False) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB on the executors' disks, as latch and liveness need it. drain: they run no
+    batches without rows; a query with timers that is to end when all is read would never end otherwise."""
+    values = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    if drain:
+        values["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class _Latch(StatefulProcessor):
+    """The first call of each damaged path of one episode; a path that is not damaged again leaves the state after a while."""
+
+    def __init__(self, ttl: int) -> None:
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getMapState("first", "path string", "call long", self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        least = pd.concat(pdf.groupby("path", dropna=False)["call"].min() for pdf in rows).groupby(level=0, dropna=False).min()
+        out = []
+        for path, call in least.items():
+            known = self.first.getValue((path,))
+            if known is None or int(call) < known[0]:
+                out.append((key[0], path, int(call)))
+            self.first.updateValue((path,), (int(call) if known is None else min(int(call), known[0]),))
+        yield pd.DataFrame(out, columns=["episode", "path", "first_call"])
+
+    def close(self) -> None:
+        pass
+
+
+def latch(stream: DataFrame, episode: str, call: str, path: str, ttl: int = 7 * 86_400_000) -> DataFrame:
+    """episode, path, first_call of every damaged path, for update mode: a row when a path is damaged for the first time, and again if
+    a late call has a smaller index. The state is one number for each path of an episode; it leaves ttl milliseconds after the last
+    damage. Rows without a path or call are none. Start it within disk_state."""
+    rows = stream.select(F.col(episode).alias("episode"), F.col(call).cast("long").alias("call"), F.col(path).alias("path")).where("path is not null and call is not null")
+    kind = stream.schema[episode].dataType.simpleString()
+    return rows.groupBy("episode").transformWithStateInPandas(_Latch(ttl), f"episode {kind}, path string, first_call long", "Update", "ProcessingTime")
 
 
 def latched(updates: DataFrame) -> DataFrame:
@@ -51,49 +95,100 @@ def latched(updates: DataFrame) -> DataFrame:
     return per.groupBy("episode").agg(F.min("first_call").alias("first_call"), F.count("*").alias("damaged"))
 
 
-def liveness(stream: DataFrame, run: str, step: str, limits: StopLimits | None = None) -> DataFrame:
+class _Stops(StatefulProcessor):
+    """The stop rules of one run. Steps are taken in their order: one that comes early waits in the state, and a timer says when a run
+    from which nothing more came is over; then what still waits is taken, over its gaps, and the state is left."""
+
+    NUMBERS = "next long, n long, streak long, inf_sum double, inf_before double, clip_sum double, clip_before double, hours double, fired boolean, timer long"
+
+    def __init__(self, limits: StopLimits, patience: int) -> None:
+        self.k, self.patience = limits, patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.numbers = handle.getValueState("numbers", self.NUMBERS)
+        self.waiting = handle.getMapState("waiting", "step long", "broken boolean, zero double, clipped double, hours double")
+
+    def _take(self, s: dict, broken: bool, zero: float, clipped: float, hours: float) -> str | None:
+        """The rule that holds after one more step; s is changed."""
+        k = self.k
+        s["n"] += 1
+        s["hours"] += hours
+        s["streak"] = s["streak"] + 1 if zero >= 1 else 0
+        s["inf_sum"] += 1 - zero
+        s["clip_sum"] += clipped
+        rule = "streak" if s["streak"] >= k.streak else "not_finite" if broken else None
+        for name, part, size, bad in (("informative", "inf", k.informative_window, lambda m: m < k.informative_floor), ("truncated", "clip", k.truncated_window, lambda m: m > k.truncated_ceiling)):
+            if s["n"] % size == 0:
+                mean, before = s[f"{part}_sum"] / size, s[f"{part}_before"]
+                rule = name if s["n"] > size and bad(mean) and bad(before) else rule
+                s[f"{part}_before"], s[f"{part}_sum"] = mean, 0.0
+        rule = "hours" if s["hours"] > k.hours else rule
+        return "trajectories" if s["n"] * k.per_step >= k.trajectories else rule
+
+    def _rows(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["run", "rule", "step"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        names = [x.split()[0] for x in self.NUMBERS.split(", ")]
+        known = self.numbers.get()
+        s = dict(zip(names, known, strict=True)) if known else dict(zip(names, (1, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, False, 0), strict=True))
+        out, early = [], {}
+        if not s["fired"]:
+            for pdf in rows:
+                early |= {int(r.step): (bool(r.broken), r.zero, r.clipped, r.hours) for r in pdf.itertuples(index=False) if r.step >= s["next"]}
+            while not s["fired"] and (row := early.pop(s["next"], None) or self.waiting.getValue((s["next"],))):
+                if self.waiting.containsKey((s["next"],)):
+                    self.waiting.removeKey((s["next"],))
+                if rule := self._take(s, *row):
+                    out.append((key[0], rule, s["next"]))
+                    s["fired"] = True
+                s["next"] += 1
+            if s["fired"]:
+                self.waiting.clear()
+            else:
+                for step, row in early.items():
+                    self.waiting.updateValue((step,), row)
+        if s["timer"]:
+            self.handle.deleteTimer(s["timer"])
+        s["timer"] = timerValues.getCurrentProcessingTimeInMs() + self.patience
+        self.handle.registerTimer(s["timer"])
+        self.numbers.update(tuple(s.values()))
+        yield self._rows(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        s = dict(zip([x.split()[0] for x in self.NUMBERS.split(", ")], self.numbers.get(), strict=True))
+        out = []
+        if not s["fired"]:
+            for (step,), row in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator()):
+                if rule := self._take(s, *row):
+                    out.append((key[0], rule, step))
+                    break
+        self.waiting.clear()
+        self.numbers.clear()
+        yield self._rows(out)
+
+    def close(self) -> None:
+        pass
+
+
+def liveness(stream: DataFrame, run: str, step: str, limits: StopLimits | None = None, patience: int = 86_400_000) -> DataFrame:
     """run, rule, step: the first step of each run at which a stop rule holds. Of several at one step the last in this order counts:
     not_finite (loss or grad_norm is infinite or no number), streak (steps in a row without signal, zero >= 1), informative (two whole windows
     in a row with a mean of 1 - zero under the floor), truncated (two with a mean of clipped above the ceiling), hours (their
     sum above the cap), trajectories (so many for each step; at the cap). Windows are looked at when they are full.
 
-    stream: run, step, loss, grad_norm, zero, clipped, hours; a null in these is a missing log entry: finite, with signal, not
-    clipped, no time. Steps of a run must arrive in order from one micro-batch to the next. The state is ten numbers for each run.
+    stream: run, step (from 1 on), loss, grad_norm, zero, clipped, hours; a null in these is a missing log entry: finite, with signal,
+    not clipped, no time. Steps may come in any order and again: an early one waits until those before it are there, a step that was
+    taken is not taken again. patience milliseconds after its last row a run is over: what waits is taken without the missing steps,
+    and the state is left, so that later rows are a new run. The state is ten numbers for each run, and the waiting steps; after a
+    rule held, no step waits. For append mode; start it within disk_state.
     """
-    k = limits or StopLimits()
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, streak, inf_sum, inf_before, clip_sum, clip_before, hours, fired = state.get if state.exists else (0, 0, 0.0, 1.0, 0.0, 0.0, 0.0, False)
-        rows = pd.concat(list(batches)).sort_values(step)
-        values = (rows[c].tolist() for c in (step, "loss", "grad_norm", "zero", "clipped", "hours", "broken"))
-        out = []
-        for at, _, _, zero, clipped, spent, broken in zip(*values, strict=True):
-            n, hours = n + 1, hours + spent
-            rule = "not_finite" if broken else None
-            streak = streak + 1 if zero >= 1 else 0
-            rule = "streak" if streak >= k.streak else rule
-            inf_sum, clip_sum = inf_sum + 1 - zero, clip_sum + clipped
-            if n % k.informative_window == 0:
-                mean, inf_sum = inf_sum / k.informative_window, 0.0
-                rule = "informative" if mean < k.informative_floor and inf_before < k.informative_floor else rule
-                inf_before = mean
-            if n % k.truncated_window == 0:
-                mean, clip_sum = clip_sum / k.truncated_window, 0.0
-                rule = "truncated" if mean > k.truncated_ceiling and clip_before > k.truncated_ceiling else rule
-                clip_before = mean
-            rule = "hours" if hours > k.hours else rule
-            rule = "trajectories" if n * k.per_step >= k.trajectories else rule
-            if rule and not fired:
-                fired = True
-                out.append((key[0], rule, int(at)))
-        state.update((n, streak, inf_sum, inf_before, clip_sum, clip_before, hours, fired))
-        yield pd.DataFrame(out, columns=["run", "rule", "step"])
-
     finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(True))
-    whole = stream.withColumn("broken", ~(finite("loss") & finite("grad_norm")))
-    whole = whole.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("zero", "clipped", "hours")})
-    state = "n long, streak long, inf_sum double, inf_before double, clip_sum double, clip_before double, hours double, fired boolean"
-    return whole.groupBy(run).applyInPandasWithState(fold, "run long, rule string, step long", state, "append", GroupStateTimeout.NoTimeout)
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    whole = stream.select(F.col(run).alias("run"), F.col(step).cast("long").alias("step"), (~(finite("loss") & finite("grad_norm"))).alias("broken"), *map(number, ("zero", "clipped", "hours")))
+    kind = stream.schema[run].dataType.simpleString()
+    return whole.where("step is not null").groupBy("run").transformWithStateInPandas(_Stops(limits or StopLimits(), patience), f"run {kind}, rule string, step long", "Append", "ProcessingTime")
 
 
 def stops(df: DataFrame, run: str, step: str, limits: StopLimits | None = None) -> DataFrame:
