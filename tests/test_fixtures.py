@@ -26,6 +26,7 @@ from trialspark.operators import windows as W
 from trialspark.operators.components import connected_components
 from trialspark.shared import shared_dir
 from trialspark.sources import readers as R
+from trialspark.sources.archives import archive_members
 from trialspark.streaming import monitors as V
 
 
@@ -204,7 +205,7 @@ def test_sources(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("a/x.txt", "hello")
         z.writestr("b.bin", b"\xff")
-    assert rows(R.archive_members(spark, str(tmp_path / "*.zip"))) == [("z.zip", "a/x.txt", 5, "hello"), ("z.zip", "b.bin", 1, None)]
+    assert rows(archive_members(spark, str(tmp_path / "*.zip"))) == [("z.zip", "a/x.txt", 5, "hello"), ("z.zip", "b.bin", 1, None)]
     (tmp_path / "r").mkdir()
     (tmp_path / "r/k1.json").write_text(json.dumps({"v": 1}, indent=1))
     assert rows(R.record_folder(spark, str(tmp_path / "r"), "v int")) == [(1, "k1")]
@@ -685,3 +686,27 @@ def test_latch_over_batches(spark, tmp_path):
         q = V.latch(stream, "episode", "call", "path").writeStream.format("memory").queryName("latched").outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(V.latched(spark.table("latched"))) == [(1, 3, 2), (3, 2, 1)]
+
+
+def test_archives_by_member(spark, tmp_path):
+    """Ten thousand members of one archive are read by many tasks; a filter on names leaves the other members' bytes alone."""
+    import zipfile
+
+    path = tmp_path / "big.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for i in range(10_000):
+            z.writestr(f"t{i}/{'task.json' if i % 100 == 0 else 'blob.bin'}", f"body {i} é" if i != 5 else b"\xff\xfe")
+        z.mkdir("empty")
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    (tmp_path / "other.txt").write_text("no archive")
+    m = archive_members(spark, f"file://{tmp_path}/*.zip", 10_000)
+    assert m.count() == 10_000 and m.rdd.getNumPartitions() > 10
+    assert m.where("member = 't5/blob.bin'").first()["text"] is None and m.where("size = 2").count() == 1
+    broken = path.read_bytes().replace(b"body 3 ", b"BODY 3 ")  # the checksum of t3/blob.bin no longer holds
+    path.write_bytes(broken)
+    with pytest.raises(Exception, match="CRC"):
+        m.agg(F.max("text")).collect()
+    tasks = archive_members(spark, f"file://{tmp_path}/*.zip", 10_000).where(F.col("member").endswith("/task.json"))
+    assert tasks.agg(F.count("text")).first()[0] == 100 and tasks.where("archive = 'big.zip' and size > 0").count() == 100
+    assert archive_members(spark, f"file://{tmp_path}/*.zip").where(F.col("member").isin("t0/task.json", "t1/blob.bin") & F.col("member").startswith("t1/")).count() == 1

@@ -13,6 +13,7 @@ from trialspark.plans.summaries import T
 from trialspark.plans.views import STEPS, steps, table, trials
 from trialspark.shared import new_path
 from trialspark.sources import readers as R
+from trialspark.sources.archives import archive_members
 from trialspark.streaming import monitors as X
 
 Q: dict = {}
@@ -117,7 +118,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     entry = lambda name, text: F.struct(F.concat(item, F.lit(name)).alias("member"), text.alias("text"))
     files = table(s, d, "benchmark").select((F.col("item_id") % 4).alias("part"), F.explode(F.array(entry("/task.json", F.lit("{}")), entry("/container.def", definition), entry("/solutions/summary.json", solutions))).alias("f")).select("part", "f.*")
     R.write_archives(files, "part", root).write.format("noop").mode("overwrite").save()
-    m, name = R.archive_members(s, f"{root}/*.zip"), F.col("member")
+    m, name = archive_members(s, f"{root}/*.zip"), F.col("member")
     return m.groupBy("archive").agg(
         F.count_if(name.endswith("/task.json")).alias("tasks"), F.count_if(name.endswith("/container.def") & F.col("text").contains("pip install")).alias("network"),
         F.count_if(name.endswith("/solutions/summary.json") & (F.col("size") > 2)).alias("solved"), F.sum("size").alias("bytes"),

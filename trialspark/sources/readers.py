@@ -48,24 +48,6 @@ def task_bundles(spark: SparkSession, root: str) -> DataFrame:
     return t.where(F.col("instruction").isNotNull() & (F.col("test_files") > 0))
 
 
-def archive_members(spark: SparkSession, glob: str) -> DataFrame:
-    """archive, member, size, text (null if it is no UTF-8) of the files in zip archives; an archive is opened in one task."""
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for m in z.infolist():
-                        if not m.is_dir():
-                            try:
-                                text = z.read(m).decode("utf-8")
-                            except UnicodeDecodeError:
-                                text = None
-                            yield pd.DataFrame({"archive": [path.rsplit("/", 1)[-1]], "member": [m.filename], "size": [m.file_size], "text": [text]})
-
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(members, "archive string, member string, size long, text string")
-
-
 def overridden(versions: list[DataFrame], key: str, seq: str) -> DataFrame:
     """Later files and later lines (seq) win for each key."""
     ranked = None
