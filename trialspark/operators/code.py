@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 import warnings
 from collections.abc import Iterator
 
@@ -69,20 +70,24 @@ def _whole(text: str | None) -> str | None:
     return None if text is None else text.encode("utf-8", "replace").decode()
 
 
+def _facts_of(source: str | None) -> list[tuple[str, str | None, int, str | None]]:
+    facts = _Facts()
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            facts.visit(ast.parse(source or ""))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return [("error", None, 0, None)]
+    return facts.rows
+
+
 @F.udtf(returnType="kind string, name string, line int, value string", useArrow=True)
 class SourceFacts:
     """kind, name, line, value of a Python source: assert (its test), function, import (module), string (each constant, those within
     f-strings too), value (of each target that a literal is assigned to), or one row error if it does not parse."""
 
     def eval(self, source: str | None) -> Iterator[tuple[str, str | None, int, str | None]]:
-        facts = _Facts()
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                facts.visit(ast.parse(source or ""))
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            facts.rows = [("error", None, 0, None)]
-        for kind, name, line, value in facts.rows:
+        for kind, name, line, value in _facts_of(source):
             yield kind, _whole(name), line, _whole(value)
 
 
@@ -115,13 +120,22 @@ def with_features(df: DataFrame, text: str) -> DataFrame:
     return joined.select(*df.columns, features.alias("features"))
 
 
+@F.udtf(returnType="line string", useArrow=True)
+class LiteralLines:
+    """The different lines of a source's string constants, without white space at their ends, that are worth a search: 18 characters or
+    more with four letters in a row, but no paths and addresses."""
+
+    def eval(self, source: str | None) -> Iterator[tuple[str]]:
+        strings = (value for kind, _, _, value in _facts_of(source) if kind == "string")
+        for line in sorted({line.strip() for value in strings for line in value.splitlines()}):
+            if len(line) >= 18 and re.search("[A-Za-z]{4}", line) and not line.startswith(("/", "http")):
+                yield (_whole(line),)
+
+
 def literal_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line): distinct lines, without white space at their ends, of the string constants of Python sources, of 18 characters or
-    more with four letters in a row, but no paths and addresses. Comments and code are none; a source that does not parse has none."""
-    strings = source_facts(df, text).where("kind = 'string'")
-    lines = strings.select("source", F.explode(F.split("value", LINE_END)).alias("line")).select("source", F.regexp_replace("line", EDGE, "").alias("line"))
-    lines = lines.where((F.char_length("line") >= 18) & F.col("line").rlike("[A-Za-z]{4}") & ~F.col("line").startswith("/") & ~F.col("line").startswith("http")).distinct()
-    return df.select(key, digest_of(text).alias("source")).join(lines, "source").select(key, "line").distinct()
+    """(key, line): for each row the lines (see LiteralLines) of the Python source in column text, each once. Comments and code are none;
+    a source that does not parse has none. Each source is parsed where it is read, nothing is shuffled."""
+    return df.select(key, F.col(text).alias("_source")).lateralJoin(LiteralLines(F.col("_source").outer())).select(key, "line")
 
 
 def squeezed(text: Column) -> Column:
@@ -132,6 +146,7 @@ def squeezed(text: Column) -> Column:
 def expected_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, variable, block): values of 40 characters and two lines or more that a Python source assigns to a name with "expected" in
     it: strings, bytes, or lists of strings; the block has its white space squeezed."""
-    values = source_facts(df, text).where("kind = 'value'").where(F.lower("name").contains("expected") & (F.char_length("value") >= 40))
-    values = values.where(F.regexp_replace("value", EDGE, "").rlike(LINE_END)).select("source", F.col("name").alias("variable"), squeezed(F.col("value")).alias("block"))
-    return df.select(key, digest_of(text).alias("source")).join(values, "source").select(key, "variable", "block")
+    facts = df.select(key, F.col(text).alias("_source")).lateralJoin(SourceFacts(F.col("_source").outer())).where("kind = 'value'")
+    values = facts.where(F.lower("name").contains("expected") & (F.char_length("value") >= 40))
+    values = values.where(F.regexp_replace("value", EDGE, "").rlike(LINE_END))
+    return values.select(key, F.col("name").alias("variable"), squeezed(F.col("value")).alias("block"))
