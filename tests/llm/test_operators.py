@@ -464,7 +464,7 @@ def test_licence_sql(spark, sf):
 
 
 def test_registered(spark, sf):
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES} == set(range(1, 14))
     n = documents(spark, sf).count()
     for name in ("op3_scaled_sketches", "op9_folded_lexicon_toxicity"):
         assert QUERIES[name](spark, sf).count() == n
