@@ -24,6 +24,7 @@ from trialspark.operators import text as X
 from trialspark.operators import training as B
 from trialspark.operators import windows as W
 from trialspark.operators.components import connected_components
+from trialspark.operators.edits import character_similarity
 from trialspark.shared import shared_dir
 from trialspark.sources import readers as R
 from trialspark.sources.archives import archive_members
@@ -444,7 +445,7 @@ def test_verifier_features_and_flags(spark):
 def test_character_similarity(spark):
     a, b = "käse " * 600, "kase " * 600 + "!"
     t = spark.createDataFrame([("abc", "abd"), (a, b), ("", ""), ("x" * 3000, "y" * 3000), (None, "a")], "a string, b string")
-    got = [r["s"] for r in t.select(X.character_similarity(F.col("a"), F.col("b")).alias("s")).collect()]
+    got = [r["s"] for r in t.select(character_similarity(F.col("a"), F.col("b")).alias("s")).collect()]
     assert got[0] == 1 - 1 / 3 and abs(got[1] - (1 - 601 / 3001)) < 1e-12 and got[2:4] == [1.0, 0.0] and got[4] is None
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialspark.operators.scans import running_streak, running_sum
+
 
 def first_by(df: DataFrame, group: str, *order: Column | str, keep: int = 1) -> DataFrame:
     """The first rows of each group, with their rank rn."""
@@ -19,18 +21,18 @@ def tiered(df: DataFrame, group: str, order: str, lowest: int, highest: int) ->
 
 
 def latch(df: DataFrame, episode: str, call: str, event: str, path: str, most: int) -> DataFrame:
-    """episode, first_call, events of that call (in order, most so many), n_damaged: distinct paths of all calls."""
-    first = df.withColumn("first_call", F.min(call).over(Window.partitionBy(episode)))
-    return first.groupBy(episode).agg(
-        F.min(call).alias("first_call"), F.slice(F.array_sort(F.collect_list(F.when(F.col(call) == F.col("first_call"), F.col(event)))), 1, most).alias("events"), F.count_distinct(path).alias("n_damaged")
-    )
+    """episode, first_call, events of that call (in order, most so many), n_damaged: distinct paths of all calls. Rows with a null
+    episode form none. An episode's rows are counted down before they meet: no task sees all of them."""
+    told = df.groupBy(episode).agg(F.min(call).alias("first_call"), F.count_distinct(path).alias("n_damaged"))
+    calls = told.select(F.col(episode).alias("_episode"), "first_call")
+    own = df.join(calls, (F.col(episode) == F.col("_episode")) & (F.col(call) == F.col("first_call"))).where(F.col(event).isNotNull())
+    events = first_by(own, episode, event, keep=most).groupBy(episode).agg(F.array_sort(F.collect_list(event)).alias("events"))  # most so many
+    return told.where(F.col(episode).isNotNull()).join(events, episode, "left").select(episode, "first_call", F.coalesce("events", F.array().cast(f"array<{df.schema[event].dataType.simpleString()}>")).alias("events"), "n_damaged")
 
 
 def streaks(df: DataFrame, run: str, step: str, bad: Column) -> DataFrame:
-    """df with streak: how many rows in a row up to this one are bad."""
-    w = Window.partitionBy(run).orderBy(step)
-    islands = df.withColumn("bad", bad).withColumn("island", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(w))
-    return islands.withColumn("streak", F.sum(F.col("bad").cast("int")).over(Window.partitionBy(run, "island").orderBy(step))).drop("bad", "island")
+    """df with streak: how many rows in a row up to this one are bad; what is neither bad nor good ends a streak."""
+    return running_streak(df, run, step, bad, "streak")
 
 
 def fixed_windows(df: DataFrame, run: str, step: str, value: Column, size: int) -> DataFrame:
@@ -41,16 +43,21 @@ def fixed_windows(df: DataFrame, run: str, step: str, value: Column, size: int)
 
 def crossing(df: DataFrame, run: str, step: str, amount: str, cap: float) -> DataFrame:
     """run, step: the first step at which the running total reaches cap."""
-    total = df.withColumn("total", F.sum(amount).over(Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return total.where(F.col("total") >= cap).groupBy(run).agg(F.min(step).alias("stop_step"))
+    return running_sum(df, run, step, amount, "total").where(F.col("total") >= cap).groupBy(run).agg(F.min(step).alias("stop_step"))
 
 
 def budget_cut(df: DataFrame, run: str, step: str, length: str, limit: int, strict: bool) -> DataFrame:
-    """Rows before the first one at which the running length passes (strict: exceeds; else reaches) the limit."""
-    w = Window.partitionBy(run).orderBy(step)
-    running = df.withColumn("running", F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """Rows before the first one at which the running length passes (strict: exceeds; else reaches) the limit, with running."""
+    running = running_sum(df, run, step, length, "running")
     over = F.col("running") > limit if strict else F.col("running") >= limit
-    return running.withColumn("cut", F.min(F.when(over, F.col(step))).over(Window.partitionBy(run))).where(F.col("cut").isNull() | (F.col(step) < F.col("cut"))).drop("cut")
+    cuts = running.where(over).groupBy(F.col(run).alias("_run")).agg(F.min(step).alias("_cut"))
+    return running.join(cuts, F.col(run).eqNullSafe(F.col("_run")), "left").where(F.col("_cut").isNull() | (F.col(step) < F.col("_cut"))).drop("_run", "_cut")
+
+
+def limited(df: DataFrame, run: str, limit: int) -> DataFrame:
+    """run, used, ran, refused: of each run's calls so many may run, the later ones are refused. Counts need no order."""
+    used = df.groupBy(run).agg(F.count("*").alias("used"))
+    return used.select(run, "used", F.least("used", F.lit(limit)).cast("long").alias("ran"), F.greatest(F.col("used") - limit, F.lit(0)).cast("long").alias("refused"))
 
 
 def carried(df: DataFrame, text: str, heading: Callable[[Column], Column]) -> DataFrame:

@@ -328,9 +328,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("w10_commands_left", "select l_orderkey, count(*) as used, greatest(count(*) - 5, 0) as refused, least(count(*), 5) as ran from lineitem group by 1")
 def _(s: SparkSession, d: str) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
-    x = table(s, d, "lineitem").select("l_orderkey", (rn > 5).alias("over"))
-    return x.groupBy("l_orderkey").agg(F.count("*").alias("used"), F.count_if("over").alias("refused"), F.count_if(~F.col("over")).alias("ran"))
+    return W.limited(table(s, d, "lineitem"), "l_orderkey", 5)
 
 
 @query("k1_hash_order", f"select o_orderkey from (select o_orderkey, {H(chr(39) + 'k:' + chr(39) + ' || o_orderkey')} as h from orders) order by h, o_orderkey limit 100 offset 20")
