@@ -12,6 +12,7 @@ from trialspark.operators import windows as W
 from trialspark.plans.summaries import T
 from trialspark.plans.views import STEPS, steps, table, trials
 from trialspark.shared import new_path
+from trialspark.sources import digest_tree as DT
 from trialspark.sources import readers as R
 from trialspark.sources.archives import archive_members
 from trialspark.streaming import monitors as X
@@ -134,6 +135,17 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return R.json_lines(s, R.published(s, path), "c_custkey long, c_nationkey long")
 
 
+@query("s15_tree_drift", "select doc_id::varchar as path, case when doc_id % 13 = 0 then 'missing' else 'changed' end as state from documents where doc_id % 13 = 0 or doc_id % 17 = 0 union all select 'new/' || doc_id, 'added' from documents where doc_id % 19 = 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """A stored tree of digests of all texts, brought up to date by changed, removed and new files, against what it was."""
+    files = table(s, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("digest"))
+    gone = F.when(F.col("doc_id") % 13 != 0, F.sha2(F.concat_ws("", "digest", F.lit("!")), 256))
+    changes = files.where("doc_id % 13 = 0 or doc_id % 17 = 0").select("path", gone.alias("digest"))
+    new = files.where("doc_id % 19 = 0").select(F.concat(F.lit("new/"), "path").alias("path"), "digest")
+    before = DT.build(files, "path", "digest", new_path(s, "tree"))
+    return DT.differences(s, before, DT.update(s, before, changes.union(new), "path", "digest"))
+
+
 @query("s15_hash_drift", "select doc_id, case when doc_id % 13 = 0 then 'missing' else 'changed' end as state from documents where doc_id % 13 = 0 or doc_id % 17 = 0")
 def _(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select("doc_id", "text")
