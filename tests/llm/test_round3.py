@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from trialspark.llm import centroids, divergence, exact
+from trialspark.llm import bpe, centroids, divergence, exact, fingerprint, pii
 from trialspark.llm.registry import ORACLE, QUERIES
-from trialspark.shared import new_path
+from trialspark.shared import materialise, new_path
 
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 
@@ -195,3 +199,65 @@ def test_planes_are_exact():
         a, b = centroids.planes_of(x), centroids.planes_of(y)
         assert (centroids.numbers(a) == x).all()
         assert (centroids.dots(a, b[:, 0]) == (x * y).sum(axis=1)).all() and (centroids.squared(a) == (x * x).sum(axis=1)).all()
+
+
+def test_long_identifiers_and_keys(spark):
+    """Identifiers of any length are found; a long key is a seed, a long base span gives no span of its own."""
+    keys = [hashlib.sha256(str(i).encode()).hexdigest() * (8 if i % 2 else 1) for i in range(30)]
+    long = "Q7-" * 400
+    rows = [(i, f"word{i} some api key = {k} end") for i, k in enumerate(keys)] + [(100, f"the api key = {long} end"), (101, f"the api key = {'a' * 300}1@mail.test end")]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.with_spans(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got[100] == [("id", 14, 1214)] and got[101] == [("email", 14, 325)]
+    assert all(got[i] == [("id", len(f"word{i} some api key = "), len(f"word{i} some api key = ") + len(k))] for i, k in enumerate(keys))
+    assert len(pii.named("a1" * 200, True)) == 64 and pii.named("a1" * 200, False)[0] == "#" and pii.named("a1" * 20, False) == "a1" * 20
+
+
+def scored_patterns(texts):
+    """The bootstrap by plain sets: patterns and instances score each other, round by round."""
+    graph = defaultdict(dict)
+    for text in texts:
+        for pattern, instance, _, _, seed in pii.instances(text, pii.base_spans(text)):
+            graph[pattern][instance] = max(graph[pattern].get(instance, 0.0), float(seed))
+    first = defaultdict(float)
+    for held in graph.values():
+        for instance, seed in held.items():
+            first[instance] = max(first[instance], seed)
+    trust = dict(first)
+    for _ in range(pii.ROUNDS):
+        scores = {p: (sum(trust[i] for i in held) / len(held), sum(trust[i] for i in held)) for p, held in graph.items()}
+        good = {p: share for p, (share, support) in scores.items() if share >= pii.CONFIDENCE and support >= pii.SUPPORT}
+        trust = dict(first)
+        for p, share in good.items():
+            for i in graph[p]:
+                trust[i] = max(trust[i], share)
+    return good
+
+
+@pytest.mark.parametrize("rows", ["made", "sf"])
+def test_bootstrap_against_plain_graph(spark, sf, rows):
+    if rows == "sf":
+        docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    else:
+        ids = [f"ID-{i:08d}" for i in range(40)]
+        texts = [f"mail me at user{i}@mail.test now" for i in range(12)] + [f"token is {hashlib.md5(str(i).encode()).hexdigest()} now" for i in range(20)] + ["token is NEW-123456 now"]
+        texts += [f"badge of NEW-123456 and badge of {ids[i]}" for i in range(3)] + [f"room {i} ref {ids[i]}" for i in range(40)] + [None, ""]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = scored_patterns([r["text"] or "" for r in docs.collect()])
+    scanned = docs.select("doc_id", "text").mapInArrow(pii._scanner(["doc_id"]), "doc_id long, " + pii.SPANS)
+    got = {r["pattern"]: r["confidence"] for r in pii.confident_patterns(materialise(scanned, "scanned")).collect()}
+    assert got.keys() == want.keys() and (want or rows == "sf") and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_fingerprint_beside_a_column_of_its_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "mine"), (2, None, None)], "doc_id long, text string, Hashes string")
+    got = fingerprint.fingerprints(docs).collect()
+    assert got[0]["Hashes"] == "mine" and got[0]["hashes_"] and got[1]["hashes_"] == [] and fingerprint.fingerprints(docs.drop("Hashes")).columns == ["doc_id", "text", "hashes"]
+
+
+def test_words_forgotten_and_encoded_again():
+    """A bucket's blocks come in batches; a task that forgets its known words gives the same ids."""
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    words = [["one", " two", " three"], [" two", " four"], ["one", " five", " two"]]
+    packs = [pd.DataFrame({"block": [i], "bucket": [0], "words": [zlib.compress(json.dumps([[0] + [1] * (len(w) - 1), w]).encode())]}) for i, w in enumerate(words)]
+    all_at_once, forgetful = (pd.concat(bpe._bucket_encoder(path, most)(iter(p))) for most, p in ((100, [pd.concat(packs)]), (0, packs)))
+    assert all_at_once["ids"].tolist() == forgetful["ids"].tolist() and forgetful["of_block"].tolist() == [0, 1, 2]

@@ -148,18 +148,27 @@ def _coded(path: str, buckets: int):  # noqa: ANN202
     return rows
 
 
-def _bucket_encoder(path: str):  # noqa: ANN202
-    def encoded(packs: pd.DataFrame) -> pd.DataFrame:
-        """Each distinct word of one bucket is encoded once; its ids go to every block that has it."""
-        t, known, out = tokenizer(path), {}, []
-        for pack in packs["words"]:
-            steps, words = json.loads(zlib.decompress(pack))
-            new = [w for w in words if w not in known]
-            known.update(zip(new, (np.array(x.ids, np.uint32) for x in t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            ids = [known[w] for w in words]
-            length = np.fromiter(map(len, ids), np.uint32, len(ids))
-            out.append(zlib.compress(_planes(np.concatenate(([len(ids)], steps, length, *ids))), 1))
-        return pd.DataFrame({"of_block": packs["block"], "bucket": packs["bucket"], "ids": out})
+#: Words whose ids a task keeps at most; beyond, it forgets them and encodes those that come again once more.
+KNOWN = 1 << 21
+
+
+def _bucket_encoder(path: str, most: int = KNOWN):  # noqa: ANN202
+    def encoded(packs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each distinct word of one bucket is encoded once; its ids go to every block that has it. The bucket comes in batches of
+        blocks, so that a task holds one batch and the known words, however many blocks there are."""
+        t, known = tokenizer(path), {}
+        for batch in packs:
+            out = []
+            for pack in batch["words"]:
+                steps, words = json.loads(zlib.decompress(pack))
+                if len(known) > most:
+                    known.clear()
+                new = [w for w in words if w not in known]
+                known.update(zip(new, (np.array(x.ids, np.uint32) for x in t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+                ids = [known[w] for w in words]
+                length = np.fromiter(map(len, ids), np.uint32, len(ids))
+                out.append(zlib.compress(_planes(np.concatenate(([len(ids)], steps, length, *ids))), 1))
+            yield pd.DataFrame({"of_block": batch["block"], "bucket": batch["bucket"], "ids": out})
 
     return encoded
 

@@ -56,10 +56,14 @@ def as_text(hashes: str) -> Column:
     return F.array_join(F.transform(hashes, lambda x: F.lower(F.hex(x))), ",")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs with hashes array<long>, the sketch of text; a null text is empty, its sketch too. Other columns stay."""
-    held = docs.withColumn("hashes", word_hashes(F.coalesce("text", F.lit(""))))
-    return held.withColumn("hashes", sketch("hashes")).withColumn("hashes", kept("hashes"))
+def fingerprints(docs: DataFrame, name: str = "hashes") -> DataFrame:
+    """docs with name array<long>, the sketch of text; a null text is empty, its sketch too. Other columns stay: where docs has a
+    column of that name already, in any case, the sketch's name is lengthened by underscores until it has none. Texts are whole,
+    however long; repeated rows get a sketch each, an empty table stays empty."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    held = docs.withColumn(name, word_hashes(F.coalesce("text", F.lit(""))))
+    return held.withColumn(name, sketch(name)).withColumn(name, kept(name))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ them, round by round. Patterns of high confidence give the spans of kind "id".
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -27,10 +28,12 @@ _CARD = regex.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = regex.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = regex.compile("[0-9]")
 #: An identifier-like word: letters, digits and joining signs, at least 8 of them and a digit among them.
-_INSTANCE = regex.compile(r"(?<![A-Za-z0-9_\-])(?=[A-Za-z_\-]*[0-9])[A-Za-z0-9_\-]{8,256}(?![A-Za-z0-9_\-])")
+_INSTANCE = regex.compile(r"(?<![A-Za-z0-9_\-])(?=[A-Za-z_\-]*[0-9])[A-Za-z0-9_\-]{8,}(?![A-Za-z0-9_\-])")
 _CONTEXT = regex.compile(r"[^\x20\x09-\x0D]+")
 #: A seed beside the base kinds: a long run of hexadecimal digits with letters and digits.
 _KEY = regex.compile(r"(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{24,}")
+#: Instances with more letters go into the graph as digests, so that its keys stay short; their spans are whole.
+LONG = 256
 #: Letters before an instance in which its pattern is looked for, and words that form it.
 REACH, CONTEXT_WORDS = 64, 2
 #: Parts into which the rows of one context are dealt when they are joined.
@@ -81,19 +84,28 @@ def pattern_of(text: str, start: int) -> str | None:
     return " ".join(words[-CONTEXT_WORDS - (not text[start - 1].isspace()) :]) if words else None
 
 
+def named(instance: str, key: bool) -> str:
+    """The instance in the graph: itself, or the digest of a long one (hexadecimal digits alone only for a key)."""
+    if len(instance) <= LONG:
+        return instance
+    return ("" if key else "#") + hashlib.sha256(instance.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int, bool]]:
-    """(pattern, instance, start, end, seed) of every identifier-like word; a base span is an instance and a seed."""
+    """(pattern, instance, start, end, seed) of every identifier-like word, however long; a base span is an instance and a seed. The
+    pattern comes from the REACH letters before it."""
     if not base and not _DIGIT.search(text):
         return []
     taken = sorted((a, b) for _, a, b in base)
-    found = [(a, b, True) for a, b in taken]
+    found = [(a, b, True, False) for a, b in taken]
     at = 0
     for m in _INSTANCE.finditer(text):
         while at < len(taken) and taken[at][1] <= m.start():
             at += 1
         if at == len(taken) or m.end() <= taken[at][0]:
-            found.append((m.start(), m.end(), bool(_KEY.fullmatch(m[0]))))
-    return [(p, text[a:b], a, b, seed) for a, b, seed in found if (p := pattern_of(text, a))]
+            key = bool(_KEY.fullmatch(m[0]))
+            found.append((m.start(), m.end(), key, key))
+    return [(p, named(text[a:b], key), a, b, seed) for a, b, seed, key in found if (p := pattern_of(text, a))]
 
 
 SPANS = "row_id string, base " + BASE + ", found array<struct<pattern:string,instance:string,start:int,end:int,seed:boolean>>"
