@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trialspark.operators import edits as E
+from trialspark.operators import joins as J
 from trialspark.operators import scans as S
 from trialspark.operators import windows as W
 
@@ -93,3 +95,12 @@ def test_long_texts_with_few_changes_take_few_steps(monkeypatch):
     steps, slide = [], E._slide
     monkeypatch.setattr(E, "_slide", lambda *x: steps.append(1) or slide(*x))
     assert E.distance("".join(a), "".join(b)) == 100 and len(steps) == 101
+
+
+def test_files_that_an_instruction_mentions(spark):
+    texts = [("t", "Fix notes.txt, then run; see /srv/in/data.csv2 and `käse` or .bashrc"), ("u", None), ("v", r"use a+b\E.c and x")]
+    paths = [("t", p) for p in ("/a/notes.txt", "/a/notes", "/a/otes.txt", "/a/run", "/a/ru", "/srv/in/data.csv", "/srv/out/data.csv", "/a/käse", "/a/käs", "/a/.bashrc", "/a/notesxtxt", "/a/", None)]
+    files = spark.createDataFrame([*paths, *paths, ("u", "/a/run"), (None, "/a/run"), ("v", r"/q/a+b\E.c"), ("v", "/q/aab"), ("v", "/q/x")], "task string, path string")
+    got = {tuple(r) for r in J.mentioned(files, "task", "path", spark.createDataFrame(texts, "task string, said string"), "said").collect()}
+    names = {(t, p) for t, p in map(tuple, files.collect()) if p and (said := dict(texts).get(t)) and ((n := p.split("/")[-1]) and re.search(rf"\b{re.escape(n)}\b", said) or p in said)}
+    assert got == names and {("t", "/a/notes"), ("t", "/a/notes.txt"), ("t", "/srv/in/data.csv"), ("v", r"/q/a+b\E.c")} <= got and ("t", "/a/.bashrc") not in got

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +85,28 @@ def _pairs_at(step: int) -> Callable[[Column], Column]:
     return pairs
 
 
+def mentioned(files: DataFrame, task: str, path: str, instructions: DataFrame, text: str) -> DataFrame:
+    """(task, path) of files (task, path) whose name stands in their task's instruction (task, text; one for each task) as whole
+    words, or whose whole path stands in it.
+
+    A name in the text brings its first word there as a word, a path the first word of its last folder
+    (one between two slashes; other paths are held against the text). Files meet the words of
+    their instruction, not the text; only names of several words and paths whose folder is named are held against it. Nulls
+    match nothing; repeated files count once; words are runs of letters, digits and underscores of any script."""
+    word, name, folder = r"(?U)\w+", F.regexp_extract("path", "[^/]*$", 0), F.regexp_extract("path", "/([^/]+)/[^/]*$", 1)
+    rows = files.select(F.col(task).alias("task"), F.col(path).alias("path")).where("path is not null").distinct()
+    rows = rows.select("task", "path", name.alias("name"), F.regexp_extract(name, word, 0).alias("of_name"), F.regexp_extract(folder, word, 0).alias("of_folder"))
+    texts = instructions.select(F.col(task).alias("task"), F.col(text).alias("text"))
+    words = texts.select("task", F.explode(F.array_union(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(word), 0))).alias("word"))
+    named, placed = (rows.join(words.withColumnRenamed("word", c), ["task", c], "left_semi") for c in ("of_name", "of_folder"))
+    whole = F.col("name") == F.col("of_name")
+    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+    several = named.where(~whole & (F.col("name") != "")).join(texts, "task").where(F.regexp_like("text", quoted))
+    paths = placed.join(texts, "task").where(F.col("text").contains(F.col("path")))
+    found = [x.select("task", "path") for x in (named.where(whole & (F.col("name") != "")), several, paths)]
+    return reduce(DataFrame.union, found).distinct().select(F.col("task").alias(task), F.col("path").alias(path))
+
+
 def gram_sets(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, grams) as gram_hashes, in arrays (empty without a window): each word is hashed once, and windows from hashes."""
     words = F.filter(F.split(F.lower(text), "[ \t\r\n]+"), lambda w: w != "")

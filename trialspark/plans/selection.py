@@ -106,7 +106,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     before, _, permits = manifests(s, d)
     files = before.select("path", F.element_at(F.split("path", "/"), -2).alias("brand"), F.element_at(F.split("path", "/"), -1).alias("base"))
     named = files.where(F.col("base").cast("long") % 4 == 0).groupBy("brand").agg(F.array_join(F.collect_list("base"), " ").alias("instruction"))
-    hits = files.join(named, "brand").where(F.expr("instruction rlike concat('\\\\b', base, '\\\\b')") | F.col("instruction").contains(F.col("path")))
+    hits = J.mentioned(files, "brand", "path", named, "instruction")
     return hits.select("path").join(permits.select(F.col("entry").alias("path")), "path", "left_anti")
 
 
