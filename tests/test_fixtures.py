@@ -573,6 +573,28 @@ def test_tiles_find_all_similar_pairs(spark):
     assert X.similar_pairs(w.limit(0), "k", 0.5).count() == 0
 
 
+def test_similar_texts_equal_weights_multiplied(spark, sf, monkeypatch, tmp_path):
+    """Blocks against the products of tfidf's rows, for all-head, mixed and all-rare vectors; what is stored stays below three times the texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "x"), (-4, "two words")], "doc_id long, text string"))
+    vectors = {}
+    for r in X.tfidf(docs, "doc_id", "text").collect():
+        vectors.setdefault(r["doc_id"], {})[r["gram"]] = r["w"]
+    first = {}
+    for r in sorted(docs.collect()):
+        first.setdefault(r["text"], r["doc_id"])
+    reps = [k for k in sorted(first.values()) if k in vectors]
+    dots = {(a, b): sum(x * vectors[b].get(g, 0.0) for g, x in vectors[a].items()) for i, a in enumerate(reps) for b in reps[i + 1 :]}
+    for threshold, head, size in ((0.3, 48, 64), (0.5, 10**9, 2048), (0.15, 1, 50)):
+        folder = tmp_path / str(head)
+        monkeypatch.setattr(X, "new_path", lambda s, name, folder=folder: f"file://{folder}/{name}")
+        monkeypatch.setattr(X, "HEAD", head), monkeypatch.setattr(X, "TILE", size)
+        got = {(r["a"], r["b"]): r["cosine"] for r in X.similar_texts(docs, "doc_id", "text", threshold).collect()}
+        want = {p: c for p, c in dots.items() if c >= threshold}
+        assert want and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+        stored = sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+        assert stored < 3 * sum(len((r["text"] or "").encode()) for r in docs.collect())
+
+
 def test_far_tiles_are_left_out(spark):
     w = spark.createDataFrame([(k, f"{'ab'[k // 20]}{i}", 0.5) for k in range(40) for i in range(k % 3, k % 3 + 4)], "k long, gram string, w double")
     packed = X.tiles(w, "k", 20)
