@@ -329,6 +329,17 @@ def test_tree_of_draws(spark):
     assert [r["method"] for r in ends] == ["tree", "draws"] and all(abs(ends[0][k] - ends[1][k]) < 0.0015 for k in ("lo", "mid", "hi"))  # a replicate's deviation is 0.005
 
 
+def test_draws_by_kind_of_cluster(spark):
+    """Clusters of equal numbers are drawn together: n draws a replicate, the interval and spread of the direct draws."""
+    c = spark.range(3001).select(F.col("id").alias("k"), (F.col("id") * 7919 % 11 / 10).alias("x"), (F.col("id") % 3 + 1).cast("double").alias("y"))
+    sums = I.replicate_sums(c, "k", "x", "y", 300, 5, direct=100).collect()
+    assert len(sums) == 300 and all(r["drawn"] == 3001 and r["method"] == "kinds" for r in sums)
+    kinds, draws = ([r["value"] for r in I.bootstrap(c, "k", "x", "y", 2000, 5, direct=direct).collect()] for direct in (100, 10_000))
+    for at in (50, 1000, 1950):
+        assert abs(sorted(kinds)[at] - sorted(draws)[at]) < 0.0015
+    assert abs(np.std(kinds) / np.std(draws) - 1) < 0.1
+
+
 def test_leaf_counts_are_multinomial():
     import numpy as np
 

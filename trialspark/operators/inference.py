@@ -113,25 +113,47 @@ def _tree(seed: int, replicates: int, leaf: int):  # noqa: ANN202
     return rows
 
 
+def _kinds(seed: int):  # noqa: ANN202
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                counts = ((b, stream(seed, b, 0).multinomial(r.n, r.m / r.n)) for b in range(r.lo, r.hi))
+                yield pd.DataFrame([(b, float(c @ r.x), float(c @ r.y), int(c.sum())) for b, c in counts], columns=["b", "top", "bottom", "drawn"])
+
+    return rows
+
+
+def _spans(held: DataFrame, replicates: int, parallel: int) -> DataFrame:
+    """One small row, copied to each task, with its range of replicates."""
+    step = max(1, -(-replicates // parallel))
+    spans = held.withColumn("lo", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(step)))).withColumn("hi", F.least(F.col("lo") + step, F.lit(replicates)))
+    return spans.repartition(parallel)
+
+
 def replicate_sums(clusters: DataFrame, order: str, top: str, bottom: str | None, replicates: int, seed: int, pieces: int | None = None, direct: int = DIRECT, leaf: int = LEAF) -> DataFrame:
     """b, top, bottom, drawn, method: of each replicate the sums over what was drawn, and how many numbers were; see bootstrap."""
-    c, n = _numbered(clusters, order)
     number = F.coalesce(F.col(top).cast("double"), F.lit(0.0)).alias("x"), (F.lit(1.0) if bottom is None else F.coalesce(F.col(bottom).cast("double"), F.lit(0.0))).alias("y")
-    parallel = 2 * c.sparkSession.sparkContext.defaultParallelism
+    clusters = materialise(clusters.select(order, *number), "clusters")
+    parallel = 2 * clusters.sparkSession.sparkContext.defaultParallelism
+    schema = "b long, top double, bottom double, drawn long"
+    total = lambda sums, method: sums.groupBy("b").agg(*(F.sum(x).alias(x) for x in ("top", "bottom", "drawn"))).withColumn("method", F.lit(method))
+    if clusters.count() > direct:
+        kinds = materialise(clusters.groupBy("x", "y").agg(F.count("*").alias("m")), "kinds")
+        if kinds.count() <= direct:
+            held = kinds.agg(F.sum("m").alias("n"), F.reverse(F.array_sort(F.collect_list(F.struct("m", "x", "y")))).alias("v")).select("n", "v.m", "v.x", "v.y")
+            return total(_spans(held, replicates, parallel).mapInPandas(_kinds(seed), schema), "kinds")
+    c, n = _numbered(clusters, order)
     method = "draws" if n <= direct else "tree"
     leaves = max(1, -(-n // leaf))
     size = max(n, 1) if method == "draws" else leaf * min(MOST_LEAVES, -(-leaves // (pieces or min(parallel, leaves))))
     low = (F.floor(F.col("j") / size) * size).alias("low")
-    cells = c.select(low, "n", F.struct("j", *number).alias("v"))
+    cells = c.select(low, "n", F.struct("j", "x", "y").alias("v"))
     held = cells.groupBy("low", "n").agg(F.array_sort(F.collect_list("v")).alias("v")).select("low", "n", F.col("v.x").alias("x"), F.col("v.y").alias("y"))
-    schema = "b long, top double, bottom double, drawn long"
-    if method == "draws":  # one small piece, copied to each task
-        step = max(1, -(-replicates // parallel))
-        spans = held.withColumn("lo", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(step)))).withColumn("hi", F.least(F.col("lo") + step, F.lit(replicates)))
-        sums = spans.repartition(parallel).mapInPandas(_direct(seed), schema)
+    if method == "draws":
+        sums = _spans(held, replicates, parallel).mapInPandas(_direct(seed), schema)
     else:
         sums = held.repartition(-(-n // size), "low").mapInPandas(_tree(seed, replicates, leaf), schema).where("drawn > 0")
-    return sums.groupBy("b").agg(*(F.sum(x).alias(x) for x in ("top", "bottom", "drawn"))).withColumn("method", F.lit(method))
+    return total(sums, method)
 
 
 def bootstrap(clusters: DataFrame, order: str, top: str, bottom: str | None, replicates: int = REPLICATES, seed: int = 7, **how: int) -> DataFrame:
@@ -139,7 +161,9 @@ def bootstrap(clusters: DataFrame, order: str, top: str, bottom: str | None, rep
     of bottom; a null counts as 0. Without clusters there are no rows.
 
     Up to DIRECT clusters (method draws) every task has all of them, and draws for a range of replicates; a draw is a function of
-    seed, b and place (see draws), so that any engine can repeat it. Beyond (method tree) clusters lie in leaves of LEAF numbers,
+    seed, b and place (see draws), so that any engine can repeat it. Beyond, clusters of equal numbers are one kind, and up to DIRECT
+    kinds every task has all of them with how many there are: how often a replicate draws each is one multinomial number, so that the
+    work does not grow with the clusters (method kinds). With more kinds (method tree) clusters lie in leaves of LEAF numbers,
     and a task holds some leaves: how many of a replicate's n draws fall on them it learns from binomial splits on the way down
     to them (see leaf_counts), and it draws these and no others. What comes out depends on seed and n, not on the number of
     tasks. A task gives one row of sums for each replicate, however many pieces it had; no draw is shuffled.
