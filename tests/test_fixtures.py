@@ -606,6 +606,19 @@ def test_similar_texts_equal_weights_multiplied(spark, sf, monkeypatch, tmp_path
         assert stored < 3 * sum(len((r["text"] or "").encode()) for r in docs.collect())
 
 
+def test_words_beside_letters_beyond_ascii(spark, tmp_path):
+    """A word ends where its ASCII letters do, in the query as in its SQL."""
+    import duckdb
+
+    from trialspark.plans.catalog import ORACLE, QUERIES
+
+    texts = ["écurl it", "wgeté", "sudo", "xsudo", "at most 3 commandsß", "ünginx and dockerö", "pip install", None]
+    spark.createDataFrame([("user", t) for t in texts], "role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.sql(ORACLE["t7_installer_flags"].replace("from conversations", f"from '{tmp_path}/conversations.parquet/*.parquet'")).fetchall()
+    assert [tuple(r) for r in QUERIES["t7_installer_flags"](spark, str(tmp_path)).collect()] == duck == [("user", 8, 3, 1, 1, 1)]
+    assert spark.sql("select 'éwget' as t").select(X.hits(F.col("t"), X.HITS["network"]).alias("h")).first()["h"] == ["wget"]
+
+
 def test_far_tiles_are_left_out(spark):
     w = spark.createDataFrame([(k, f"{'ab'[k // 20]}{i}", 0.5) for k in range(40) for i in range(k % 3, k % 3 + 4)], "k long, gram string, w double")
     packed = X.tiles(w, "k", 20)

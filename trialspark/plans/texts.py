@@ -75,7 +75,7 @@ NET = {k: X.SCREENS[k] for k in ("network", "heavy_or_service", "command_limit",
 
 @query("t7_installer_flags", f"select role, count(*) as n, {', '.join(f'count_if(regexp_matches(text, {chr(39)}{p}{chr(39)})) as {k}' for k, p in NET.items())} from conversations group by role")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), *(F.count_if(F.col("text").rlike(p)).alias(k) for k, p in NET.items()))
+    return table(s, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), *(F.count_if(F.col("text").rlike(X.ascii_words(p))).alias(k) for k, p in NET.items()))
 
 
 @query("t8_code_execution", f"select page_id, regexp_matches(html, '{X.SCREENS['code_execution']}') as executes from pages")
