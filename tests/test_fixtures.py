@@ -619,6 +619,14 @@ def test_words_beside_letters_beyond_ascii(spark, tmp_path):
     assert spark.sql("select 'éwget' as t").select(X.hits(F.col("t"), X.HITS["network"]).alias("h")).first()["h"] == ["wget"]
 
 
+def test_record_files_are_written_by_several_tasks(spark, tmp_path):
+    from trialspark.plans.pipelines import write_files
+
+    write_files(spark.range(0, 40, 1, 1), str(tmp_path / "files"))
+    names = [f.name for f in (tmp_path / "files").glob("part-*.json")]
+    assert len(names) == 40 and len({n.split("-")[1] for n in names}) > 1
+
+
 def test_far_tiles_are_left_out(spark):
     w = spark.createDataFrame([(k, f"{'ab'[k // 20]}{i}", 0.5) for k in range(40) for i in range(k % 3, k % 3 + 4)], "k long, gram string, w double")
     packed = X.tiles(w, "k", 20)

@@ -313,10 +313,16 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return drained(X.progress(replayable(s, d), F.col("event_type") == "error"), "update").agg(F.max("done").alias("done"), F.max("errors").alias("errors"))
 
 
+def write_files(df: DataFrame, path: str) -> None:
+    """One JSON file for each row, by all tasks, each of which moves its own files into place; a single one would write them one after the other."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // 1000))
+    df.repartition(parts).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).json(path)
+
+
 @query("s2_record_folder", "select s_suppkey, s_nationkey, true as named from supplier")
 def _(s: SparkSession, d: str) -> DataFrame:
     path = new_path(s, "records")
-    table(s, d, "supplier").select("s_suppkey", "s_nationkey").write.option("maxRecordsPerFile", 1).json(path)
+    write_files(table(s, d, "supplier").select("s_suppkey", "s_nationkey"), path)
     r = R.record_folder(s, path, "s_suppkey long, s_nationkey long")
     return r.select("s_suppkey", "s_nationkey", F.col("key").startswith("part-").alias("named"))
 
@@ -324,7 +330,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("s5_text_files", "select count(*) as files, sum(length('{\"s_suppkey\":' || s_suppkey || ',\"s_nationkey\":' || s_nationkey || '}') + 1)::bigint as chars from supplier")
 def _(s: SparkSession, d: str) -> DataFrame:
     path = new_path(s, "texts")
-    table(s, d, "supplier").select("s_suppkey", "s_nationkey").write.option("maxRecordsPerFile", 1).json(path)
+    write_files(table(s, d, "supplier").select("s_suppkey", "s_nationkey"), path)
     files = R.text_files(s, path).where("path like '%.json'")
     return files.agg(F.count("*").alias("files"), F.sum(F.char_length("text")).alias("chars"))
 
