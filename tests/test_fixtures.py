@@ -606,6 +606,23 @@ def test_similar_texts_equal_weights_multiplied(spark, sf, monkeypatch, tmp_path
         assert stored < 3 * sum(len((r["text"] or "").encode()) for r in docs.collect())
 
 
+def test_similar_texts_store_no_lists_of_grams(spark, monkeypatch, tmp_path):
+    """Blocks keep places, and numbers only of grams that count; a repeated task with other blocks is an error, not a wrong count."""
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x:x}" for x in rng.zipf(1.3, 200) % 100_000)) for i in range(1500)], "k long, t string").coalesce(1)
+    monkeypatch.setattr(X, "new_path", lambda s, name: f"file://{tmp_path}/{name}")
+    assert X.similar_texts(docs, "k", "t", 0.9).count() == 0
+    stored = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert stored < 0.9 * docs.agg(F.sum(F.octet_length("t"))).first()[0]
+
+    def some(least, most):
+        return lambda at, pdf: pdf[["block"]].assign(bucket=at[0], df=b"", id=b"").iloc[int(at[0] == 0) :]
+
+    monkeypatch.setattr(X, "_frequencies", some), monkeypatch.setattr(X, "new_path", lambda s, name: f"file://{tmp_path}/again/{name}")
+    with pytest.raises(RuntimeError, match="another order"):
+        X.similar_texts(docs, "k", "t", 0.9)
+
+
 def test_words_beside_letters_beyond_ascii(spark, tmp_path):
     """A word ends where its ASCII letters do, in the query as in its SQL."""
     import duckdb
