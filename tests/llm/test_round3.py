@@ -261,3 +261,27 @@ def test_words_forgotten_and_encoded_again():
     packs = [pd.DataFrame({"block": [i], "bucket": [0], "words": [zlib.compress(json.dumps([[0] + [1] * (len(w) - 1), w]).encode())]}) for i, w in enumerate(words)]
     all_at_once, forgetful = (pd.concat(bpe._bucket_encoder(path, most)(iter(p))) for most, p in ((100, [pd.concat(packs)]), (0, packs)))
     assert all_at_once["ids"].tolist() == forgetful["ids"].tolist() and forgetful["of_block"].tolist() == [0, 1, 2]
+
+
+def test_words_of_letters_are_encoded_without_marks_between():
+    """Only words that are more than letters are held apart by an added token; a letter that is two once it is lower-cased gets its own ids."""
+    import public_tokenizers
+
+    from trialspark.llm import tokenfile
+
+    real, seen = tokenfile.tokenizer(public_tokenizers.path(tokenfile.VOCABULARY)), []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return real.encode_batch_fast(texts, **more)
+
+    for words in (["bread", "größe", "été", "x", "猫"], ["bread", "İstanbul", "it's", "a1b22", "<|endoftext|>", "$$"]):
+        want = [real.encode(w, add_special_tokens=False).ids for w in words]
+        got = tokenfile._encode_words(Watched(), [w.encode() for w in words], "<u2")
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+        if words[-1] == "猫":
+            assert not any("<|" in x for x in seen)

@@ -34,21 +34,52 @@ PART_BYTES, SMALL_PART = 512 << 20, 8 << 20
 REMEMBERED = 600_000
 #: Words that are encoded as one text.
 GROUP = 1000
-_MARKS = b".,;:!?"
+_MARKS = b".,;:!?#$%&*"
 _memory: dict[tuple[str, str], tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
+_lasts: dict[int, tuple[Tokenizer, np.ndarray]] = {}
+
+
+def _last_pieces(t: Tokenizer) -> np.ndarray:
+    """For each id whether it ends a piece; none for a vocabulary that does not mark that."""
+    if id(t) not in _lasts:
+        mark = getattr(t.model, "end_of_word_suffix", None)
+        vocabulary = t.get_vocab(with_added_tokens=True)
+        ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        ends[[i for x, i in vocabulary.items() if mark and x.endswith(mark)]] = True
+        _lasts[id(t)] = t, ends  # held, so that no other gets its id
+    return _lasts[id(t)][1]
+
+
+def _encode_letters(t: Tokenizer, words: list[bytes], dtype: str) -> dict[bytes, bytes]:
+    """The ids of those words that are letters only, many at once: each is one piece, whose last id says so. A word has a piece at least, so as
+    many ends as words are one for each; groups with more (letters that are none once they are lower-cased) are left out."""
+    ends, width, out = _last_pieces(t), np.dtype(dtype).itemsize, {}
+    if not ends.any() or any(x.content[:1].isalpha() or x.content[-1:].isalpha() for x in t.get_added_tokens_decoder().values()):
+        return out
+    letters = [w for w in words if w.decode("utf-8").isalpha()]
+    groups = [letters[i : i + GROUP] for i in range(0, len(letters), GROUP)]
+    for group, x in zip(groups, t.encode_batch_fast([b" ".join(g).decode("utf-8") for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(x.ids, dtype)
+        last = np.flatnonzero(ends[ids])
+        if len(last) == len(group) and last[-1] == len(ids) - 1:
+            data, cuts = ids.tobytes(), ((last + 1) * width).tolist()
+            out.update(zip(group, [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+    return out
 
 
 def _encode_words(t: Tokenizer, words: list[bytes], dtype: str) -> list[bytes]:
-    """The ids of each word. Words are encoded many at once, held apart by an added token: these are taken out of a text before all
-    else. Words that may hold part of one are encoded alone, as all are if there is no such token."""
+    """The ids of each word. Those of letters only go first. The others are encoded many at once, held apart by an added token: these are taken
+    out of a text before all else. Words that may hold part of one are encoded alone, as all are if there is no such token."""
     apart = next(((i, x.content) for i, x in t.get_added_tokens_decoder().items() if x.special and not (x.normalized or x.single_word or x.lstrip or x.rstrip)), None)
     if apart is None:
         return [np.array(x.ids, dtype).tobytes() for x in t.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
     mark, between = apart
     signs = {x.content[0].encode() for x in t.get_added_tokens_decoder().values()} | {x.content[-1].encode() for x in t.get_added_tokens_decoder().values()}
-    alone = {w for w in words if any(x in w for x in signs)}
-    out = {w: np.array(t.encode(w.decode("utf-8"), add_special_tokens=False).ids, dtype).tobytes() for w in alone}
-    rest = [w for w in words if w not in alone]
+    out = _encode_letters(t, words, dtype)
+    others = [w for w in words if w not in out]
+    alone = {w for w in others if any(x in w for x in signs)}
+    out |= {w: np.array(t.encode(w.decode("utf-8"), add_special_tokens=False).ids, dtype).tobytes() for w in alone}
+    rest = [w for w in others if w not in alone]
     groups = [rest[i : i + GROUP] for i in range(0, len(rest), GROUP)]
     width = np.dtype(dtype).itemsize
     for group, x in zip(groups, t.encode_batch_fast([b" ".join(g).decode("utf-8").replace(" ", between) for g in groups], add_special_tokens=False), strict=True):
