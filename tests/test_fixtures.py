@@ -91,6 +91,27 @@ def test_prefix_join_keeps_to_whole_folders(spark):
     assert rows(J.prefix_join(paths, permits).select("path")) == [("/h/a/x",)]
 
 
+def test_prefix_join_deals_a_folder_of_many_paths(spark):
+    """Relative paths have no root above them; a folder's paths are dealt over tasks, and ancestors that are no entry go nowhere."""
+    odd = ["a", "", "b/c", "/h/hot/", "/h/a/x", "/h/a/x", None]
+    names = odd + [f"/h/hot/{i}" for i in range(300)]
+    paths = spark.createDataFrame([(x,) for x in names], "path string")
+    permits = [("/", "r"), ("a/", "n"), ("b/", "y"), ("/h/hot/", "p"), ("/h/hot/", "q"), ("/h/hot/7", "z"), ("/h/none/", "p"), (None, "p")]
+    want = sorted(((e, p, k) for p in names for e, k in permits if p is not None and e is not None and (p == e or (e.endswith("/") and p.startswith(e)))), key=repr)
+    for limit in ("10485760", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            joined = J.prefix_join(paths, spark.createDataFrame(permits, "entry string, kind string"), hot=20)
+            found = joined.select("entry", "path", "kind", F.spark_partition_id()).collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        assert sorted((tuple(r)[:3] for r in found), key=repr) == want
+    assert len({r[3] for r in found if r["entry"] == "/h/hot/"}) > 1
+
+
+
 SNAP = "path string, ftype string, mode string, uid string, size long, sha256 string, link string"
 
 

@@ -12,6 +12,8 @@ from trialspark.operators.prefilter import split_by_ids
 
 
 MOST_RANGES = 10_000
+#: Paths below one entry that a task of a prefix join takes, about.
+HOT = 1 << 17
 
 
 def arm_report(frozen: DataFrame, arm: DataFrame, key: str, stratum: str) -> DataFrame:
@@ -27,13 +29,28 @@ def ancestors(path: str | Column) -> Column:
     """The path itself and every folder above it, each with its closing slash."""
     p = F.col(path) if isinstance(path, str) else path
     parts = F.split(p, "/")
-    return F.concat(F.array(p), F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
+    return F.concat(F.array(p), F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>")))
 
 
-def prefix_join(paths: DataFrame, entries: DataFrame, path: str = "path", entry: str = "entry") -> DataFrame:
+def prefix_join(paths: DataFrame, entries: DataFrame, path: str = "path", entry: str = "entry", hot: int = HOT) -> DataFrame:
     """All columns of paths and entries where an entry is the path or, if it ends in a slash, a folder above it: an equi-join on
-    the exploded ancestors instead of comparing every path with every entry."""
-    return paths.withColumn(entry, F.explode(F.array_distinct(ancestors(path)))).join(entries, entry)
+    the exploded ancestors instead of comparing every path with every entry.
+
+    Ancestors that a bitmap shows to be no entry are not shuffled, so folders that all paths share cost nothing unless they are entries. An
+    entry above more than hot paths is dealt by hash into parts of about so many; these entries, one for each hot rows at most, are
+    broadcast. Paths are counted by folder first, so no single key is sorted in one task."""
+    wanted = entries.select(entry).distinct()
+    above, _ = split_by_ids(paths.withColumn(entry, F.explode(F.array_distinct(ancestors(path)))), entry, wanted)
+    folder = F.substring(path, F.lit(1), F.char_length(path) - F.char_length(F.substring_index(path, "/", -1)))
+    folders = paths.groupBy(folder.alias("_folder")).agg(F.count("*").alias("_n")).select("_n", F.explode(F.array_distinct(ancestors("_folder"))).alias(entry))
+    counts = split_by_ids(folders, entry, wanted)[0].groupBy(F.col(entry).alias("_entry")).agg(F.sum("_n").alias("_n")).where(F.col("_n") > hot)
+    parts = F.broadcast(counts.select("_entry", F.ceil(F.col("_n") / hot).alias("_parts")))
+    dealt = lambda df: df.join(parts, F.col(entry) == F.col("_entry"), "left")
+    one = F.coalesce("_parts", F.lit(1).cast("long"))
+    left = dealt(above).withColumn("_part", F.pmod(F.xxhash64(path), one)).drop("_entry", "_parts")
+    right = dealt(entries).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("_entry", "_parts")
+    return left.join(right, [entry, "_part"]).drop("_part")
 
 
 def lines_in(texts: DataFrame, key: str, text: str, least: int) -> DataFrame:
