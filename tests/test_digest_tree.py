@@ -72,3 +72,17 @@ def test_a_comparison_reads_the_changed_branches(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert tree.depth == 4 and len(read) > 10 and 100 < sum(read) < 20_000, read
+
+
+def test_ranges_only_where_they_skip_rows(spark):
+    """Nodes nearly everywhere give a scan no ranges, whose tests took most of a comparison's time; few nodes or one branch do."""
+    digits = spark.range(4096).select(F.lower(F.lpad(F.hex("id"), 3, "0")).alias("node"))
+    assert T._wanted(digits).ranges is None and T._wanted(digits.where("node like '%7' or node like '%8' or node like '%f'")).ranges is None
+    assert sorted(T._wanted(digits.where("node in ('07a', '07c', 'fff')")).ranges) == [("07a", "07c"), ("fff", "fff")]
+    assert len(T._wanted(digits.where("node like '%00'")).ranges) == 16 and T._wanted(digits.where("false")).ranges == []
+    assert T._wanted(spark.createDataFrame([("",)], "node string")).ranges == [("", "")]
+
+
+def test_many_rows_are_written_by_many_tasks(spark, tmp_path):
+    T._store(spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("node"), F.lit("d").alias("digest")), "node", f"{tmp_path}/t", 200_000)
+    assert len(list(tmp_path.glob("t/*.parquet"))) >= 3

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from trialspark.shared import materialise
 
-#: Files of a bucket on average at most, rows of a stored page, files of a table at least so many rows each.
-BUCKET, PAGE, FILE_ROWS = 16, 256, 1 << 22
+#: Files of a bucket on average at most, rows of a stored page, rows of a table's file, which one task sorts and writes.
+BUCKET, PAGE, FILE_ROWS = 16, 256, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -81,26 +81,42 @@ def build(files: DataFrame, path: str, digest: str, root: str, depth: int | None
     return Tree(root, depth, 1)
 
 
-def _within(df: DataFrame, name: str, wanted: DataFrame, size: int) -> DataFrame:
-    """Rows of df whose first size letters of name are a node of wanted. Their ranges, one for each of 256 prefixes at most, reach the
-    scan; the join does the rest."""
-    ranges = wanted.groupBy(F.substring("node", 1, 2)).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).collect()
-    if not ranges:
-        return df.where("false")
-    parts = [(F.col(name) >= r["lo"]) & (F.col(name) < r["hi"] + "g") for r in ranges]  # g follows every digit
-    while len(parts) > 1:
-        parts = [reduce(lambda x, y: x | y, parts[i : i + 2]) for i in range(0, len(parts), 2)]
-    return df.where(parts[0]).join(wanted.select(F.col("node").alias("_node")), F.substring(name, 1, size) == F.col("_node"), "left_semi")
+@dataclass(frozen=True)
+class Wanted:
+    """Nodes of one level whose rows are to be read, and the ranges of names that they lie in; no ranges: nearly everywhere."""
+
+    nodes: DataFrame
+    ranges: list[tuple[str, str]] | None
+
+
+def _wanted(nodes: DataFrame) -> Wanted:
+    """nodes with a range for each of 256 prefixes at most. Where more than 16 of them cover over half of all names, a scan that tests
+    them skips next to nothing, and has none."""
+    found = nodes.groupBy(F.substring("node", 1, 2)).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).collect()
+    covered = sum((int(r["hi"] or "0", 16) - int(r["lo"] or "0", 16) + 1) / 16 ** len(r["lo"]) for r in found)
+    return Wanted(nodes, None if len(found) > 16 and covered > 0.5 else [(r["lo"], r["hi"]) for r in found])
+
+
+def _within(df: DataFrame, name: str, wanted: Wanted, size: int) -> DataFrame:
+    """Rows of df whose first size letters of name are a wanted node. The ranges reach the scan; the join does the rest."""
+    if wanted.ranges is not None:
+        if not wanted.ranges:
+            return df.where("false")
+        parts = [(F.col(name) >= lo) & (F.col(name) < hi + "g") for lo, hi in wanted.ranges]  # g follows every digit
+        while len(parts) > 1:
+            parts = [reduce(lambda x, y: x | y, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+        df = df.where(parts[0])
+    return df.join(wanted.nodes.select(F.col("node").alias("_node")), F.substring(name, 1, size) == F.col("_node"), "left_semi")
 
 
-def _nodes(spark: SparkSession, tree: Tree, level: int, parents: DataFrame | None) -> DataFrame:
+def _nodes(spark: SparkSession, tree: Tree, level: int, parents: Wanted | None) -> DataFrame:
     """node, digest of a level below the given nodes of the level above, as the highest layer has them."""
     layers = [spark.read.schema("node string, digest string").parquet(f"{tree.root}/nodes/layer={i}/level={level}").withColumn("layer", F.lit(i)) for i in range(tree.layers)]
     rows = reduce(DataFrame.union, [x if parents is None else _within(x, "node", parents, level - 1) for x in layers])
     return rows.groupBy("node").agg(F.max_by("digest", "layer").alias("digest"))
 
 
-def _leaves(spark: SparkSession, tree: Tree, buckets: DataFrame) -> DataFrame:
+def _leaves(spark: SparkSession, tree: Tree, buckets: Wanted) -> DataFrame:
     """bucket, path, digest of files in the given buckets, as the highest layer has each bucket; a path without digest marks an
     emptied bucket."""
     layers = [spark.read.schema("bucket string, path string, digest string").parquet(f"{tree.root}/leaves/layer={i}").withColumn("layer", F.lit(i)) for i in range(tree.layers)]
@@ -116,7 +132,7 @@ def update(spark: SparkSession, tree: Tree, changes: DataFrame, path: str, diges
     rows = materialise(rows.groupBy("path").agg(F.max("new").alias("new")).withColumn("bucket", _bucket(tree.depth)), "changes")
     touched = materialise(rows.select(F.col("bucket").alias("node")).distinct(), "touched")
     n = rows.count()
-    old = _leaves(spark, tree, touched)
+    old = _leaves(spark, tree, _wanted(touched))
     kept = old.join(rows.select("path"), "path", "left_anti").select("bucket", "path", "digest").union(rows.where("new is not null").select("bucket", "path", F.col("new").alias("digest")))
     emptied = touched.join(kept.select(F.col("bucket").alias("node")), "node", "left_anti").select(F.col("node").alias("bucket"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("digest"))
     at = f"{tree.root}/leaves/layer={tree.layers}"
@@ -129,7 +145,7 @@ def update(spark: SparkSession, tree: Tree, changes: DataFrame, path: str, diges
         if level:
             new = spark.read.schema("node string, digest string").parquet(at)
             parents = materialise(new.select(F.substring("node", 1, level - 1).alias("node")).distinct(), "parents")
-            same = _nodes(spark, tree, level, parents).join(new.select("node"), "node", "left_anti")
+            same = _nodes(spark, tree, level, _wanted(parents)).join(new.select("node"), "node", "left_anti")
             below = _parents(same.union(new), level - 1)
     return Tree(tree.root, tree.depth, tree.layers + 1)
 
@@ -144,10 +160,10 @@ def differences(spark: SparkSession, before: Tree, after: Tree) -> DataFrame:
     """path, state (added, changed, missing) of files that differ: from the root down, only below nodes whose digests differ."""
     if before.depth != after.depth:
         raise ValueError(f"trees of {before.depth} and of {after.depth} levels cannot be compared: build them with one depth")
-    differing: DataFrame | None = None
+    differing: Wanted | None = None
     for level in range(before.depth + 1):
         a, b = (_nodes(spark, t, level, differing).select("node", F.col("digest").alias(n)) for t, n in ((before, "a"), (after, "b")))
-        differing = materialise(a.join(b, "node", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("node"), "differing")
+        differing = _wanted(materialise(a.join(b, "node", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("node"), "differing"))
     a, b = (_leaves(spark, t, differing).select("path", F.col("digest").alias(n)) for t, n in ((before, "a"), (after, "b")))
     both = a.join(b, "path", "full").where(~F.col("a").eqNullSafe(F.col("b")))
     return both.select("path", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "missing").otherwise("changed").alias("state"))
