@@ -793,6 +793,57 @@ def test_latch_over_batches(spark, tmp_path):
     assert rows(V.latched(spark.table("latched"))) == [(1, 3, 2), (3, 2, 1)]
 
 
+class _Held:
+    """The state of one key as a dict, which counts the requests to it."""
+
+    def __init__(self):
+        self.values, self.asked = {}, 0
+
+    def __getattr__(self, name):
+        def request(*args):
+            self.asked += 1
+            key = args[0] if args else None
+            put = {"update": lambda: {None: key}, "updateValue": lambda: {key: args[-1]}}.get(name)
+            if put:
+                self.values |= put()
+            elif name in ("clear", "removeKey"):
+                self.values.clear() if name == "clear" else self.values.pop(key)
+            return {"get": lambda: self.values.get(None), "getValue": lambda: self.values.get(key), "containsKey": lambda: key in self.values, "exists": lambda: bool(self.values)}.get(name, lambda: None)()
+
+        return request
+
+
+class _Handle(_Held):
+    """Also the timers of a key, and its clock."""
+
+    now = 1_000
+
+    def getValueState(self, name, *_):  # noqa: N802
+        return self.__dict__.setdefault("_" + name, _Held())
+
+    getMapState = getValueState  # noqa: N815
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+    def requests(self):
+        return self.asked + sum(x.asked for x in self.__dict__.values() if isinstance(x, _Held))
+
+
+def test_latch_asks_the_state_once_for_an_episode(spark):
+    from pyspark.sql import Row
+
+    handle, latch = _Handle(), V._Latch(500, together=3)
+    latch.init(handle)
+    calls = lambda *x: [tuple(r)[1:] for r in latch.handleInputRows(("e",), iter([Row(path=p, call=c) for p, c in x]), handle)]
+    assert calls(("a", 5), ("b", 7), ("a", 4), ("c", 9)) == [("a", 4), ("b", 7), ("c", 9)] and handle.requests() == 2
+    assert calls(("a", 6), ("b", 2)) == [("b", 2)] and handle.requests() == 4
+    assert calls(("d", 3), ("e", 8), ("a", 4)) == [("d", 3), ("e", 8)] and sorted(handle._first.values) == [("d",), ("e",)]  # beyond three paths
+    assert calls(("e", 9), ("d", 1), ("c", 9), ("f", 1)) == [("d", 1), ("f", 1)]
+    handle.now = 1_600  # a and b are forgotten
+    assert calls(("a", 6), ("d", 2)) == [("a", 6)] and handle._few.values[None][0] == ["a"]
+
+
 def test_archives_by_member(spark, tmp_path):
     """Ten thousand members of one archive are read by many tasks; a filter on names leaves the other members' bytes alone."""
     import zipfile

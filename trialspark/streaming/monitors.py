@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -57,24 +57,43 @@ def disk_state(spark: SparkSession, drain: bool = False) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Paths of an episode that stand together in one value of the state; more have one each.
+TOGETHER = 256
+
+
 class _Latch(StatefulProcessor):
-    """The first call of each damaged path of one episode; a path that is not damaged again leaves the state after a while."""
+    """The first call of each damaged path of one episode; a path that is not damaged again leaves the state after a while. Paths stand
+    together, as each request to the state takes longer than the work on an episode; those beyond TOGETHER have a row each."""
 
-    def __init__(self, ttl: int) -> None:
-        self.ttl = ttl
+    def __init__(self, ttl: int, together: int = TOGETHER) -> None:
+        self.ttl, self.together = ttl, together
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.few = handle.getValueState("few", "paths array<string>, calls array<bigint>, seen array<bigint>, more boolean", self.ttl)
         self.first = handle.getMapState("first", "path string", "call long", self.ttl)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        least = pd.concat(pdf.groupby("path", dropna=False)["call"].min() for pdf in rows).groupby(level=0, dropna=False).min()
-        out = []
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        least: dict[str, int] = {}
+        for row in rows:
+            if row.path not in least or row.call < least[row.path]:
+                least[row.path] = row.call
+        now = timerValues.getCurrentProcessingTimeInMs()
+        *held, more = self.few.get() or ([], [], [], False)
+        few = {path: (call, seen) for path, call, seen in zip(*held, strict=True) if seen + self.ttl > now}
         for path, call in least.items():
-            known = self.first.getValue((path,))
-            if known is None or int(call) < known[0]:
-                out.append((key[0], path, int(call)))
-            self.first.updateValue((path,), (int(call) if known is None else min(int(call), known[0]),))
-        yield pd.DataFrame(out, columns=["episode", "path", "first_call"])
+            known = few[path][0] if path in few else None
+            apart = known is None and more and self.first.containsKey((path,))
+            if apart:
+                (known,) = self.first.getValue((path,))
+            if known is None or call < known:
+                yield Row(episode=key[0], path=path, first_call=call)
+            call = call if known is None else min(call, known)
+            if apart or (path not in few and len(few) >= self.together):
+                self.first.updateValue((path,), (call,))
+                more = True
+            else:
+                few[path] = (call, now)
+        self.few.update((list(few), [call for call, _ in few.values()], [seen for _, seen in few.values()], more))
 
     def close(self) -> None:
         pass
@@ -82,11 +101,11 @@ class _Latch(StatefulProcessor):
 
 def latch(stream: DataFrame, episode: str, call: str, path: str, ttl: int = 7 * 86_400_000) -> DataFrame:
     """episode, path, first_call of every damaged path, for update mode: a row when a path is damaged for the first time, and again if
-    a late call has a smaller index. The state is one number for each path of an episode; it leaves ttl milliseconds after the last
+    a late call has a smaller index. The state is two numbers for each path of an episode; they leave ttl milliseconds after the last
     damage. Rows without a path or call are none. Start it within disk_state."""
     rows = stream.select(F.col(episode).alias("episode"), F.col(call).cast("long").alias("call"), F.col(path).alias("path")).where("path is not null and call is not null")
     kind = stream.schema[episode].dataType.simpleString()
-    return rows.groupBy("episode").transformWithStateInPandas(_Latch(ttl), f"episode {kind}, path string, first_call long", "Update", "ProcessingTime")
+    return rows.groupBy("episode").transformWithState(_Latch(ttl), f"episode {kind}, path string, first_call long", "Update", "ProcessingTime")
 
 
 def latched(updates: DataFrame) -> DataFrame:
