@@ -844,6 +844,17 @@ def test_latch_asks_the_state_once_for_an_episode(spark):
     assert calls(("a", 6), ("d", 2)) == [("a", 6)] and handle._few.values[None][0] == ["a"]
 
 
+def test_liveness_asks_the_state_for_waiting_steps_only(spark):
+    from pyspark.sql import Row
+
+    handle, stops = _Handle(), V._Stops(V.StopLimits(), 500)
+    stops.init(handle)
+    steps = lambda *x: [tuple(r)[1:] for r in stops.handleInputRows(("r",), iter([Row(step=n, broken=n == 45, zero=0.0, clipped=0.0, hours=0.0) for n in x]), handle)]
+    assert steps(*range(1, 41)) == [] and handle.requests() <= 4
+    assert steps(43, 42, 44) == [] and sorted(handle._waiting.values) == [(42,), (43,), (44,)]
+    assert steps(41, 43) == [] and handle._waiting.values == {} and steps(45) == [("not_finite", 45)] and steps(46) == []
+
+
 def test_archives_by_member(spark, tmp_path):
     """Ten thousand members of one archive are read by many tasks; a filter on names leaves the other members' bytes alone."""
     import zipfile

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -145,26 +144,27 @@ class _Stops(StatefulProcessor):
         rule = "hours" if s["hours"] > k.hours else rule
         return "trajectories" if s["n"] * k.per_step >= k.trajectories else rule
 
-    def _rows(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["run", "rule", "step"])
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
         names = [x.split()[0] for x in self.NUMBERS.split(", ")]
         known = self.numbers.get()
         s = dict(zip(names, known, strict=True)) if known else dict(zip(names, (1, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, False, 0), strict=True))
-        out, early = [], {}
         if not s["fired"]:
-            for pdf in rows:
-                early |= {int(r.step): (bool(r.broken), r.zero, r.clipped, r.hours) for r in pdf.itertuples(index=False) if r.step >= s["next"]}
-            while not s["fired"] and (row := early.pop(s["next"], None) or self.waiting.getValue((s["next"],))):
-                if self.waiting.containsKey((s["next"],)):
+            early = {r.step: (r.broken, r.zero, r.clipped, r.hours) for r in rows if r.step >= s["next"]}
+            waits = bool(known) and self.waiting.exists()  # else no step needs to be sought in the state
+            while not s["fired"]:
+                row = early.pop(s["next"], None)
+                if waits and self.waiting.containsKey((s["next"],)):
+                    row = row or self.waiting.getValue((s["next"],))
                     self.waiting.removeKey((s["next"],))
+                if not row:
+                    break
                 if rule := self._take(s, *row):
-                    out.append((key[0], rule, s["next"]))
+                    yield Row(run=key[0], rule=rule, step=s["next"])
                     s["fired"] = True
                 s["next"] += 1
             if s["fired"]:
-                self.waiting.clear()
+                if waits:
+                    self.waiting.clear()
             else:
                 for step, row in early.items():
                     self.waiting.updateValue((step,), row)
@@ -173,19 +173,16 @@ class _Stops(StatefulProcessor):
         s["timer"] = timerValues.getCurrentProcessingTimeInMs() + self.patience
         self.handle.registerTimer(s["timer"])
         self.numbers.update(tuple(s.values()))
-        yield self._rows(out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
         s = dict(zip([x.split()[0] for x in self.NUMBERS.split(", ")], self.numbers.get(), strict=True))
-        out = []
         if not s["fired"]:
             for (step,), row in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator()):
                 if rule := self._take(s, *row):
-                    out.append((key[0], rule, step))
+                    yield Row(run=key[0], rule=rule, step=step)
                     break
         self.waiting.clear()
         self.numbers.clear()
-        yield self._rows(out)
 
     def close(self) -> None:
         pass
@@ -207,7 +204,7 @@ def liveness(stream: DataFrame, run: str, step: str, limits: StopLimits | None =
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
     whole = stream.select(F.col(run).alias("run"), F.col(step).cast("long").alias("step"), (~(finite("loss") & finite("grad_norm"))).alias("broken"), *map(number, ("zero", "clipped", "hours")))
     kind = stream.schema[run].dataType.simpleString()
-    return whole.where("step is not null").groupBy("run").transformWithStateInPandas(_Stops(limits or StopLimits(), patience), f"run {kind}, rule string, step long", "Append", "ProcessingTime")
+    return whole.where("step is not null").groupBy("run").transformWithState(_Stops(limits or StopLimits(), patience), f"run {kind}, rule string, step long", "Append", "ProcessingTime")
 
 
 def stops(df: DataFrame, run: str, step: str, limits: StopLimits | None = None) -> DataFrame:
