@@ -855,6 +855,15 @@ def test_liveness_asks_the_state_for_waiting_steps_only(spark):
     assert steps(41, 43) == [] and handle._waiting.values == {} and steps(45) == [("not_finite", 45)] and steps(46) == []
 
 
+def test_sources_reach_python_in_small_batches(spark):
+    """Table functions with Arrow hold 10,000 sources at once and what they give; the memory of a task grew with the rows of its batch."""
+    t = spark.createDataFrame([(1, 'EXPECTED = ["' + "x" * 30 + '", "' + "y" * 30 + '"]\nother = EXPECTED')], "k long, code string")
+    for df in (PY.expected_blocks(t, "k", "code"), PY.literal_lines(t, "k", "code"), PY.source_facts(t, "code")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+    assert rows(PY.expected_blocks(t, "k", "code")) == [(1, "EXPECTED", "x" * 30 + " " + "y" * 30)]
+
+
 def test_archives_by_member(spark, tmp_path):
     """Ten thousand members of one archive are read by many tasks; a filter on names leaves the other members' bytes alone."""
     import zipfile

@@ -81,7 +81,8 @@ def _facts_of(source: str | None) -> list[tuple[str, str | None, int, str | None
     return facts.rows
 
 
-@F.udtf(returnType="kind string, name string, line int, value string", useArrow=True)
+# Table functions of sources go without Arrow: a task then holds some hundred sources at once, not 10,000 with all that they give.
+@F.udtf(returnType="kind string, name string, line int, value string", useArrow=False)
 class SourceFacts:
     """kind, name, line, value of a Python source: assert (its test), function, import (module), string (each constant, those within
     f-strings too), value (of each target that a literal is assigned to), or one row error if it does not parse."""
@@ -120,7 +121,7 @@ def with_features(df: DataFrame, text: str) -> DataFrame:
     return joined.select(*df.columns, features.alias("features"))
 
 
-@F.udtf(returnType="line string", useArrow=True)
+@F.udtf(returnType="line string", useArrow=False)
 class LiteralLines:
     """The different lines of a source's string constants, without white space at their ends, that are worth a search: 18 characters or
     more with four letters in a row, but no paths and addresses."""
@@ -138,6 +139,16 @@ def literal_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.col(text).alias("_source")).lateralJoin(LiteralLines(F.col("_source").outer())).select(key, "line")
 
 
+@F.udtf(returnType="name string, value string", useArrow=False)
+class ExpectedValues:
+    """name, value of each target with "expected" in its name that a source assigns a literal to."""
+
+    def eval(self, source: str | None) -> Iterator[tuple[str | None, str | None]]:
+        for kind, name, _, value in _facts_of(source):
+            if kind == "value" and "expected" in name.lower():
+                yield _whole(name), _whole(value)
+
+
 def squeezed(text: Column) -> Column:
     """White space runs as one space, none at the ends, as Python's split has them."""
     return F.regexp_replace(F.regexp_replace(text, EDGE, ""), BLANKS, " ")
@@ -146,7 +157,6 @@ def squeezed(text: Column) -> Column:
 def expected_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, variable, block): values of 40 characters and two lines or more that a Python source assigns to a name with "expected" in
     it: strings, bytes, or lists of strings; the block has its white space squeezed."""
-    facts = df.select(key, F.col(text).alias("_source")).lateralJoin(SourceFacts(F.col("_source").outer())).where("kind = 'value'")
-    values = facts.where(F.lower("name").contains("expected") & (F.char_length("value") >= 40))
+    values = df.select(key, F.col(text).alias("_source")).lateralJoin(ExpectedValues(F.col("_source").outer())).where(F.char_length("value") >= 40)
     values = values.where(F.regexp_replace("value", EDGE, "").rlike(LINE_END))
     return values.select(key, F.col("name").alias("variable"), squeezed(F.col("value")).alias("block"))
