@@ -644,6 +644,45 @@ def test_similar_texts_store_no_lists_of_grams(spark, monkeypatch, tmp_path):
         X.similar_texts(docs, "k", "t", 0.9)
 
 
+def test_similar_texts_touch_few_products(spark, monkeypatch, tmp_path):
+    """Groups of several blocks give all pairs, near copies and texts of common words only too, and add up few of the products of shared grams."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x:x}" for x in rng.zipf(1.25, rng.integers(3, 150)) % 30_000) for _ in range(1200)]
+    texts += [t.replace(" w1 ", " w2 ").replace(" w3", " x", 1) for t in texts[:60]] + [f"w1 w{i % 3 + 1:x} w2" for i in range(40)] + ["", None]
+    docs = spark.createDataFrame([(len(texts) - i, t) for i, t in enumerate(texts)], "k long, t string").coalesce(1)
+    first = {}
+    for k, t in sorted(docs.collect()):
+        first.setdefault(t, k)
+    vectors = {}
+    for r in X.tfidf(docs, "k", "t").collect():
+        vectors.setdefault(r["k"], {})[r["gram"]] = r["w"]
+    ids = {g: i for i, g in enumerate({g for v in vectors.values() for g in v})}
+    reps = [k for k in sorted(first.values()) if k in vectors]
+    dense = np.zeros((len(reps), len(ids)))
+    for i, k in enumerate(reps):
+        dense[i, [ids[g] for g in vectors[k]]] = list(vectors[k].values())
+    dots = dense @ dense.T
+    monkeypatch.setattr(X, "BLOCK", 200), monkeypatch.setattr(X, "GROUP", 2), monkeypatch.setattr(X, "new_path", lambda s, name: f"file://{tmp_path}/{name}")
+    got = {(r["a"], r["b"]): r["cosine"] for r in X.similar_texts(docs, "k", "t", 0.5).collect()}
+    want = {(reps[i], reps[j]): dots[i, j] for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(dots, 1) >= 0.5)), strict=True)}
+    assert len(want) > 60 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+    folder = f"file://{tmp_path}/vectors"
+    blocks = [X._Vectors(folder, f.stem, len(texts)) for f in sorted((tmp_path / "vectors").glob("0*.parquet"))]
+    group, touched, places = X._Group(blocks, 0.5), [], X._places
+    assert len(blocks) > 4
+    for most in (X.PRODUCTS, 100):  # by some rows, and by one row in pieces
+        monkeypatch.setattr(X, "PRODUCTS", most), monkeypatch.setattr(X, "_places", lambda start, n: touched.append(n.sum()) or places(start, n))
+        found = set()
+        for y in blocks:
+            group.meet(y)
+            found |= {(group.key[i], y.key[j]) for some in group.near(y) for i, j in zip(*some, strict=True)}
+        assert want.keys() <= found
+        shared = ((dense > 0).astype(float) @ (dense > 0).T).sum()
+        assert sum(touched) < 0.1 * shared
+        touched.clear()
+
+
 def test_words_beside_letters_beyond_ascii(spark, tmp_path):
     """A word ends where its ASCII letters do, in the query as in its SQL."""
     import duckdb
