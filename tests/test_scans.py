@@ -86,6 +86,15 @@ def test_edit_distances():
     assert E.distance("ab" * 20_000 + "x", "x" + "ab" * 20_000) == 2
 
 
+def test_diagonals_of_texts_that_are_not_alike_are_left_early(monkeypatch):
+    r = random.Random(5)
+    a, b = ("".join(r.choices("abcdefghij klmn", k=3000)) for _ in "ab")
+    x, y = (np.array([ord(c) for c in t], np.int64) for t in (a, b))
+    want, steps, slide = E._by_bits(x, y), [], E._slide
+    monkeypatch.setattr(E, "_slide", lambda *p: steps.append(1) or slide(*p))
+    assert E.distance(a, b) == want and len(steps) < 20
+
+
 def test_long_texts_with_few_changes_take_few_steps(monkeypatch):
     r = random.Random(3)
     a = r.choices("abcdefghij klmn", k=1_000_000)
